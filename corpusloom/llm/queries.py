@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.exact_dedup import exact_dedup
+from corpusloom.llm.language_id import fit, held_out, identify
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.shared import table
 from corpusloom.llm.simhash_dedup import simhash_dedup
+from corpusloom.llm.source_mix import source_mix
 from corpusloom.llm.tokens import token_counts
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -25,15 +33,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_token_counts": op2_token_counts,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_source_mix": op7_source_mix,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
