@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.embedding_dedup import embedding_dedup
 from corpusloom.llm.exact_dedup import exact_dedup
 from corpusloom.llm.language_id import fit, held_out, identify
 from corpusloom.llm.packing import pack_documents
@@ -37,6 +38,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_dedup": op3_simhash_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_source_mix": op7_source_mix,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
