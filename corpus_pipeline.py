@@ -1,10 +1,68 @@
-"""The corpus pipeline: language, exact copies, near copies, mixture, packing."""
+"""The corpus pipeline: language, exact copies, near copies, mixture, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last
+return the columns of ``docs``. ``run`` writes every stage as Parquet to the shared
+folder and hands the reread table on, so a lost executor costs one stage.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm.exact_dedup import exact_dedup
+from corpusloom.llm.language_id import fit, held_out, identify
+from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.shared import staged, table
+from corpusloom.llm.simhash_dedup import simhash_dedup
+from corpusloom.llm.source_mix import source_mix
+
+#: Share of a document's letters that its language must have.
+MIN_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a language that the labelled documents have; ``und`` and mixtures under ``MIN_SCORE`` go.
+
+    ``lang`` becomes the predicted language.
+    """
+    found = identify(docs, fit(docs.where(~held_out())), keep=docs.columns)
+    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return found.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, keep the document with the largest id."""
+    gone = exact_dedup(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies linked by SimHash, keep the document with the smallest id."""
+    gone = simhash_dedup(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw documents to the sources' targets: each comes as often as the mix takes it, 0 to 2 times."""
+    taken = source_mix(docs).where("size > 0 and taken > 0").select("doc_id", F.expr("cast(taken div size as int)").alias("times"))
+    drawn = docs.join(taken, "doc_id").withColumn("times", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
+    return drawn.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenise and pack into sequences of 4096 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]
+
+#: Token ids, fingerprints and the selection have no SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return docs

@@ -150,7 +150,8 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.nda
 
 
 def identify(
-    docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0, words_at_once: int = 2_000_000
+    docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0,
+    words_at_once: int = 2_000_000, keep: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` -> one row per row: id, ``lang_pred, score, n_spans, spans``.
 
@@ -158,46 +159,50 @@ def identify(
     ``lang_pred`` has the most letters (ties: the first by name) and ``score`` their
     share. Texts that are null or hold no letter get ``und``, score 0 and no spans, as
     does every text under an empty model. Whole texts are read; nothing is shuffled.
+    ``keep`` names columns of ``docs`` to return as well, in place of the id alone
+    (they ride along, so that a filter needs no join).
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    shape = f"id {kind}, lang_pred string, score double, n_spans long, spans array<struct<lang: string, first_word: long, n_words: long>>"
+    keep = keep or [id_col]
+    kept = [docs.schema[c].dataType.simpleString() for c in keep]
+    shape = ", ".join(f"_{i} {kind}" for i, kind in enumerate(kept))
+    shape += ", lang_pred string, score double, n_spans long, spans array<struct<lang: string, first_word: long, n_words: long>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         langs, words = model["langs"], WordScores(model)
 
-        def decide(ids: list, parts: list[list[str]]) -> pd.DataFrame:
+        def decide(parts: list[list[str]]) -> pd.DataFrame:
             size = np.array([len(p) for p in parts], dtype=np.int64)
             end = np.cumsum(size)
             flat = np.fromiter(map(words.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=int(size.sum()))
             length = np.fromiter(map(len, chain.from_iterable(parts)), dtype=np.int64, count=len(flat))
             label = viterbi(words.table, flat, end - size, size, penalty)
             out = []
-            for key, b, e in zip(ids, end - size, end, strict=True):
+            for b, e in zip(end - size, end, strict=True):
                 if b == e:
-                    out.append((key, "und", 0.0, 0, []))
+                    out.append(("und", 0.0, 0, []))
                     continue
                 own = label[b:e]
                 share = np.bincount(own, weights=length[b:e], minlength=len(langs))
                 cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 runs = zip(cut.tolist(), np.diff(np.r_[cut, e - b]).tolist(), strict=True)
-                spans = [(langs[own[i]], i, n) for i, n in runs]
-                out.append((key, langs[int(share.argmax())], float(share.max() / share.sum()), len(spans), spans))
-            return pd.DataFrame(out, columns=["id", "lang_pred", "score", "n_spans", "spans"])
+                spans = [{"lang": langs[own[i]], "first_word": i, "n_words": n} for i, n in runs]
+                out.append((langs[int(share.argmax())], float(share.max() / share.sum()), len(spans), spans))
+            return pd.DataFrame(out, columns=["lang_pred", "score", "n_spans", "spans"])
 
         for b in batches:
-            keys, parts, n = [], [], 0
+            first, parts, n = 0, [], 0
             words.fresh()
-            for key, text in zip(b["id"], b["text"], strict=True):
-                keys.append(key)
+            for i, text in enumerate(b["text"]):
                 parts.append(_words(text.lower()) if text and langs else [])
                 n += len(parts[-1])
-                if n >= words_at_once:
-                    yield decide(keys, parts)
-                    keys, parts, n = [], [], 0
-            yield decide(keys, parts)
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, shape).withColumnRenamed("id", id_col)
+                if n >= words_at_once or i == len(b) - 1:
+                    rows = b.iloc[first : i + 1].drop(columns="text").reset_index(drop=True)
+                    yield pd.concat([rows, decide(parts)], axis=1)
+                    first, parts, n = i + 1, [], 0
+
+    rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
+    out = rows.mapInPandas(run, shape)
+    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "n_spans", "spans")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):
