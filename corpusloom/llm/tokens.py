@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+import struct
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,8 +23,8 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÿ]*")
 PIECES = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r 0-9a-zß-öø-ÿ]+"
 ).findall
-#: Pre-tokens kept in a worker's memory, about 250 bytes each; then it starts anew.
-CACHE = 400_000
+#: Chunks kept in a worker's memory, about 250 bytes each; then it starts anew.
+CACHE = 700_000
 
 
 @lru_cache(maxsize=2)
@@ -64,29 +65,38 @@ def whole_tokens(name: str = VOCABULARY) -> dict[str, int]:
 
 
 class _Table(dict):
-    """Pre-token -> its count or its ids as bytes: whole tokens from the proof, the rest merged by the library."""
+    """White-space-free chunk of a plain text -> its count, or its ids as bytes.
 
-    def __init__(self, name: str, value: Callable[[list[int]], object]):
-        self.tok, self.value = tokenizer(name), value
-        self.whole = {t: value([i]) for t, i in whole_tokens(name).items()}
-        super().__init__(self.whole)
+    Pre-tokens never span white space, so a chunk's value is put together from its
+    pre-tokens': a look-up for those proved whole, the model's merges for the rest.
+    """
 
-    def learn(self, words: list[str]) -> None:
-        if len(self) > CACHE + len(self.whole):
+    def __init__(self, name: str, value: Callable[[list[int]], object]):
+        super().__init__()
+        self.tok, self.value, self.whole = tokenizer(name), value, whole_tokens(name)
+        self.merge = self.tok.model.tokenize
+        self.shown = {b: c for c, b in byte_alphabet().items()}
+
+    def __missing__(self, chunk: str):
+        ids = []
+        for w in PIECES(chunk):
+            one = self.whole.get(w)
+            if one is not None:
+                ids.append(one)
+            else:
+                w = w if w.isascii() else "".join(map(self.shown.__getitem__, w.encode("utf-8")))
+                ids.extend([t.id for t in self.merge(w)])
+        if len(self) >= CACHE:
             self.clear()
-            self.update(self.whole)
-        new = list(set(words).difference(self))
-        for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-            self[w] = self.value(e.ids)
+        self[chunk] = v = self.value(ids)
+        return v
 
-    def of(self, text: str | None) -> list:
-        """The values of a text's pre-tokens in order."""
+    def of(self, text: str | None) -> Iterable:
+        """The values of a text's chunks in order."""
         text = text or ""
         if "<|" in text or not PLAIN.fullmatch(text):
             return [self.value(self.tok.encode(text, add_special_tokens=False).ids)]
-        words = PIECES(text.lower())
-        self.learn(words)
-        return list(map(self.__getitem__, words))
+        return map(self.__getitem__, text.lower().split())
 
 
 @lru_cache(maxsize=2)
@@ -96,7 +106,7 @@ def count_table(name: str = VOCABULARY) -> _Table:
 
 @lru_cache(maxsize=2)
 def id_table(name: str = VOCABULARY) -> _Table:
-    return _Table(name, lambda ids: np.array(ids, dtype="<u4").tobytes())
+    return _Table(name, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
