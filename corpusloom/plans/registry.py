@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ["text_queries", "dedupe_queries", "retrieval_queries"]
+MODULES = ["text_queries", "dedupe_queries", "retrieval_queries", "evaluation_queries", "practice_queries"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
