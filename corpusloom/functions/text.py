@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the data contract.
 MOJIBAKE = ["锟斤拷", "ï¿½", "Ã", "Â", "�"]
@@ -76,7 +77,7 @@ def rejoin_identifiers(col: Column) -> Column:
     return _replace(col, (r"\b([a-z]+[A-Z])\s+([a-z]+)\b", "$1$2"), (r"\b([A-Z])\s+([a-z]{2,})\b", "$1$2"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC, which has no builtin."""
     return s.str.normalize("NFKC")

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from corpusloom.functions.text import canonical_text, squeeze
 from corpusloom.sources.stages import staged
@@ -40,7 +41,7 @@ def simhash64(col: Column, shingle: int = 5, algorithm: str = "md5") -> Column:
         "blake2b": lambda b: hashlib.blake2b(b, digest_size=8).digest(),
     }[algorithm]
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(LongType())
     def run(texts: pd.Series) -> pd.Series:
         out = np.zeros(len(texts), dtype=np.uint64)
         for i, t in enumerate(texts):
@@ -163,7 +164,7 @@ def merge_hits(hits: DataFrame, request: str = "query_id", pos: str = "pos") ->
     return hits.withColumn("hit_key", key).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "hit_key")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of characters in matching blocks."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

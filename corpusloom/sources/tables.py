@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.functions.text import clean_text
 
@@ -57,7 +58,7 @@ def read_markdown(spark: SparkSession, glob: str) -> DataFrame:
     return raw.select(F.col("file_path").alias("path"), "c.text", "c.warnings")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _office_part(content: pd.Series) -> pd.Series:
     """The first folder of an office archive that tells its kind."""
 
