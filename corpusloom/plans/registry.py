@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ["text_queries", "dedupe_queries", "retrieval_queries", "evaluation_queries", "practice_queries", "governance_queries", "structure_queries"]
+MODULES = [
+    "text_queries", "dedupe_queries", "retrieval_queries", "evaluation_queries", "practice_queries", "governance_queries", "structure_queries",
+    "streaming_queries",
+]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
