@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,6 +92,32 @@ def _last_null(s):
     return (s is None, (s or "").encode("utf-8"))  # UTF-8 order is code point order
 
 
+def fill_gap(size: np.ndarray, gap: int) -> np.ndarray:
+    """Which documents to take to come near ``gap`` words from below: in order as long as they fit, then by exchanges.
+
+    An exchange puts the document outside that closes most of the rest in place of one inside (or of none).
+    """
+    taken = np.zeros(len(size), dtype=bool)
+    for i, n in enumerate(size):
+        if n <= gap:
+            taken[i] = True
+            gap -= int(n)
+    while gap > 0 and not taken.all():
+        inside, outside = np.flatnonzero(taken), np.flatnonzero(~taken)
+        outside = outside[np.argsort(size[outside], kind="stable")]
+        given = np.r_[0, size[inside]]
+        best = np.searchsorted(size[outside], given + gap, side="right") - 1
+        gain = np.where(best >= 0, size[outside][best] - given, 0)
+        k = int(gain.argmax())
+        if gain[k] <= 0:
+            break
+        taken[outside[best[k]]] = True
+        if k:
+            taken[inside[k - 1]] = False
+        gap -= int(gain[k])
+    return taken
+
+
 def source_mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources=None, weights: tuple[float, ...] = (5, 2, 1),
     share: float = 1.5, copies: int = 2, seed: int = 7, bucket: int = 256, max_patterns: int = 100_000,
@@ -107,7 +134,7 @@ def source_mix(
     within a pattern whole documents are selected in the order of a seeded hash: every
     document ``n // words`` times, and those before a threshold once more. The
     threshold is found from hash-bucket sums; only the bucket it falls in, of about
-    ``bucket`` rows, is looked at row by row and filled by what still fits. Rows of
+    ``bucket`` rows, is looked at row by row (``fill_gap``). Rows of
     equal id and text share a hash and are ordered as one. Null texts have size 0.
     Unreachable quotas stay unmet. Reruns agree, whatever the partitioning.
     """
@@ -161,12 +188,8 @@ def source_mix(
     rows = rows.withColumn("place", F.expr("shiftright(h, 62 - bits)"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Documents of the bucket with the threshold, in hash order, as long as they fit."""
-        left, extra = int(pdf["gap"].iloc[0]), []
         pdf = pdf.sort_values(["h", "id", "size"], kind="stable")
-        for n in pdf["size"]:
-            extra.append(n <= left)
-            left -= n if n <= left else 0
+        extra = fill_gap(pdf["size"].to_numpy(), int(pdf["gap"].iloc[0]))
         return pdf.assign(taken=pdf["size"] * (pdf["whole"] + extra))[["id", "size", "source_size", "target", "taken"]]
 
     kinds = rows.schema["id"].dataType.simpleString()
