@@ -29,7 +29,7 @@ def test_clean_text(spark):
 
 
 def test_identifiers_topics_and_terms(spark):
-    assert one(spark, "HashM ap and J ava, Spring Boot", T.rejoin_identifiers) == "HashMap and Java, Spring Boot"
+    assert one(spark, "hashM ap and J ava, Spring Boot", T.rejoin_identifiers) == "hashMap and Java, Spring Boot"
     assert one(spark, "请给我讲一下我想学习 Redis 持久化机制", T.normalize_topic) == "Redis 持久化机制"
     assert one(spark, "我想学习", T.normalize_topic) == "我想学习"
     got = one(spark, "Redis，Kafka、Redis;MySQL", T.prepare_topic)
