@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -94,10 +93,11 @@ def fit(
 class WordScores(dict):
     """Word -> row of ``table``: the word's log score in each language, languages of other scripts far below."""
 
-    def __init__(self, model: dict, room: int = 300_000, far: float = -20.0):
+    def __init__(self, model: dict, room: int = 200_000, far: float = -20.0):
         super().__init__()
         self.model, self.room, self.far = model, room, far
         self.table = np.zeros((1024, len(model["langs"])))
+        self.letters = np.zeros(1024, dtype=np.int32)  # of each word
 
     def __missing__(self, word: str) -> int:
         grams, rest = self.model["grams"], self.model["rest"]
@@ -109,7 +109,8 @@ class WordScores(dict):
             s = np.where(allowed, s, self.far)
         if len(self) == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[len(self)] = s
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.table[len(self)], self.letters[len(self)] = s, len(word)
         self[word] = i = len(self)
         return i
 
@@ -140,7 +141,7 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.nda
             stays[at] = v >= best - penalty
             v = np.maximum(v - best, -penalty)
         value[:k] = v + scores[ids[at]]
-    now = value.argmax(axis=1).astype(np.int16) if len(size) else None
+    now = value.argmax(axis=1).astype(np.int16) if value.size else None
     for t in range(len(active) - 1, -1, -1):
         k = active[t]
         at = start[:k] + t
@@ -170,11 +171,11 @@ def identify(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         langs, words = model["langs"], WordScores(model)
 
-        def decide(parts: list[list[str]]) -> pd.DataFrame:
+        def decide(parts: list[np.ndarray]) -> pd.DataFrame:
             size = np.array([len(p) for p in parts], dtype=np.int64)
             end = np.cumsum(size)
-            flat = np.fromiter(map(words.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=int(size.sum()))
-            length = np.fromiter(map(len, chain.from_iterable(parts)), dtype=np.int64, count=len(flat))
+            flat = np.concatenate(parts)
+            length = words.letters[flat]
             label = viterbi(words.table, flat, end - size, size, penalty)
             out = []
             for b, e in zip(end - size, end, strict=True):
@@ -193,7 +194,8 @@ def identify(
             first, parts, n = 0, [], 0
             words.fresh()
             for i, text in enumerate(b["text"]):
-                parts.append(_words(text.lower()) if text and langs else [])
+                found = _words(text.lower()) if text and langs else []
+                parts.append(np.fromiter(map(words.__getitem__, found), dtype=np.int32, count=len(found)))
                 n += len(parts[-1])
                 if n >= words_at_once or i == len(b) - 1:
                     rows = b.iloc[first : i + 1].drop(columns="text").reset_index(drop=True)

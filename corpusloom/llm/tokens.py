@@ -24,7 +24,7 @@ PIECES = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r 0-9a-zß-öø-ÿ]+"
 ).findall
 #: Chunks kept in a worker's memory, about 250 bytes each; then it starts anew.
-CACHE = 700_000
+CACHE = 300_000
 
 
 @lru_cache(maxsize=2)
