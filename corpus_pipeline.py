@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.exact_dedup import exact_dedup
+from corpusloom.llm.exact_dedup import one_of_each
 from corpusloom.llm.language_id import fit, held_out, identify
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.shared import staged, table
@@ -32,22 +32,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keep the document with the largest id."""
-    gone = exact_dedup(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of equal texts, keep one row: the largest id, null only where a text has no other; of repeated rows, one."""
+    return one_of_each(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies linked by SimHash, keep the document with the smallest id."""
-    gone = simhash_dedup(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of near copies linked by SimHash, keep one row: the smallest id, null only where a component has no other.
+
+    Ids may be null, repeated or reused, so rows are told apart by a number that is written with them once.
+    """
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    place = F.struct(F.isnull("doc_id").alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "_row")
+    found = simhash_dedup(rows, "_row").join(rows.select("_row", place.alias("place")), "_row")
+    found = staged(found.select("component_id", "place"), "places")
+    best = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("best")).where("n > 1")
+    gone = found.join(best, "component_id").where("place._row <> best._row").select("place._row")
+    gone = staged(gone, "gone")  # its size is known then, so that few rows are broadcast and no text is shuffled
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw documents to the sources' targets: each comes as often as the mix takes it, 0 to 2 times."""
-    taken = source_mix(docs).where("size > 0 and taken > 0").select("doc_id", F.expr("cast(taken div size as int)").alias("times"))
-    drawn = docs.join(taken, "doc_id").withColumn("times", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
-    return drawn.select(*docs.columns)
+    """Draw documents to the sources' targets: each row comes as often as the mix takes it, 0 to 2 times."""
+    taken = source_mix(docs, keep=docs.columns).where("size > 0 and taken > 0")
+    times = F.expr("array_repeat(1, cast(taken div size as int))")
+    return taken.select("kept", F.explode(times)).select("kept.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

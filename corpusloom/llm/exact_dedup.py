@@ -57,3 +57,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"),
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """``docs`` -> one row per distinct text, with the columns of ``docs``.
+
+    The row of the largest id stays, null only where a text has no other; of equal ids
+    the largest by the other columns. The columns ride through the combining stages of
+    ``exact_classes``, so no row is looked up by an id that others may share. Null
+    texts count as empty.
+    """
+    rest = {c: f"_{i}" for i, c in enumerate(docs.columns) if c not in (id_col, text_col)}
+    row = F.struct(
+        F.col(id_col).alias("id"), F.isnotnull(text_col).alias("given"), *(F.col(c).alias(n) for c, n in rest.items())
+    )
+    base = docs.select(row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns(
+        {"digest": F.sha2("text", 256), "salt": F.spark_partition_id() % salts}
+    )
+    winners = base.groupBy("salt", "digest", "text").agg(F.max("row").alias("row"))
+    best = winners.groupBy("digest", "text").agg(F.max("row").alias("row"))
+    place = {id_col: F.col("row.id"), text_col: F.when(F.col("row.given"), F.col("text"))}
+    return best.select(*(place.get(c, F.col(f"row.{rest.get(c)}")).alias(c) for c in docs.columns))

@@ -120,7 +120,7 @@ def fill_gap(size: np.ndarray, gap: int) -> np.ndarray:
 
 def source_mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources=None, weights: tuple[float, ...] = (5, 2, 1),
-    share: float = 1.5, copies: int = 2, seed: int = 7, bucket: int = 256, max_patterns: int = 100_000,
+    share: float = 1.5, copies: int = 2, seed: int = 7, bucket: int = 256, max_patterns: int = 100_000, keep: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` -> one row per row: id, ``size, source_size, target, taken``.
 
@@ -136,7 +136,9 @@ def source_mix(
     threshold is found from hash-bucket sums; only the bucket it falls in, of about
     ``bucket`` rows, is looked at row by row (``fill_gap``). Rows of
     equal id and text share a hash and are ordered as one. Null texts have size 0.
-    Unreachable quotas stay unmet. Reruns agree, whatever the partitioning.
+    Unreachable quotas stay unmet. Reruns agree, whatever the partitioning. ``keep``
+    names columns of ``docs`` to return as the struct ``kept`` in place of the id (they
+    ride along, so that a draw needs no join on ids that may be null or repeated).
     """
     sources = F.col("source") if sources is None else sources
     kind = docs.select(sources.alias("s")).schema["s"].dataType.typeName()
@@ -146,6 +148,7 @@ def source_mix(
             F.col(id_col).alias("id"), member.alias("pattern"),
             F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).bitwiseAND(F.lit((1 << 62) - 1)).alias("h"),
+            F.monotonically_increasing_id().alias("row"), *([F.struct(*keep).alias("kept")] if keep else []),
         ), "sizes",
     )
     spark = docs.sparkSession
@@ -188,16 +191,15 @@ def source_mix(
     rows = rows.withColumn("place", F.expr("shiftright(h, 62 - bits)"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "id", "size"], kind="stable")
+        pdf = pdf.sort_values(["h", "id", "size", "row"], kind="stable")
         extra = fill_gap(pdf["size"].to_numpy(), int(pdf["gap"].iloc[0]))
-        return pdf.assign(taken=pdf["size"] * (pdf["whole"] + extra))[["id", "size", "source_size", "target", "taken"]]
+        return pdf.assign(extra=extra.astype("int32"))[["row", "extra"]]
 
-    kinds = rows.schema["id"].dataType.simpleString()
-    filled = rows.where("place = edge").groupBy("pattern").applyInPandas(
-        fill, f"id {kinds}, size long, source_size long, target double, taken long"
-    )
+    asked = rows.where("place = edge")
+    filled = asked.select("pattern", "row", "h", "id", "size", "gap").groupBy("pattern").applyInPandas(fill, "row long, extra int")
     extra = F.when(F.col("place") < F.col("edge"), 1).otherwise(0)
-    others = rows.where("edge is null or place <> edge").select(
-        "id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + extra)).alias("taken")
+    others = rows.where("edge is null or place <> edge").withColumn("extra", extra)
+    named = F.col("kept") if keep else F.col("id").alias(id_col)
+    return others.unionByName(asked.join(filled, "row").select(*others.columns)).select(
+        named, "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken")
     )
-    return others.unionByName(filled).withColumnRenamed("id", id_col)
