@@ -53,15 +53,11 @@ def template_tree(
         seg = F.try_element_at("segments", F.lit(level))
         now = now.withColumn("segment", seg)
         counts = now.where("segment is not null").groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("n"))
-        node = counts.groupBy("host", "template").agg(
-            F.sum("n").alias("all"), F.collect_list(F.when(F.col("n") >= support, F.struct("segment", "n"))).alias("often")
-        )
-        kept = F.transform(F.filter("often", lambda c: c["n"] >= share * F.col("all")), lambda c: c["segment"])
-        node = node.select(F.col("host").alias("h2"), F.col("template").alias("t2"), kept.alias("literal"))
-        step = F.when(F.col("segment").isNull(), "").otherwise(
-            F.concat(F.lit("/"), F.when(F.array_contains("literal", F.col("segment")), F.col("segment")).otherwise("*"))
-        )
-        now = now.join(node, F.expr("host = h2 and template = t2"), "left").select(
+        total = counts.groupBy("host", "template").agg(F.sum("n").alias("all"))
+        literal = counts.where(F.col("n") >= support).join(total, ["host", "template"]).where(F.col("n") >= share * F.col("all"))
+        literal = literal.select(F.col("host").alias("h2"), F.col("template").alias("t2"), F.col("segment").alias("s2"))
+        step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.coalesce("s2", F.lit("*"))))
+        now = now.join(literal, F.expr("host = h2 and template = t2 and segment = s2"), "left").select(
             "key", "host", "segments", "label", F.concat("template", step).alias("template")
         )
         now = staged(now, "url-segments")  # each level reads the one before twice
