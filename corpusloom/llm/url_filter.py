@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +42,8 @@ def template_tree(
     Level by level, a segment stays literal where at least ``support`` of the node's
     pages and ``share`` of them have it, and becomes ``*`` otherwise, so a node has at
     most ``1 / share`` literal children; segments after ``depth`` are one ``**``. A
-    template is a path of the tree. Then siblings whose rate of bad labels doesn't
-    differ from their parent's pooled rate (a two-sided z test at ``alike``) merge into
-    one branch, named after the parent; the others stay alone. ``label`` is 1 bad,
-    0 good, null unknown. Rows of a hot host meet only in sums that are combined before
+    template is a path of the tree; ``merge_branches`` then merges alike subtrees.
+    ``label`` is 1 bad, 0 good, null unknown. Rows of a hot host meet only in sums that are combined before
     the shuffle, and in joins that adaptive execution splits.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
@@ -65,14 +65,57 @@ def template_tree(
     templates = staged(now.select("key", "host", "label", tail.alias("template")), "url-templates")
     nodes = templates.groupBy("host", "template").agg(
         F.count("label").alias("seen"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")
-    ).withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
-    pool = nodes.groupBy("host", "parent").agg(F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"))
-    rate = F.try_divide("all_bad", "all_seen")
-    error = F.sqrt(F.try_divide(rate * (1 - rate), F.col("seen")))
-    differs = (F.col("seen") > 0) & (F.abs(F.try_divide("bad", "seen") - rate) > alike * error)
-    branch = F.when(F.coalesce(differs, F.lit(False)), F.col("template")).otherwise(F.concat("parent", F.lit("/~")))
-    branches = nodes.join(pool, ["host", "parent"]).select("host", "template", "seen", "bad", branch.alias("branch"))
-    return templates, branches
+    )
+    return templates, merge_branches(nodes, alike)
+
+
+def merge_branches(nodes: DataFrame, alike: float = 1.96) -> DataFrame:
+    """``nodes(host, template, seen, bad)`` -> the same with ``branch``, the merged subtree that a template is in.
+
+    From the bottom up: siblings in order of their rate of bad labels join the group
+    before them unless a two-sided z test of two shares at ``alike`` tells them apart;
+    those without labels stand at the rate of all siblings. If all become one group,
+    their parent is a sibling on its own level with their sums; otherwise the groups
+    are branches, and nothing above merges with them. A branch is named after its
+    first subtree. Pages that end at an inner node are a child of it, whose name ends
+    in ``/``. A node's list holds its children only, at most ``1 / share`` and three.
+    """
+    nodes = staged(nodes, "url-nodes")
+    leaves = nodes.withColumn("node", F.concat("template", F.lit("/")))
+    leaves = leaves.withColumn("level", F.size(F.split("node", "/")) - 1)
+    deepest = leaves.agg(F.max("level")).first()[0] or 1
+    parent = F.regexp_replace("node", "/[^/]*$", "").alias("parent")
+    told_apart = """coalesce(abs(k.bad / nullif(k.seen, 0) - g.bad / nullif(g.seen, 0)) > {alike} * sqrt(
+        (k.bad + g.bad) / (k.seen + g.seen) * (1 - (k.bad + g.bad) / (k.seen + g.seen)) * (1 / k.seen + 1 / g.seen)), false)"""
+    last = "element_at(done, -1)"
+    apart = told_apart.format(alike=alike).replace("g.", f"{last}.")
+    joined = f"named_struct('seen', {last}.seen + k.seen, 'bad', {last}.bad + k.bad, 'nodes', concat({last}.nodes, array(k.node)))"
+    alone = "named_struct('seen', k.seen, 'bad', k.bad, 'nodes', array(k.node))"
+    in_order = "array_sort(transform(kids, k -> named_struct('rate', coalesce(k.bad / nullif(k.seen, 0), all_rate), 'node', k.node, 'seen', k.seen, 'bad', k.bad)))"
+    fold = f"""aggregate({in_order}, cast(array() as array<struct<seen: bigint, bad: bigint, nodes: array<string>>>), (done, k) ->
+        case when size(done) = 0 then array({alone}) when {apart} then concat(done, array({alone}))
+        else concat(slice(done, 1, size(done) - 1), array({joined})) end)"""
+    up, closed = None, []
+    for level in range(deepest, -1, -1):
+        here = leaves.where(F.col("level") == level).select("host", "node", "seen", "bad", F.lit(False).alias("mixed"))
+        here = here if up is None else here.unionByName(up)
+        if not level:  # the roots: hosts that are one branch
+            closed.append(here.where("not mixed").select("host", "node", F.col("node").alias("branch")))
+            break
+        kids = here.groupBy("host", parent).agg(
+            F.max("mixed").alias("mixed"), F.expr("coalesce(sum(bad) / nullif(sum(seen), 0), 0D)").alias("all_rate"),
+            F.expr("collect_list(case when not mixed then struct(node, seen, bad) end)").alias("kids"),
+        )
+        groups = kids.select("host", "parent", "mixed", F.expr(fold).alias("groups"))
+        groups = staged(groups.withColumn("mixed", F.expr("mixed or size(groups) > 1")), "url-groups")
+        up = groups.select(
+            "host", F.col("parent").alias("node"), *(F.expr(f"if(mixed, 0L, groups[0].{c})").alias(c) for c in ("seen", "bad")), "mixed"
+        )
+        split = groups.where("mixed").select("host", F.explode("groups.nodes").alias("nodes"))
+        closed.append(split.select("host", F.explode("nodes").alias("node"), F.array_min("nodes").alias("branch")))
+    above = F.expr("transform(sequence(1, level + 1), i -> array_join(slice(split(node, '/'), 1, i), '/'))")
+    paths = leaves.select("host", "template", "seen", "bad", F.explode(above).alias("node"))
+    return paths.join(reduce(DataFrame.unionByName, closed), ["host", "node"]).select("host", "template", "seen", "bad", "branch")
 
 
 def url_filter(

@@ -20,3 +20,24 @@ def test_segments_of_a_hot_host_are_never_collected(spark, monkeypatch):
     assert {r.template for r in templates.collect()} == {"/*/p", "/big/p"}
     tree = [p for p in plans if "segment" in p]
     assert tree and not any("collect_list(" in p for p in tree)
+
+
+def test_alike_subtrees_merge_level_by_level(spark):
+    bad = {"/news": 0, "/blog": 0, "/spam": 1, "/shop/a": 0, "/shop/b": 0, "/mix/a": 0, "/mix/b": 1}
+    rows = [(f"{p}/{i}", v) for p, v in bad.items() for i in range(60)] + [("/few/a/b", 1)] * 25 + [("/few/a/c", None)] * 25
+    urls = spark.createDataFrame([(i, "h.com", *r) for i, r in enumerate(rows)], "key int, host string, path string, label int")
+    _, branches = url_filter.template_tree(urls)
+    got = {r.template: r for r in branches.collect()}
+    assert set(got) == {f"{p}/*" for p in bad} | {"/few/a/b", "/few/a/c"}  # one branch each
+    same = [["/news/*", "/blog/*", "/shop/a/*", "/shop/b/*"], ["/spam/*", "/few/a/b", "/few/a/c"], ["/mix/a/*"], ["/mix/b/*"]]
+    assert sorted(sorted(t for t in got if got[t].branch == b) for b in {r.branch for r in got.values()}) == sorted(map(sorted, same))
+    assert got["/news/*"].seen == 60 and got["/few/a/c"].seen == 0
+
+
+def test_a_sparse_sibling_takes_the_rate_of_the_alike(spark):
+    rows = [(f"http://h.com/a/{i}", 1) for i in range(60)] + [(f"http://h.com/b/{i}", 1 if i < 2 else None) for i in range(60)]
+    rows += [(f"http://k.com/b/{i}", 0) for i in range(200)]  # the same template is good elsewhere
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, bad int")
+    got = url_filter.url_filter(pages, [], label_col="bad").collect()
+    assert len(got) == len(rows)
+    assert {r.verdict for r in got if r.host == "h.com"} == {"block"} and {r.verdict for r in got if r.host == "k.com"} == {"allow"}
