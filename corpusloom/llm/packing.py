@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,14 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import staged
-from corpusloom.llm.tokens import VOCABULARY, id_table
+from corpusloom.llm.tokens import VOCABULARY, Table, packed, whole_tokens
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` -> ``(id, piece, start, length, ids_crc32)``: token ids with ``end_id``, cut where longer than ``size``."""
+    proved = docs.sparkSession.sparkContext.broadcast(whole_tokens(vocabulary))  # at most the vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, end = id_table(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        table, end = Table(vocabulary, proved.value, packed), np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             out = []
             for key, text in zip(b["id"], b["text"], strict=True):
@@ -82,32 +84,54 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def pack(parts: DataFrame, size: int = 4096, group: int = 8192) -> DataFrame:
-    """``parts`` with ``id, piece, length`` -> the same rows with ``sequence_id, offset``.
-
-    Pieces are dealt by a hash into groups of about ``group`` rows, each packed by one
-    task: work and memory of a task don't grow with the corpus, and a group leaves at
-    most about one sequence half empty (0.05 % at the default). ``sequence_id`` is the
-    group times 2**32 plus the bin. Lengths are 1 to ``size``.
-    """
-    n = max(1, -(-parts.count() // group))
-    keyed = parts.withColumn("pack_group", F.pmod(F.xxhash64("id", "piece"), F.lit(n)))
+def _pack_groups(parts: DataFrame, size: int, groups: int, turn: int) -> DataFrame:
+    """One best fit decreasing for each of ``groups`` groups of rows, dealt by a hash of ``row``."""
+    keyed = parts.withColumn("pack_group", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "piece"], kind="stable")
+        pdf = pdf.sort_values("row", kind="stable")
         bins, offsets = best_fit(pdf["length"].to_numpy(), size)
-        return pdf.assign(sequence_id=(pdf["pack_group"].to_numpy() << 32) + bins, offset=offsets).drop(columns="pack_group")
+        first = (turn << 56) + (int(pdf["pack_group"].iloc[0]) << 24)
+        return pdf.assign(sequence_id=first + bins, offset=offsets).drop(columns="pack_group")
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
     return keyed.groupBy("pack_group").applyInPandas(run, f"{kinds}, sequence_id long, offset long")
 
 
+def pack(parts: DataFrame, size: int = 4096, group: int = 8192) -> DataFrame:
+    """``parts`` with ``row`` (a number of its own for each row) and ``length`` -> ``sequence_id, offset`` besides.
+
+    Rows are dealt by a hash into groups of about ``group``, each packed by one task:
+    work and memory of a task don't grow with the corpus. Full sequences are done; the
+    pieces of all sequences that are still open meet again in new groups, until one group
+    holds them all or a turn leaves no fewer open. So the loss is that of the last turn,
+    not one half-empty sequence a group. ``sequence_id`` is turn, group and bin. Lengths
+    are 1 to ``size``; repeated and null ids don't matter. No rows give no rows.
+    """
+    done, left, turn = [], parts, 0
+    n = parts.count()
+    while True:
+        groups = max(1, -(-n // group))
+        now = staged(_pack_groups(left, size, groups, turn), "packed")
+        if groups == 1:
+            break
+        full = now.groupBy("sequence_id").agg(F.sum("length").alias("used")).where(F.col("used") < size).select("sequence_id")
+        full = staged(full, "open")
+        again = now.join(full, "sequence_id", "left_semi").select(*parts.columns)
+        m = again.count()
+        if not m or -(-m // group) >= groups:
+            break
+        done.append(now.join(full, "sequence_id", "left_anti").select(*now.columns))
+        left, n, turn = staged(again, "repack"), m, turn + 1
+    return reduce(DataFrame.unionByName, [*done, now])
+
+
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, vocabulary: str = VOCABULARY, group: int = 8192) -> DataFrame:
     """Tokenise ``docs`` and pack them into as few sequences of ``size`` tokens as best fit decreasing finds.
 
     One row per piece: id, ``piece, start, length, ids_crc32, sequence_id, offset``.
-    Null texts are empty and hold ``end_id`` alone. Rows that repeat an id are packed
-    as documents of their own. No rows give no rows. Tokens are made once and staged.
+    Null texts are empty and hold ``end_id`` alone. Rows that repeat an id, or have none,
+    are packed as documents of their own. No rows give no rows. Tokens are made once and staged.
     """
-    parts = staged(pieces(docs, id_col, text_col, size, end_id, vocabulary), "pieces")
-    return pack(parts, size, group).withColumnRenamed("id", id_col)
+    parts = staged(pieces(docs, id_col, text_col, size, end_id, vocabulary).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    return pack(parts, size, group).drop("row").withColumnRenamed("id", id_col)

@@ -17,14 +17,19 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters on which the tokenizer's normaliser (NFC, white space, lower case) and the pattern below agree
-#: with Python's; texts with others, or with a special token's opening, go to the library as a whole.
+#: with Python's. In a text with others only the chunks that hold one go to the library; a text with a special
+#: token's opening goes there as a whole.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÿ]*")
+#: White space that no pre-token spans and no normalisation crosses.
+GAP = re.compile(r"[\t\n\r ]+")
 #: The pre-tokens of such a text after lower-casing.
 PIECES = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r 0-9a-zß-öø-ÿ]+"
 ).findall
-#: Chunks kept in a worker's memory, about 250 bytes each; then it starts anew.
-CACHE = 300_000
+#: Bytes of chunks that a worker remembers, their overhead included, before it starts anew.
+CACHE = 48 << 20
+#: Longer chunks are not remembered.
+LONGEST = 64
 
 
 @lru_cache(maxsize=2)
@@ -64,62 +69,73 @@ def whole_tokens(name: str = VOCABULARY) -> dict[str, int]:
     return {t: found[t] for t, e in zip(texts, encoded, strict=True) if e.ids == [found[t]]}
 
 
-class _Table(dict):
-    """White-space-free chunk of a plain text -> its count, or its ids as bytes.
+class Table(dict):
+    """White-space-free chunk -> its count, or its ids as bytes.
 
     Pre-tokens never span white space, so a chunk's value is put together from its
-    pre-tokens': a look-up for those proved whole, the model's merges for the rest.
+    pre-tokens': a look-up for those proved ``whole``, the model's merges for the rest.
+    Chunks that are not plain are the library's. ``tally`` counts pre-tokens by way.
     """
 
-    def __init__(self, name: str, value: Callable[[list[int]], object]):
+    def __init__(self, name: str, whole: dict[str, int], value: Callable[[list[int]], object]):
         super().__init__()
-        self.tok, self.value, self.whole = tokenizer(name), value, whole_tokens(name)
+        self.tok, self.value, self.whole, self.held = tokenizer(name), value, whole, 0
         self.merge = self.tok.model.tokenize
         self.shown = {b: c for c, b in byte_alphabet().items()}
+        self.tally = {"whole": 0, "merged": 0, "library": 0}
 
     def __missing__(self, chunk: str):
-        ids = []
-        for w in PIECES(chunk):
-            one = self.whole.get(w)
-            if one is not None:
-                ids.append(one)
-            else:
-                w = w if w.isascii() else "".join(map(self.shown.__getitem__, w.encode("utf-8")))
-                ids.extend([t.id for t in self.merge(w)])
-        if len(self) >= CACHE:
-            self.clear()
-        self[chunk] = v = self.value(ids)
+        if PLAIN.fullmatch(chunk):
+            ids = []
+            for w in PIECES(chunk):
+                one = self.whole.get(w)
+                if one is not None:
+                    ids.append(one)
+                    self.tally["whole"] += 1
+                else:
+                    w = w if w.isascii() else "".join(map(self.shown.__getitem__, w.encode("utf-8")))
+                    ids.extend([t.id for t in self.merge(w)])
+                    self.tally["merged"] += 1
+        else:
+            ids = self.tok.encode(chunk, add_special_tokens=False).ids
+            self.tally["library"] += 1
+        v = self.value(ids)
+        if len(chunk) <= LONGEST:
+            self.held += 200 + 2 * len(chunk) + 4 * len(ids)
+            if self.held > CACHE:
+                self.clear()
+                self.held = 0
+            self[chunk] = v
         return v
 
     def of(self, text: str | None) -> Iterable:
         """The values of a text's chunks in order."""
         text = text or ""
-        if "<|" in text or not PLAIN.fullmatch(text):
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return map(self.__getitem__, text.lower().split())
+        if "<|" in text:
             return [self.value(self.tok.encode(text, add_special_tokens=False).ids)]
-        return map(self.__getitem__, text.lower().split())
+        return [self[c.lower() if PLAIN.fullmatch(c) else c] for c in GAP.split(text) if c]
 
 
-@lru_cache(maxsize=2)
-def count_table(name: str = VOCABULARY) -> _Table:
-    return _Table(name, len)
-
-
-@lru_cache(maxsize=2)
-def id_table(name: str = VOCABULARY) -> _Table:
-    return _Table(name, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` -> one row per row: id, ``n_bytes, n_tokens, over_limit``.
 
     Counts are the library's own, without added special tokens; special strings in a
-    text are what the library takes them for. Pre-tokens proved whole cost a lookup;
-    only the rest is merged, each once per worker while it is remembered. Null texts
-    count as empty. No shuffle; other columns are not read.
+    text are what the library takes them for. Pre-tokens proved whole cost a lookup
+    (the proof is made once, here, and sent to the workers); only the rest is merged,
+    each once per worker while it is remembered, in at most ``CACHE`` bytes. Null texts
+    count as empty; rows that repeat are counted one by one, no rows give no rows. No
+    shuffle; other columns are not read.
     """
+    proved = docs.sparkSession.sparkContext.broadcast(whole_tokens(vocabulary))  # at most the vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = count_table(vocabulary)
+        table = Table(vocabulary, proved.value, len)
         for b in batches:
             yield b[["id", "n_bytes"]].assign(n_tokens=[sum(table.of(t)) for t in b["text"]])
 
