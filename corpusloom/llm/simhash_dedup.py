@@ -29,15 +29,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     if not words:
         return 0
     if len(words) <= shingle:
-        parts = [b" ".join(words)]
-    else:
-        parts = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
-    digest = xxhash.xxh64_intdigest
-    votes, block = np.zeros(64, dtype=np.int64), 1 << 14
-    for at in range(0, len(parts), block):
-        h = np.array([digest(p, 42) for p in parts[at : at + block]], dtype=">u8")
+        words, shingle = [b" ".join(words)], 1
+    n, digest, block = len(words) - shingle + 1, xxhash.xxh64_intdigest, 1 << 14
+    votes = np.zeros(64, dtype=np.int64)
+    for at in range(0, n, block):  # a block of shingles at a time, however long the text
+        part = words[at : min(at + block, n) + shingle - 1]
+        shingles = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False))
+        h = np.array([digest(p, 42) for p in shingles], dtype=">u8")
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(parts)).tobytes(), "big")
+    return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -52,11 +52,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInPandas(run, "id long, fp long")
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shared positional bytes and differing bits of two arrays of fingerprints."""
-    x = np.ascontiguousarray(a ^ b)
-    shared = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1)
-    return shared, BITS[x.view(np.uint16).reshape(*x.shape, 4)].sum(axis=-1, dtype=np.uint8)
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the eight (position, byte) postings of ``a`` those of ``b`` share, pair by pair."""
+    left, right = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) for x in (a, b))
+    shared = np.zeros(np.broadcast_shapes(a.shape, b.shape), dtype=np.uint8)
+    for p in range(8):
+        shared += left[..., p] == right[..., p]
+    return shared
+
+
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return BITS[np.ascontiguousarray(a ^ b).view(np.uint16).reshape(-1, 4)].sum(axis=1, dtype=np.uint8)
+
+
+def near_pairs(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, dict[str, int]]:
+    """Which of the candidate pairs ``fp[i], fp[j]`` link, and how many pairs each step held.
+
+    Count filtering: a pair that shares fewer than ``MIN_SHARED`` positional bytes has more
+    than ``MAX_DISTANCE`` differing bits; only pairs that reach the minimum are verified.
+    """
+    survivors = np.flatnonzero(tally(fp[i], fp[j]) >= MIN_SHARED)
+    linked = survivors[bits_apart(fp[i[survivors]], fp[j[survivors]]) <= MAX_DISTANCE]
+    return linked, {"candidates": len(i), "survivors": len(survivors), "links": len(linked)}
 
 
 def _bytes(fp: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
@@ -118,8 +135,8 @@ def _run_links(fp: np.ndarray, rep: np.ndarray) -> Iterator[tuple[np.ndarray, np
     """Links among the fingerprints of one key; of a dense group, enough to keep it connected."""
     root = np.arange(len(fp))
     for i in range(len(fp) - 1):
-        shared, bits = distance(fp[i + 1 :], fp[i : i + 1])
-        near = np.flatnonzero((shared >= MIN_SHARED) & (bits <= MAX_DISTANCE)) + i + 1
+        others = np.arange(i + 1, len(fp))
+        near = others[near_pairs(fp, np.full(len(others), i), others)[0]]
         other = np.unique(root[near])
         other = other[other != root[i]]
         if len(other):  # one link for each group that joins: a spanning forest
@@ -142,8 +159,7 @@ def link_sorted(batches: Iterator[pd.DataFrame], small: int = 16) -> Iterator[pd
             i = np.flatnonzero((key[d:] == key[:-d]) & (length[:-d] <= small)) if len(key) > d else []
             if not len(i):
                 break
-            shared, bits = distance(fp[i], fp[i + d])
-            i = i[(shared >= MIN_SHARED) & (bits <= MAX_DISTANCE)]
+            i = i[near_pairs(fp, i, i + d)[0]]
             left.append(rep[i])
             right.append(rep[i + d])
         for at, n in zip(start[size > small], size[size > small], strict=True):
@@ -170,8 +186,9 @@ def near_links(reps: DataFrame, bucket: int = 4096) -> DataFrame:
     Plain postings of (position, byte) have 256 values a position, so their lists hold
     a 256th of all rows each and tallying them would cost the square of the corpus.
     The index therefore keys on sets of positions that a pair with enough shared bytes
-    can't avoid (``TRIPLES``); the pairs that meet there are tallied over all eight
-    positions, kept at ``MIN_SHARED`` or more, and verified by their differing bits.
+    can't avoid (``TRIPLES``); the pairs that meet there are tallied over the postings of
+    all eight positions, and only those with ``MIN_SHARED`` or more are verified by their
+    differing bits (``near_pairs``).
     Keys with more than ``bucket`` fingerprints are split losslessly by
     ``posting_keys`` of the next level; distinct fingerprints bound the last one.
     """
