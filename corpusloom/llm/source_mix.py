@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,42 +28,68 @@ def share_out(sizes: list[float], weights: list[float], total: float, most: floa
 
 
 class Flow:
-    """Min-cost flow by successive shortest paths with potentials (costs are not negative)."""
+    """Min-cost flow where only the arcs out of the source node cost anything.
+
+    Every path's cost is then that of its first arc, and a saturated first arc is never
+    given back, so the primal-dual method opens the arcs in order of cost and completes
+    a maximum flow at each: levels by breadth-first search, then a blocking flow.
+    """
 
     def __init__(self, n: int):
-        self.out: list[list[list]] = [[] for _ in range(n)]
-
-    def edge(self, a: int, b: int, room: int, cost: int) -> list:
-        forth, back = [b, room, cost, None], [a, 0, -cost, None]
-        forth[3], back[3] = back, forth
-        self.out[a].append(forth)
-        self.out[b].append(back)
-        return forth
-
-    def run(self, s: int, t: int) -> None:
-        high = [0] * len(self.out)
-        while True:
-            dist, via, heap = {s: 0}, {}, [(0, s)]
-            while heap:
-                d, u = heapq.heappop(heap)
-                if d > dist[u]:
+        self.head: list[list[int]] = [[] for _ in range(n)]
+        self.to: list[int] = []
+        self.room: list[int] = []  # arc e and its reverse e ^ 1
+
+    def arc(self, a: int, b: int, room: int) -> int:
+        e = len(self.to)
+        self.to += [b, a]
+        self.room += [room, 0]
+        self.head[a].append(e)
+        self.head[b].append(e + 1)
+        return e
+
+    def _levels(self, s: int, t: int) -> list[int] | None:
+        """Steps from each node to ``t``, -1 where there is no way; None if ``s`` has none."""
+        level, here = [-1] * len(self.head), [t]
+        level[t] = 0
+        while here and level[s] < 0:
+            ahead = []
+            for u in here:
+                for e in self.head[u]:
+                    v = self.to[e]
+                    if self.room[e ^ 1] and level[v] < 0:
+                        level[v] = level[u] + 1
+                        ahead.append(v)
+            here = ahead
+        return level if level[s] >= 0 else None
+
+    def complete(self, s: int, t: int) -> None:
+        """Add flow from ``s`` to ``t`` until no path has room."""
+        head, to, room = self.head, self.to, self.room
+        while level := self._levels(s, t):
+            at, path, u = [0] * len(head), [], s
+            while True:
+                if u == t:
+                    n = min(room[e] for e in path)
+                    for e in path:
+                        room[e] -= n
+                        room[e ^ 1] += n
+                    k = next(k for k, e in enumerate(path) if not room[e])
+                    u = to[path[k] ^ 1]
+                    del path[k:]
                     continue
-                for e in self.out[u]:
-                    if e[1] and (nd := d + e[2] + high[u] - high[e[0]]) < dist.get(e[0], nd + 1):
-                        dist[e[0]], via[e[0]] = nd, e
-                        heapq.heappush(heap, (nd, e[0]))
-            if t not in dist:
-                return
-            for u in range(len(high)):
-                high[u] += dist.get(u, dist[t])
-            path, u = [], t
-            while u != s:
-                path.append(via[u])
-                u = via[u][3][0]
-            n = min(e[1] for e in path)
-            for e in path:
-                e[1] -= n
-                e[3][1] += n
+                while at[u] < len(head[u]):
+                    e = head[u][at[u]]
+                    if room[e] and level[to[e]] == level[u] - 1:
+                        path.append(e)
+                        u = to[e]
+                        break
+                    at[u] += 1
+                else:
+                    if u == s:
+                        break
+                    u = to[path.pop() ^ 1]
+                    at[u] += 1
 
 
 def route(patterns: dict[tuple, int], quotas: dict, copies: int = 2) -> dict[tuple, dict]:
@@ -77,15 +101,14 @@ def route(patterns: dict[tuple, int], quotas: dict, copies: int = 2) -> dict[tup
     names, groups = sorted(quotas, key=_last_null), list(patterns)
     flow = Flow(2 + len(groups) + len(names))
     place = {s: 2 + len(groups) + i for i, s in enumerate(names)}
-    given: dict[tuple, dict] = {}
-    for i, p in enumerate(groups):
-        for k in range(copies):
-            flow.edge(0, 2 + i, patterns[p], k * k)
-        given[p] = {s: flow.edge(2 + i, place[s], copies * patterns[p], 0) for s in p}
+    given = {p: {s: flow.arc(2 + i, place[s], copies * patterns[p]) for s in p} for i, p in enumerate(groups)}
     for s in names:
-        flow.edge(place[s], 1, quotas[s], 0)
-    flow.run(0, 1)
-    return {p: {s: e[3][1] for s, e in by.items()} for p, by in given.items()}
+        flow.arc(place[s], 1, quotas[s])
+    for _ in range(copies):  # the arcs of cost k * k, k = 0, 1, ...
+        for i, p in enumerate(groups):
+            flow.arc(0, 2 + i, patterns[p])
+        flow.complete(0, 1)
+    return {p: {s: flow.room[e ^ 1] for s, e in by.items()} for p, by in given.items()}
 
 
 def _last_null(s):
@@ -133,9 +156,11 @@ def source_mix(
     rows the driver sees, with one threshold each), a min-cost flow routes them, and
     within a pattern whole documents are selected in the order of a seeded hash: every
     document ``n // words`` times, and those before a threshold once more. The
-    threshold is found from hash-bucket sums; only the bucket it falls in, of about
-    ``bucket`` rows, is looked at row by row (``fill_gap``). Rows of
-    equal id and text share a hash and are ordered as one. Null texts have size 0.
+    threshold is found from sums over hash buckets, ten bits deeper at a time until the
+    bucket it falls in has at most ``4 * bucket`` rows; only those are looked at row by
+    row (``fill_gap``). Rows of equal id and text share the upper 40 bits and are told
+    apart by the lower ones, so no number of repeats makes a large bucket. Null texts
+    have size 0.
     Unreachable quotas stay unmet. Reruns agree, whatever the partitioning. ``keep``
     names columns of ``docs`` to return as the struct ``kept`` in place of the id (they
     ride along, so that a draw needs no join on ids that may be null or repeated).
@@ -143,14 +168,14 @@ def source_mix(
     sources = F.col("source") if sources is None else sources
     kind = docs.select(sources.alias("s")).schema["s"].dataType.typeName()
     member = F.coalesce(F.array_sort(F.array_distinct(sources)), F.array(F.lit(None).cast("string"))) if kind == "array" else F.array(sources.cast("string"))
-    rows = staged(
-        docs.select(
-            F.col(id_col).alias("id"), member.alias("pattern"),
-            F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).bitwiseAND(F.lit((1 << 62) - 1)).alias("h"),
-            F.monotonically_increasing_id().alias("row"), *([F.struct(*keep).alias("kept")] if keep else []),
-        ), "sizes",
+    sized = docs.select(
+        F.col(id_col).alias("id"), member.alias("pattern"),
+        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("content"),
+        F.monotonically_increasing_id().alias("row"), *([F.struct(*keep).alias("kept")] if keep else []),
     )
+    h = F.shiftleft(F.col("content").bitwiseAND(F.lit((1 << 40) - 1)), 22).bitwiseOR(F.xxhash64("row").bitwiseAND(F.lit((1 << 22) - 1)))
+    rows = staged(sized.withColumn("h", h).drop("content"), "sizes")
     spark = docs.sparkSession
     sums = rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).limit(max_patterns + 1).collect()
     if len(sums) > max_patterns:
@@ -168,26 +193,28 @@ def source_mix(
         p, n = tuple(r["pattern"]), r["size"]
         words = sum(given[p].values())
         whole, rest = divmod(words, n) if n else (0, 0)
-        bits = max(0, (r["n"] // bucket).bit_length() - 1)
-        plan.append((list(p), whole, rest, bits, sum(own[s] for s in p), sum(target[s] for s in p)))
-    plan_df = spark.createDataFrame(plan, "p2 array<string>, whole long, rest long, bits int, source_size long, target double")
-    rows = rows.join(F.broadcast(plan_df), F.expr("pattern <=> p2")).drop("p2")  # at most max_patterns rows
-
-    # The threshold: ten bits of the hash at a time, so a pattern never has over 1024 sums in a window.
-    state = F.broadcast(spark.createDataFrame([(p[0], 0, p[2]) for p in plan if p[2]], "p2 array<string>, edge long, gap long"))
-    deepest = max((p[3] for p in plan), default=0)
-    for done in range(0, max(1, deepest), 10):
-        place = F.expr(f"shiftright(h, 62 - least(bits, {done}))")
-        here = rows.join(state, F.expr("pattern <=> p2")).where(place == F.col("edge"))
-        in_order = Window.partitionBy("pattern", "gap").orderBy("edge")
+        plan.append((list(p), whole, rest, r["n"], sum(own[s] for s in p), sum(target[s] for s in p)))
+    plan_df = spark.createDataFrame(plan, "p2 array<string>, whole long, rest long, n long, source_size long, target double")
+    rows = rows.join(F.broadcast(plan_df.drop("rest", "n")), F.expr("pattern <=> p2")).drop("p2")  # at most max_patterns rows
+
+    # The threshold of a pattern: the bucket `edge` of the upper `bits` of the hash, and the words to take from it.
+    shape = "p2 array<string>, bits int, edge long, gap long, n long"
+    state = spark.createDataFrame([(p[0], 0, 0, p[2], p[3]) for p in plan if p[2]], shape)
+    for _ in range(6):  # 60 of 62 bits
+        wide = state.where(F.col("n") > 4 * bucket)
+        if wide.isEmpty():
+            break
+        here = rows.join(F.broadcast(wide), F.expr("pattern <=> p2 and shiftright(h, 62 - bits) = edge"))  # at most max_patterns rows
+        here = here.select("pattern", "size", "bits", "gap", F.expr("shiftright(h, 52 - bits)").alias("edge"))
+        in_order = Window.partitionBy("pattern").orderBy("edge")  # at most 1024 sums
         sums = (
-            here.withColumn("edge", F.expr(f"shiftright(h, 62 - least(bits, {done + 10}))"))
-            .groupBy("pattern", "gap", "edge").agg(F.sum("size").alias("words"))
+            here.groupBy("pattern", "bits", "gap", "edge").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
             .withColumn("before", F.sum("words").over(in_order) - F.col("words"))
         )
         found = sums.where("before <= gap and before + words > gap")
-        state = F.broadcast(staged(found.select(F.col("pattern").alias("p2"), "edge", (F.col("gap") - F.col("before")).alias("gap")), "thresholds"))
-    rows = rows.join(state, F.expr("pattern <=> p2"), "left").drop("p2")
+        found = found.select(F.col("pattern").alias("p2"), (F.col("bits") + 10).alias("bits"), "edge", (F.col("gap") - F.col("before")).alias("gap"), "n")
+        state = staged(state.where(F.col("n") <= 4 * bucket).unionByName(found), "thresholds")
+    rows = rows.join(F.broadcast(state.select("p2", "bits", "edge", "gap")), F.expr("pattern <=> p2"), "left").drop("p2")
     rows = rows.withColumn("place", F.expr("shiftright(h, 62 - bits)"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
