@@ -144,21 +144,28 @@ def records_from_turns(rows: DataFrame) -> DataFrame:
     """``rows(conv_id, turn, role, text)`` -> ``(conv_id, record)``, each in the tightest of three layouts.
 
     user, assistant: ``prompt``/``response``; system, user, assistant: those with
-    ``system``; all others: ``messages``. Turns are ordered by turn, then role and text.
+    ``system``; all others: ``messages``. Turns are ordered by turn, then role and text;
+    null roles and texts are empty, repeated rows are turns of their own. Rows without
+    ``conv_id`` belong to no conversation that could be told, so each is one by itself.
     """
     turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    conv = rows.groupBy("conv_id").agg(turns.alias("t"))
-    roles = F.array_join(F.transform("t", lambda t: t["role"]), "\n")
+    own = F.when(F.isnull("conv_id"), F.monotonically_increasing_id()).alias("own")
+    conv = rows.select("conv_id", "turn", "role", "text", own).groupBy("conv_id", "own").agg(turns.alias("t"))
+    roles = F.transform("t", lambda t: t["role"])
+    these = lambda *names: roles == F.array(*map(F.lit, names))
     text = lambda i: F.try_element_at("t", F.lit(i))["text"]
     pair = F.to_json(F.struct(text(1).alias("prompt"), text(2).alias("response")))
     led = F.to_json(F.struct(text(1).alias("system"), text(2).alias("prompt"), text(3).alias("response")))
     each = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
-    record = F.when(roles == "user\nassistant", pair).when(roles == "system\nuser\nassistant", led)
+    record = F.when(these("user", "assistant"), pair).when(these("system", "user", "assistant"), led)
     return conv.select("conv_id", record.otherwise(F.to_json(F.struct(each.alias("messages")))).alias("record"))
 
 
 def read_back(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Digests of formatted conversations, from the output alone: turns, loss text and lengths."""
+    """Digests of formatted conversations, from the output alone: turns, loss text and lengths.
+
+    Records that ``format_records`` could not format stay, with nulls.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -166,12 +173,16 @@ def read_back(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
         for b in batches:
             out = []
             for key, formatted, mask in zip(b["id"], b["formatted"], b["loss_mask"], strict=True):
+                if formatted is None:
+                    out.append((key, *[None] * 5))
+                    continue
                 turns = parse(formatted)
                 loss = "".join(unescape(formatted[m["start"] : m["end"]]) for m in mask)
                 whole = "".join(f"{r}\n{t}\n" for r, t in turns)
                 out.append((key, len(turns), sha(whole), len(loss), sha(loss), len(formatted)))
-            yield pd.DataFrame(out, columns=["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            names = ["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names if c.startswith(("n_", "loss_c", "form"))})
 
-    rows = df.where("formatted is not null").select(F.col(id_col).alias("id"), "formatted", "loss_mask")
+    rows = df.select(F.col(id_col).alias("id"), "formatted", "loss_mask")
     shape = f"id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return rows.mapInPandas(run, shape).withColumnRenamed("id", id_col)
