@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,38 +17,103 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a text must have for a pattern to be tried at all.
+NEEDS = {"email": "@", "phone": "+"}
+#: Key-like strings, whose contexts teach as those of base matches do: 32 signs or more with letters and digits.
+KEY = r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[0-9A-Za-z_-]{32,}+"
 KINDS = [*BASE, "id"]
 OPEN, CLOSE = "\ue000", "\ue001"
-#: Identifier-like words for the bootstrap: 6 to 64 characters with a digit or an at sign among letters or signs.
-CANDIDATE = rf"(?<![^{SPACES}])(?=[^{SPACES}]*[0-9@])[^{SPACES}]{{6,64}}(?![^{SPACES}])"
-#: Characters of context on each side of a candidate.
-CONTEXT = 64
+SPACE = f"[{SPACES}]"
+#: Patterns or instances looked up in one scan of the texts: a broadcast of at most so many 64-bit numbers.
+BLOCK = 1_000_000
+#: Confidence of a word that looks like an identifier (a digit, an at sign or an underscore in it) and of any other.
+LOOKS, PLAIN = 0.5, 0.0
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, join=lambda a, b: a + b, block: int = 64) -> Column:
+    """What ``join`` makes of all values before each (0 before the first), in about linear time: blocks, then their ends."""
+
+    def scan(a: Column) -> Column:
+        return F.aggregate(a, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
+
+    def whole(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(block))).otherwise(F.array().cast("array<int>"))
+        inner = F.transform(starts, lambda at: scan(F.slice(v, at, F.lit(block))))
+        return let(inner, lambda i: let(scan(F.transform(i, lambda s: F.element_at(s, -1))), lambda tops: F.flatten(
+            F.transform(i, lambda s, k: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x: join(tops[k], x)))
+        )))
+
+    return let(values, whole)
+
+
+def pattern_of(two: Column, one: Column, after: Column) -> tuple[Column, Column]:
+    """The lexical patterns of a slot: the two words before it, and the words before and after it; null without them."""
+    two, one, after = (F.lower(c) for c in (two, one, after))
+    left = F.when(F.isnotnull(two) & F.isnotnull(one), F.xxhash64(F.lit("L"), two, one))
+    return left, F.when(F.isnotnull(one) & F.isnotnull(after), F.xxhash64(F.lit("LR"), one, after))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches as ``array<struct<start, value, before, after>>``, in code points.
+def mentions(text: Column, kind: str, pattern: str, valid=None) -> Column:
+    """All valid matches as ``array<struct<kind, start, end, instance, left, around, words>>``, in code points.
 
     Matches are marked with two private characters (such characters in the text are
     first replaced one for one), the text is split at the marks, and lengths add up.
+    ``words`` are the starts of the white-space words that the match touches. The words
+    around are looked for as far as the third match before and after, so a match that is
+    glued to several others has no pattern.
     """
-    plain = F.translate(text, OPEN + CLOSE, "\ufffd\ufffd")
-    pieces = F.split(F.regexp_replace(plain, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN)
-    none = F.array().cast("array<struct<start: int, value: string, before: string, after: string>>")
-    state = F.struct(
-        F.length(pieces[0]).alias("at"), F.right(pieces[0], F.lit(CONTEXT)).alias("before"), none.alias("found")
-    )
-
-    def step(s: Column, piece: Column) -> Column:
-        value = F.substring_index(piece, CLOSE, 1)
-        rest = F.substring_index(piece, CLOSE, -1)
-        one = F.struct(s["at"].alias("start"), value.alias("value"), s["before"].alias("before"), F.left(rest, F.lit(CONTEXT)).alias("after"))
-        return F.struct(
-            (s["at"] + F.length(value) + F.length(rest)).alias("at"), F.right(F.concat(value, rest), F.lit(CONTEXT)).alias("before"),
-            F.concat(s["found"], F.array(one)).alias("found"),
-        )
-
-    found = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), state, step)["found"]
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    none = "array<struct<kind: string, start: int, end: int, instance: bigint, left: bigint, around: bigint, words: array<int>>>"
+    marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, "\ufffd\ufffd"), f"({pattern})", f"{OPEN}$1{CLOSE}")
+
+    def spans(pieces: Column) -> Column:
+        n = F.size(pieces)
+        value = lambda i: F.substring_index(pieces[i], CLOSE, 1)
+        squeezed = lambda first, last: F.split(
+            F.regexp_replace(F.translate(F.array_join(F.slice(pieces, first + 1, last - first), ""), CLOSE, ""), f"{SPACE}+", " "), " "
+        )
+        length = F.transform(pieces, lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))
+
+        def placed(start: Column) -> Column:
+            # the start of the last word in each piece, if white space is in it
+            tail = F.transform(pieces, lambda p, i: let(F.regexp_replace(F.substring_index(p, CLOSE, -1), SPACE, " "), lambda r: F.when(
+                F.contains(r, F.lit(" ")), start[i] + F.length(p) - F.when(i > 0, 1).otherwise(0) - F.length(F.substring_index(r, " ", -1))
+            ).otherwise(0)))
+            inside = F.transform(pieces, lambda p, i: F.when(i > 0, let(F.regexp_replace(F.substring_index(p, CLOSE, 1), SPACE, " "), lambda r: F.when(
+                F.contains(r, F.lit(" ")), start[i] + F.length(r) - F.length(F.substring_index(r, " ", -1))
+            ).otherwise(0))).otherwise(0))
+            latest = F.transform(F.arrays_zip(tail.alias("a"), inside.alias("b")), lambda z: F.greatest(z["a"], z["b"]))
+            return let(running(latest, F.greatest), lambda word: each(start, word))
+
+        def each(start: Column, word: Column) -> Column:
+            ids = F.sequence(F.lit(1), n - 1)
+            ids = ids if valid is None else F.filter(ids, lambda i: valid(value(i)))
+
+            def one(i: Column) -> Column:
+                before, after = squeezed(F.greatest(i - 3, F.lit(0)), i), squeezed(i, F.least(i + 3, n))
+                whole = lambda a, k: F.when((F.size(a) > k) & (a[F.size(a) - 1 - k] != ""), a[F.size(a) - 1 - k])
+                parts = F.split(value(i), SPACE)
+                offsets = let(parts, lambda q: let(running(F.transform(q, lambda w: F.length(w) + 1)), lambda at: F.filter(
+                    F.transform(q, lambda w, k: F.when((w != "") & (k > 0), start[i] + at[k])), F.isnotnull
+                )))
+                rest = F.split(F.regexp_replace(F.translate(F.concat(F.substring_index(pieces[i], CLOSE, -1), F.array_join(F.slice(pieces, i + 2, F.lit(2)), "")), CLOSE, ""), f"{SPACE}+", " "), " ")
+                following = F.when((F.size(rest) > 1) & (F.try_element_at(rest, F.lit(2)) != ""), F.try_element_at(rest, F.lit(2)))
+                left, around = pattern_of(whole(before, 2), whole(before, 1), following)
+                return F.struct(
+                    F.lit(kind).alias("kind"), start[i].alias("start"), (start[i] + F.length(value(i))).alias("end"), F.xxhash64(value(i)).alias("instance"),
+                    left.alias("left"), around.alias("around"), F.concat(F.array(word[i]), offsets).alias("words"),
+                )
+
+            return F.transform(ids, one)
+
+        return F.when(n > 1, let(running(length), placed)).otherwise(F.array().cast(none))
+
+    tried = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]")
+    return F.when(tried, let(F.split(marked, OPEN), spans)).otherwise(F.array().cast(none))
 
 
 def luhn(digits: Column) -> Column:
@@ -73,98 +140,141 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """By kind: ``array<struct<kind, start, end, value, before, after>>`` of the valid base matches."""
-    return {kind: _spans(kind, matches(text, pattern)) for kind, pattern in BASE.items()}
+def slots(docs: DataFrame) -> DataFrame:
+    """``docs(id, row, text)`` -> every white-space word ``(id, row, start, word, left, around)`` with its patterns."""
 
+    def words(w: Column) -> Column:
+        at = running(F.transform(w, lambda x: F.length(x) + 1))
+        there = let(at, lambda a: F.filter(F.transform(w, lambda x, i: F.struct(a[i].alias("start"), x.alias("word"))), lambda s: s["word"] != ""))
+        return let(there, lambda t: F.transform(t, lambda s, i: _slot(s, i, t)))
 
-def _spans(kind: str, found: Column) -> Column:
-    def span(m: Column) -> Column:
-        end = (m["start"] + F.length(m["value"])).alias("end")
-        return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), end, *(m[c].alias(c) for c in ("value", "before", "after")))
+    def _slot(s: Column, i: Column, t: Column) -> Column:
+        word = lambda k: F.when(i + k >= 0, F.get(t, i + k)["word"])
+        left, around = pattern_of(word(-2), word(-1), word(1))
+        return F.struct(s["start"].alias("start"), s["word"].alias("word"), left.alias("left"), around.alias("around"))
 
-    return F.transform(F.filter(found, lambda m: _valid(kind, m["value"])), span)
+    return docs.select("id", "row", F.explode(let(F.split("text", SPACE), words)).alias("s")).select("id", "row", "s.*")
 
 
-def _patterns(before: Column, after: Column) -> Column:
-    """Lexical patterns of a mention: the two words before it, and the words right before and after it."""
-    words = lambda c: F.filter(F.split(F.lower(c), f"[{SPACES}]+"), lambda w: w != "")
-    left, right = words(before), words(after)
-    two = F.when(F.size(left) >= 2, F.concat(F.lit("L "), F.array_join(F.slice(left, -2, 2), " ")))
-    around = F.concat(F.lit("LR "), F.try_element_at(left, F.lit(-1)), F.lit(" _ "), F.try_element_at(right, F.lit(1)))
-    return F.array_compact(F.array(two, around))
+def cored(found: DataFrame) -> DataFrame:
+    """Words without the signs around them: ``start`` and ``end`` of the rest, ``instance`` and ``prior``; bare signs go."""
+    lead = F.length(F.regexp_extract("word", r"^[^\p{L}\p{N}@+]*+", 0))
+    tail = F.length(F.regexp_extract("word", r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]*+$", 0))
+    found = found.where(F.col("word").rlike(r"[\p{L}\p{N}]"))
+    core = F.expr("substring(word, lead + 1, length(word) - lead - tail)")
+    found = found.withColumns({"lead": lead, "tail": tail}).withColumn("core", core)
+    prior = F.when(F.col("core").rlike("[0-9@_]"), LOOKS).otherwise(PLAIN)
+    return found.select(
+        "id", "row", F.col("start").alias("place"), (F.col("start") + F.col("lead")).alias("start"),
+        (F.col("start") + F.col("lead") + F.length("core")).alias("end"), F.xxhash64("core").alias("instance"), prior.alias("prior"), "left", "around",
+    )
+
+
+def _blocks(keys: DataFrame) -> list[DataFrame]:
+    """``keys`` (one long column, distinct) in parts of about ``BLOCK`` rows, each small enough to broadcast."""
+    n = -(-keys.count() // BLOCK)
+    part = F.pmod(F.xxhash64(keys.columns[0]), F.lit(max(n, 1)))
+    return [keys.where(part == k) for k in range(n)]
+
+
+def look_up(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The words that stand in one of ``patterns(pattern)``: ``cored`` with ``pattern``. One scan a block, no shuffle."""
+    found = []
+    for block in _blocks(patterns):
+        left = F.broadcast(block.select(F.col("pattern").alias("p1")))  # at most BLOCK numbers
+        around = F.broadcast(block.select(F.col("pattern").alias("p2")))
+        hit = slots(docs).join(left, F.col("left") == F.col("p1"), "left").join(around, F.col("around") == F.col("p2"), "left")
+        hit = cored(hit.where("p1 is not null or p2 is not null").withColumns({"left": F.col("p1"), "around": F.col("p2")}))
+        found.append(hit.withColumn("pattern", F.explode(F.array_compact(F.array("left", "around")))).drop("left", "around"))
+    return reduce(DataFrame.unionByName, found)
 
 
-def bootstrap(
-    mentions: DataFrame, rounds: int = 3, least: float = 0.8, support: int = 3
-) -> tuple[DataFrame, DataFrame]:
-    """Score the graph of lexical patterns and instances; ``mentions(pattern, instance, seed)``.
+def contexts(docs: DataFrame, instances: DataFrame) -> DataFrame:
+    """All patterns in which one of ``instances(instance)`` stands: ``(pattern, instance)``. One scan a block, no shuffle."""
+    found = [
+        cored(slots(docs)).join(F.broadcast(block), "instance").select("instance", F.explode(F.array_compact(F.array("left", "around"))).alias("pattern"))
+        for block in _blocks(instances)
+    ]
+    return reduce(DataFrame.unionByName, found)
 
-    Seeds have confidence 1, other instances start at 0. Each round a pattern is as
-    trustworthy as its instances, smoothed: the sum of their confidences over their
-    number plus one; one with fewer than ``support`` distinct confident instances is
-    worth nothing. An instance is as trustworthy as its best pattern. Returns
-    ``patterns(pattern, score)`` and ``instances(instance, confidence)``. All in Spark.
+
+def bootstrap(edges: DataFrame, least: float = 0.8, support: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Score the graph of patterns and instances; ``edges(pattern, instance, prior)``.
+
+    A pattern is as trustworthy as its instances, smoothed: the sum of their confidences
+    over their number plus one; one with fewer than ``support`` distinct confident
+    instances is worth nothing. An instance has its prior confidence or that of its best
+    pattern. Confidences only grow, and this is repeated until the number of confident
+    instances stays. Returns ``patterns(pattern, score)``, the strong ones, and
+    ``instances(instance, confidence)``. All in Spark.
     """
-    edges = staged(mentions.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pattern-edges")
-    scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("confidence"))
-    for _ in range(rounds):
-        patterns = staged(
-            edges.join(scores, "instance").groupBy("pattern").agg(
-                F.sum("confidence").alias("hits"), F.sum((F.col("confidence") >= least).cast("int")).alias("good"),
-                F.count(F.lit(1)).alias("n"),
-            ).select("pattern", F.when(F.col("good") >= support, F.col("hits") / (F.col("n") + 1)).otherwise(0.0).alias("score")), "patterns",
-        )
-        strong = patterns.where(F.col("score") >= least)
-        scores = staged(
-            edges.join(strong, "pattern", "left").groupBy("instance").agg(
-                F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("score"), F.lit(0.0))).alias("confidence")
-            ), "instances",
-        )
-    return strong, scores
-
-
-def find_pii(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least: float = 0.8, support: int = 3
-) -> DataFrame:
+    edges = staged(edges.groupBy("pattern", "instance").agg(F.max("prior").alias("prior")), "pattern-edges")
+    scores = edges.groupBy("instance").agg(F.max("prior").alias("confidence"))
+    before = -1
+    while True:
+        rated = edges.join(scores, "instance").groupBy("pattern").agg(
+            F.sum("confidence").alias("hits"), F.sum((F.col("confidence") >= least).cast("int")).alias("good"), F.count(F.lit(1)).alias("n")
+        )
+        strong = staged(rated.select("pattern", F.when(F.col("good") >= support, F.col("hits") / (F.col("n") + 1)).otherwise(0.0).alias("score")), "patterns")
+        strong = strong.where(F.col("score") >= least)
+        best = edges.join(strong, "pattern", "left").groupBy("instance")
+        scores = staged(best.agg(F.greatest(F.max("prior"), F.coalesce(F.max("score"), F.lit(0.0))).alias("confidence")), "instances")
+        now = scores.where(F.col("confidence") >= least).count()
+        if now == before:
+            return strong, scores
+        before = now
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, support: int = 3) -> DataFrame:
     """``docs`` -> one row per row: id, ``n_email, n_ip, n_card, n_phone, n_id, base, added``.
 
     ``base`` and ``added`` are ``array<struct<kind, start, end>>`` in code points, end
-    exclusive. Base matches are the four patterns, validated, failing ones dropped. Their
-    values are the seeds: the two words before, or the words on either side, make a
-    lexical pattern; ``bootstrap`` scores patterns and identifier-like words over the whole
-    corpus, and words in a high-confidence pattern that no base match touches are added as
-    kind ``id``. Null texts count as empty; whole texts are read; texts move only where
-    nothing does, as only matches leave the scan. Rows that repeat an id and text get the
-    same spans. No mention of seeds: nothing is added.
+    exclusive. Base matches are the four patterns, validated, failing ones dropped. They
+    and key-like strings are the seeds: the two words before, or the words on either side,
+    make a lexical pattern. Patterns with ``support`` seeds are looked up in all texts,
+    ``bootstrap`` scores the graph of patterns and words, newly confident words give new
+    patterns, and so on until there are none. Whatever word stands in a high-confidence
+    pattern, without the signs around it, is added as kind ``id`` unless a base match
+    touches it; its looks only weigh in the score. Null texts count as empty; whole texts
+    are read, and only matches leave a scan. Rows that repeat an id and text get the same
+    spans. No mention of seeds: nothing is added. No rows give no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    row = F.xxhash64(F.col(id_col), F.col(text_col))
-    spans = base_spans(text)
-    all_base = F.concat(*spans.values())
-    found = docs.select(
-        F.col(id_col).alias("id"), row.alias("row"), all_base.alias("base"),
-        F.when(text.rlike(CANDIDATE), matches(text, CANDIDATE)).alias("words"),
-    )
-    found = staged(found, "pii-matches")
-    base = F.col("base")
-    seeds = found.select(F.explode("base").alias("m")).select(
-        "m.*", F.lit(1).alias("seed")
-    )
-    free = F.filter(
-        "words",
-        lambda w: ~F.exists(base, lambda b: (b["start"] < w["start"] + F.length(w["value"])) & (w["start"] < b["end"])),
-    )
-    words = found.where("words is not null").select("id", "row", F.explode(free).alias("m")).select("id", "row", "m.*")
-    pattern = F.explode(_patterns(F.col("before"), F.col("after"))).alias("pattern")
-    words = words.select("id", "row", "start", "value", pattern)
-    mentions = seeds.select(pattern, F.sha2("value", 256).alias("instance"), "seed").unionByName(
-        words.select("pattern", F.sha2("value", 256).alias("instance"), F.lit(0).alias("seed"))
-    )
-    strong, _ = bootstrap(mentions, rounds, least, support)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), text.alias("text"))
+    kinds = {k: mentions(F.col("text"), k, p, lambda v, k=k: _valid(k, v)) for k, p in BASE.items()}
+    found = staged(rows.select("id", "row", F.concat(*kinds.values()).alias("base"), mentions(F.col("text"), "key", KEY).alias("keys")), "pii-matches")
+    base = found.select("id", "row", F.explode("base").alias("m")).select("id", "row", "m.*")
+    taken = base.select("id", "row", F.explode("words").alias("place")).distinct()
+    here = lambda a, b: (F.col(f"{a}.row") == F.col(f"{b}.row")) & F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.place") == F.col(f"{b}.place"))
+    keys = found.select("id", "row", F.explode("keys").alias("m")).select("id", "row", "m.*").withColumn("place", F.col("words")[0])
+    keys = keys.alias("a").join(taken.alias("b"), here("a", "b"), "left_anti")
+    each = F.explode(F.array_compact(F.array("left", "around"))).alias("pattern")
+    seeds = staged(base.select(each, "instance").unionByName(keys.select(each, "instance")).distinct(), "pii-seeds")
+    key_slots = keys.select("id", "row", "place", "start", "end", "instance", F.lit(1.0).alias("prior"), each)
+    known = keys_of(seeds, support)
+    added = key_slots.where("false")
+    if not known.isEmpty():
+        seen = None  # words that stand in a known pattern, no base match in them
+        new = known
+        while True:
+            words = look_up(rows, new)
+            words = words.alias("a").join(taken.unionByName(keys.select("id", "row", "place")).alias("b"), here("a", "b"), "left_anti")
+            words = staged(words, "pii-words")
+            seen = words if seen is None else seen.unionByName(words)
+            graph = seeds.join(known, "pattern", "left_semi").withColumn("prior", F.lit(1.0)).unionByName(seen.select("pattern", "instance", "prior"))
+            strong, scores = bootstrap(graph, least, support)
+            sure = scores.where(F.col("confidence") >= least).select("instance")
+            fresh = staged(sure.join(seeds.select("instance").distinct(), "instance", "left_anti"), "pii-new")
+            if fresh.isEmpty():
+                break
+            more = seeds.unionByName(contexts(rows, fresh).select("pattern", "instance")).distinct()
+            new = staged(keys_of(more, support).join(known, "pattern", "left_anti"), "pii-patterns")
+            if new.isEmpty():
+                break
+            known = staged(known.unionByName(new), "pii-known")
+        added = key_slots.unionByName(seen.select(*key_slots.columns)).join(strong.select("pattern"), "pattern", "left_semi")
     added = (
-        words.join(strong.select("pattern"), "pattern", "left_semi")
-        .select("id", "row", F.struct(F.lit("id").alias("kind"), "start", (F.col("start") + F.length("value")).alias("end")).alias("m"))
+        added.select("id", "row", F.struct(F.lit("id").alias("kind"), "start", "end").alias("m"))
         .groupBy("id", "row").agg(F.array_sort(F.collect_set("m")).alias("added"))
     )
     added = added.select(F.col("id").alias("id2"), F.col("row").alias("row2"), "added")
@@ -176,6 +286,11 @@ def find_pii(
     return out.select(F.col("id").alias(id_col), *counts, F.size("added").cast("long").alias("n_id"), "base", "added")
 
 
+def keys_of(mentioned: DataFrame, support: int) -> DataFrame:
+    """``(pattern)`` of those in which ``support`` different confident instances stand; ``mentioned`` is distinct."""
+    return staged(mentioned.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("pattern"), "pii-patterns")
+
+
 def _of_kind(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda m: m["kind"] == kind)
 
