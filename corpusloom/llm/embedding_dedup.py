@@ -13,6 +13,20 @@ from corpusloom.llm.components import connected_components
 from corpusloom.llm.shared import staged
 
 
+def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest centres of each row, nearest first; ties by number."""
+    out = [np.zeros((0, n), dtype=np.int64)]
+    for at in range(0, len(x), 4096):
+        d = (centres**2).sum(axis=1) - 2 * x[at : at + 4096] @ centres.T
+        if n == 1:
+            out.append(d.argmin(axis=1)[:, None])
+            continue
+        part = np.argpartition(d, n - 1, axis=1)[:, :n] if n < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
+        part.sort(axis=1)
+        out.append(np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, axis=1), axis=1, kind="stable"), axis=1))
+    return np.concatenate(out)
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), size=min(k, len(x)), replace=False)].copy()
@@ -24,179 +38,255 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray
     return centres
 
 
-def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` nearest centres of each row, nearest first; ties by number."""
-    out = []
-    for at in range(0, len(x), 4096):
-        d = (centres**2).sum(axis=1) - 2 * x[at : at + 4096] @ centres.T
-        part = np.argpartition(d, n - 1, axis=1)[:, :n] if n < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
-        part.sort(axis=1)
-        out.append(np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, axis=1), axis=1, kind="stable"), axis=1))
-    return np.concatenate(out) if out else np.zeros((0, n), dtype=np.int64)
-
-
-def fit_index(sample: np.ndarray, lists: int, subspaces: int = 8, codes: int = 64) -> dict:
-    """Coarse centres and one codebook a subspace for the residuals, from a bounded sample of unit vectors."""
-    coarse = _kmeans(sample, lists)
-    rest = sample - coarse[nearest(sample, coarse, 1)[:, 0]]
-    cuts = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
-    books = [_kmeans(rest[:, a:b], codes) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return {"coarse": coarse, "cuts": cuts, "books": books}
-
-
-def encode(x: np.ndarray, home: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Residual codes and the length of what the codes miss."""
-    rest, cuts = x - index["coarse"][home], index["cuts"]
-    codes = np.zeros((len(x), len(index["books"])), dtype=np.uint8)
-    for s, book in enumerate(index["books"]):
-        part = rest[:, cuts[s] : cuts[s + 1]]
-        codes[:, s] = nearest(part, book, 1)[:, 0]
-        rest[:, cuts[s] : cuts[s + 1]] -= book[codes[:, s]]
-    return codes, np.sqrt((rest**2).sum(axis=1))
-
-
-def table_distances(query: np.ndarray, centre: np.ndarray, codes: np.ndarray, index: dict) -> np.ndarray:
-    """Distances from exact queries to coded vectors of one list: a table a query and subspace, then look-ups."""
-    rest, cuts = query - centre, index["cuts"]
-    out = np.zeros((len(query), len(codes)))
-    for s, book in enumerate(index["books"]):
-        part = rest[:, cuts[s] : cuts[s + 1]]
-        look = (part**2).sum(axis=1)[:, None] - 2 * part @ book.T + (book**2).sum(axis=1)
-        out += look[:, codes[:, s]]
-    return np.sqrt(np.maximum(out, 0))
-
-
-def clean(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision, and which rows have one: ``dim`` finite components, not all zero."""
-    x = np.zeros((len(vectors), dim))
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == dim:
-            x[i] = np.array([np.nan if c is None else c for c in v], dtype=np.float64) if None in v else np.asarray(v, dtype=np.float64)
-    with np.errstate(all="ignore"):
-        large = np.abs(x).max(axis=1, initial=0)
-        fine = np.isfinite(large) & (large > 0)
-        x = np.where(fine[:, None], x / np.where(fine, large, 1)[:, None], 0)
-        x = x / np.where(fine, np.sqrt((x**2).sum(axis=1)), 1)[:, None]
-    return x, fine
+class Index:
+    """Coarse lists and residual codes of unit vectors of one dimension, fitted on a bounded sample.
+
+    A list's centre is a first centre plus a second one for what the first leaves, so k
+    centres of each give k * k lists and the lists keep pace with the table. What the
+    list leaves is coded with one byte a subspace of about ``width`` components.
+    """
+
+    def __init__(self, sample: np.ndarray, lists: int, width: int = 4, codes: int = 256):
+        k = int(np.ceil(np.sqrt(lists)))
+        self.first = _kmeans(sample, k)
+        rest = sample - self.first[nearest(sample, self.first, 1)[:, 0]]
+        self.second = _kmeans(rest, -(-lists // k))
+        home = self.lists_of(sample, 1)[:, 0]
+        rest = sample - self.centre(home)
+        self.cuts = np.linspace(0, sample.shape[1], -(-sample.shape[1] // width) + 1).astype(int)
+        self.books = [_kmeans(rest[:, a:b], codes) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+
+    @property
+    def lists(self) -> int:
+        return len(self.first) * len(self.second)
+
+    def centre(self, number: np.ndarray) -> np.ndarray:
+        return self.first[number // len(self.second)] + self.second[number % len(self.second)]
+
+    def lists_of(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` nearest lists of each row, nearest first, among those of its nearest first centres."""
+        m, k = min(n, len(self.first)), len(self.second)
+        n = min(n, m * k)
+        out = [np.zeros((0, n), dtype=np.int64)]
+        for at in range(0, len(x), 1024):
+            part = x[at : at + 1024]
+            near = nearest(part, self.first, m)
+            rest = part[:, None, :] - self.first[near]
+            d = (rest**2).sum(axis=2)[:, :, None] - 2 * rest @ self.second.T + (self.second**2).sum(axis=1)
+            number = (near[:, :, None] * k + np.arange(k)).reshape(len(part), -1)
+            order = np.argsort(d.reshape(len(part), -1), axis=1, kind="stable")[:, :n]
+            out.append(np.take_along_axis(number, order, axis=1))
+        return np.concatenate(out)
+
+    def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Residual codes and the length of what the codes miss."""
+        rest = x - self.centre(home)
+        codes = np.zeros((len(x), len(self.books)), dtype=np.uint8)
+        for s, book in enumerate(self.books):
+            part = rest[:, self.cuts[s] : self.cuts[s + 1]]
+            codes[:, s] = nearest(part, book, 1)[:, 0]
+            rest[:, self.cuts[s] : self.cuts[s + 1]] -= book[codes[:, s]]
+        return codes, np.sqrt((rest**2).sum(axis=1))
+
+    def tables(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each query and subspace its products with the code words."""
+        return [-2 * x[:, a:b] @ book.T for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]
+
+    def distances(self, x: np.ndarray, tables: list[np.ndarray], codes: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """Asymmetric distances from exact queries to coded vectors of any lists: table look-ups and a term a list."""
+        centre = self.centre(home)
+        word = np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], axis=1)
+        out = (x**2).sum(axis=1)[:, None] - 2 * x @ centre.T + ((centre + word) ** 2).sum(axis=1)
+        for s, table in enumerate(tables):
+            out += table[:, codes[:, s]]
+        return np.sqrt(np.maximum(out, 0))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; the largest component is divided out first, so that no square overflows."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links ``a, b`` among ``n`` nodes -> as few links, node to root, that connect the same nodes."""
+    root = np.arange(n)
+    while (root[a] != root[b]).any():
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root[root] != root).any():
+            root = root[root]
+    some = np.flatnonzero(root != np.arange(n))
+    return some, root[some]
+
+
+FOUND = "a long, b long, n long, list long, cut int, visits boolean"
+
+
+def _frame(a, b, n, visits=(), list_=0, cut=0) -> pd.DataFrame:
+    visits = np.zeros(len(a), dtype=bool) if not len(visits) else visits
+    return pd.DataFrame({"a": a, "b": b, "n": n, "list": np.int64(list_), "cut": np.int32(cut), "visits": visits})
+
+
+def _results(key: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[pd.DataFrame]:
+    """Counts of links (``b`` is -1) and connecting links (``n`` is 0) of the linked rows ``a, b``."""
+    count = np.zeros(len(key), dtype=np.int64)
+    np.add.at(count, a, size[b])
+    np.add.at(count, b, size[a])
+    some = np.flatnonzero(count)
+    left, right = forest(a, b, len(key))
+    return [_frame(key[some], np.full(len(some), -1), count[some]), _frame(key[left], key[right], np.zeros(len(left), dtype=np.int64))]
 
 
 def embedding_dedup(
-    rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, probes: int = 8,
-    list_size: int = 400, sample: int = 10_000, max_lists: int = 4096, block: int = 512,
+    rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, probes: int = 12,
+    list_size: int = 400, sample: int = 20_000, block: int = 512,
 ) -> DataFrame:
     """``rows`` -> one row per row: id, ``n_links, component_id, kept``.
 
-    Links are pairs with cosine ``least`` or more in double precision. Equal vectors are
-    one class with a size, so copies never meet pair by pair; their links are counted.
-    The index is fitted on ``sample`` classes by hash and holds every class in its
-    nearest list; each class visits the ``probes`` nearest lists (recall against brute
-    force is tested, and at least 0.9). In a list, table distances to the codes, less
-    what a code misses, drop only pairs that can't link; the rest get their exact
-    cosine. Lists longer than ``block`` are cut into blocks that other tasks compare.
-    A pair that two lists see counts in the first. Only counts and a spanning forest
-    of links leave a task. Null, zero, non-finite vectors and those of another
-    dimension than the most common one link with nothing: 0 links, own component, kept.
-    Rows that repeat an id count as vectors of their own and share the id's component.
-    Model sizes are bounded by ``sample`` and ``max_lists``; no rows give no rows.
+    Links are pairs with cosine ``least`` or more in double precision, of vectors of one
+    dimension. Equal vectors are one class with a size, so copies never meet pair by pair.
+    The index is fitted on about ``sample`` vectors by hash and holds every class in the
+    nearest of about one list for each ``list_size`` classes. In a list its members stand
+    with their vectors; those of other lists among whose ``probes`` nearest lists it is
+    visit it as codes. Table distances, less what a code misses, drop only pairs that
+    can't link; then the vectors of the rest, and only these, are sent for the exact
+    cosine. So a pair is found if either has the other's list among its nearest (recall
+    against brute force is tested, and at least 0.9); one that both lists see counts in
+    the first. Lists longer than ``block`` are cut, and a cut's visitors come in portions.
+    Only counts and connecting links leave a task. Null, zero and non-finite vectors link
+    with nothing: 0 links, own component, kept. Rows that repeat an id are vectors of
+    their own; rows without id have their component's smallest. Models are bounded by
+    ``sample`` and the number of dimensions; no rows give no rows.
     """
     spark = rows.sparkSession
-    vector = F.col(vector_col).cast("array<double>")
-    base = rows.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"))
+    kind = rows.schema[vector_col].dataType.simpleString()
+    kind, number = ("array<float>", np.float32) if kind == "array<float>" else ("array<double>", np.float64)
     usable = F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    dims = base.where(usable).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dims is None:
-        return base.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = dims["d"]
-    classes = staged(
-        base.where(usable & (F.size("v") == dim)).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes"
-    )
-    n = classes.count()
-    lists = int(min(max_lists, max(1, n // list_size)))
-    part = min(1.0, sample / n)
-    picked = classes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < part * (1 << 30)).select("v").limit(2 * sample).toPandas()
-    picked = picked if len(picked) else classes.select("v").limit(1).toPandas()
-    x, _ = clean(sorted(map(tuple, picked["v"])), dim)
-    index = spark.sparkContext.broadcast(fit_index(x, lists))
-    probes = min(probes, len(index.value["coarse"]))
-    blocks = "list int, home int, vec binary, codes binary, miss double, rep long, n long, probed array<int>, member boolean"
+    base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
+    names = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]  # of a class, 128 bits
+    fine = base.where(usable)
+    dims = {r["d"]: r["n"] for r in fine.groupBy(F.size("v").alias("d")).agg(F.approx_count_distinct(F.xxhash64("v"), 0.01).alias("n")).collect()}
+    part = min(1.0, sample / max(1, sum(dims.values())))
+    picked = fine.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < part * (1 << 30)).select("v").distinct().limit(2 * sample).toPandas()
+    by_dim: dict[int, list] = {d: [] for d in dims}
+    for v in picked["v"]:
+        by_dim[len(v)].append(tuple(v))
+    model = {d: Index(unit(np.array(sorted(v) or [[1.0] * d])), max(1, -(-dims[d] // list_size))) for d, v in by_dim.items()}
+    index = spark.sparkContext.broadcast(model)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x, _ = clean(list(b["v"]), dim)
-            near = nearest(x, index.value["coarse"], probes)
-            codes, miss = encode(x, near[:, 0], index.value)
-            for p in range(probes):
+            for d, part in b.groupby(b["v"].map(len)):
+                m, raw = index.value[d], np.stack(part["v"].to_list()).astype(number)
+                x = unit(raw)
+                near = m.lists_of(x, probes)
+                codes, miss = m.encode(x, near[:, 0])
+                near = near + (d << 32)
                 yield pd.DataFrame({
-                    "list": near[:, p].astype(np.int32), "home": near[:, 0].astype(np.int32), "vec": [v.tobytes() for v in x],
-                    "codes": [c.tobytes() for c in codes], "miss": miss, "rep": b["rep"], "n": b["n"],
-                    "probed": list(near.astype(np.int32)), "member": p == 0,
+                    "rep": part["rep"].astype("Int64"), "n": part["n"], "h1": part["h1"], "h2": part["h2"], "home": near[:, 0], "probed": list(near),
+                    "vec": [v.tobytes() for v in raw], "codes": [c.tobytes() for c in codes], "miss": miss.astype(np.float32) + np.float32(1e-6),
                 })
 
-    seen = staged(classes.mapInPandas(place, blocks), "lists")
-    # Members of a list in blocks of about `block`; every visitor and member meets every block once.
-    sizes = seen.where("member").groupBy("list").agg(F.count(F.lit(1)).alias("m")).select("list", F.ceil(F.col("m") / block).alias("cuts"))
-    sizes = F.broadcast(sizes)  # at most max_lists rows
-    seen = seen.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cuts")))
-    seen = seen.withColumn("cut", F.explode(F.expr("sequence(0L, cuts - 1)")))
-    # Those who look at a block come in portions, with a copy of the block each.
-    looks = seen.groupBy("list", "cut").agg(F.count(F.lit(1)).alias("k")).select("list", "cut", F.ceil(F.col("k") / (2 * block)).alias("portions"))
-    seen = seen.join(looks, ["list", "cut"])
-    seen = seen.withColumn("inside", F.col("member") & (F.col("own") == F.col("cut")))
-    seen = seen.withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("portions")))
-    seen = seen.withColumn("portion", F.explode(F.expr("if(inside, sequence(0L, portions - 1), array(mine))")))
-    seen = seen.withColumn("asks", F.col("portion") == F.col("mine"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", kind="stable")
-        here, model = int(pdf["list"].iloc[0]), index.value
-        x = np.frombuffer(b"".join(pdf["vec"]), dtype=np.float64).reshape(len(pdf), dim)
-        rep, size = pdf["rep"].to_numpy(), pdf["n"].to_numpy()
-        inside, asks, member, home = (pdf[c].to_numpy() for c in ("inside", "asks", "member", "home"))
-        target, asker = np.flatnonzero(inside), np.flatnonzero(asks)
-        probed = np.stack(pdf["probed"].to_list())
-        codes = np.frombuffer(b"".join(pdf["codes"].iloc[target]), dtype=np.uint8).reshape(len(target), len(model["books"]))
-        miss = pdf["miss"].to_numpy()[target]
-        far = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
-        count, root, links = np.zeros(len(pdf), dtype=np.int64), np.arange(len(pdf)), []
-        for at in range(0, len(asker), 256):
-            q = asker[at : at + 256]
-            could = table_distances(x[q], model["coarse"][here], codes, model) - miss <= far
-            qi, ti = np.nonzero(could)
-            qi, ti = q[qi], target[ti]
-            ok = rep[qi] != rep[ti]
-            ok &= ~member[qi] | (rep[qi] < rep[ti])  # two members: one of the two directions
-            qi, ti = qi[ok], ti[ok]
-            ok = np.zeros(len(qi), dtype=bool)
-            for c in range(0, len(qi), 1 << 16):  # exact rerank
-                ok[c : c + (1 << 16)] = np.einsum("ij,ij->i", x[qi[c : c + (1 << 16)]], x[ti[c : c + (1 << 16)]]) >= least
-            qi, ti = qi[ok], ti[ok]
-            both = (probed[ti] == home[qi][:, None]).any(axis=1) & ~member[qi]  # the other's list sees this pair too
-            ok = ~both | (home[qi] > here)
-            qi, ti = qi[ok], ti[ok]
-            np.add.at(count, qi, size[ti])
-            np.add.at(count, ti, size[qi])
-            for a, b in zip(qi.tolist(), ti.tolist(), strict=True):
-                while root[a] != a:
-                    root[a] = a = root[root[a]]
-                while root[b] != b:
-                    root[b] = b = root[root[b]]
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    links.append((a, b))
-        some = np.flatnonzero(count)
-        counts = pd.DataFrame({"a": rep[some], "b": rep[some], "n": count[some]})
-        forest = pd.DataFrame({"a": [rep[a] for a, _ in links], "b": [rep[b] for _, b in links], "n": 0})
-        return pd.concat([counts, forest]).astype("int64")
-
-    found = staged(seen.groupBy("list", "cut", "portion").applyInPandas(compare, "a long, b long, n long"), "found")
-    counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("links"))
-    parts = connected_components(found.where("n = 0 and a <> b").select("a", "b"))
-    # Equal classes may differ as arrays but not as unit vectors; they link like any other pair.
-    named = (
-        classes.join(counts, F.col("rep") == F.col("a"), "left").join(parts, F.col("rep") == F.col("node"), "left")
-        .select(F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    )
-    out = base.join(named, (F.xxhash64("v") == F.xxhash64("w")) & (F.col("v") == F.col("w")), "left")
+    classes = fine.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).select("v", "rep", "n", *names)
+    shape = "rep long, n long, h1 long, h2 long, home long, probed array<long>, vec binary, codes binary, miss float"
+    placed = staged(classes.mapInPandas(place, shape).withColumn("key", F.monotonically_increasing_id()), "placed")
+
+    # Members stand in one cut of their list; codes visit all cuts of other lists, and the later cuts of their own.
+    own = placed.groupBy(F.col("home").alias("list")).agg(F.count(F.lit(1)).alias("m"))
+    asked = placed.select(F.explode("probed").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("k"))
+    sizes = own.join(asked, "list").select("list", F.expr(f"int(ceil(m / {block}))").alias("cuts"), F.expr("int(ceil(k / 8192))").alias("portions"))
+    sizes = staged(sizes, "list-sizes")
+    mine = F.expr("int(pmod(xxhash64(key), cuts))")
+    some = [F.col(c) for c in ("key", "n", "home", "codes", "miss")]
+    members = placed.select(F.col("home").alias("list"), *some, "probed", "vec").join(sizes, "list").withColumn("cut", mine)
+    members = members.withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
+    visitors = placed.select(F.explode("probed").alias("list"), *some).join(sizes, "list").withColumn("own", F.when(F.col("home") == F.col("list"), mine).otherwise(-1))
+    visitors = visitors.where("own + 1 < cuts").withColumn("cut", F.explode(F.expr("sequence(own + 1, cuts - 1)")))
+    visitors = visitors.withColumn("portion", F.expr("int(pmod(xxhash64(key, 1), portions))"))
+    both = members.unionByName(visitors, allowMissingColumns=True)
+    far = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+
+    def first_here(home: np.ndarray, here: int, probed: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether pair (member i, visitor j) counts in this list: the visitor's own list doesn't see it, or comes later."""
+        return (home[j] >= here) | ~(probed[i] == home[j][:, None]).any(axis=1)
+
+    def near_codes(m: Index, x: np.ndarray, pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        codes = np.frombuffer(b"".join(pdf["codes"]), dtype=np.uint8).reshape(len(pdf), len(m.books))
+        home, miss, tables = pdf["home"].to_numpy() & 0xFFFFFFFF, pdf["miss"].to_numpy(), m.tables(x)
+        for at in range(0, len(pdf), 1024):
+            cut = slice(at, at + 1024)
+            i, j = np.nonzero(m.distances(x, tables, codes[cut], home[cut]) - miss[cut] <= far)
+            yield i, j + at
+
+    def linked(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = np.zeros(len(i), dtype=bool)
+        for c in range(0, len(i), 1 << 16):
+            cut = slice(c, c + (1 << 16))
+            ok[cut] = np.einsum("ij,ij->i", x[i[cut]], y[j[cut]]) >= least
+        return ok
+
+    def vectors(pdf: pd.DataFrame) -> np.ndarray:
+        return unit(np.frombuffer(b"".join(pdf["vec"]), dtype=number).reshape(len(pdf), -1))
+
+    def narrow(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links among a cut's members, and the members and visitors whose codes are near enough."""
+        here, cut, portion = (int(pdf[c].iloc[0]) for c in ("list", "cut", "portion"))
+        stands = pdf["vec"].notna()
+        inside, outside = pdf[stands].sort_values("key"), pdf[~stands].sort_values("key")
+        if not len(inside):
+            return _frame(*[np.zeros(0, dtype=np.int64)] * 3)
+        x, m, key = vectors(inside), index.value[here >> 32], inside["key"].to_numpy()
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        if portion == 0:
+            for i, j in near_codes(m, x, inside):
+                i, j = i[i < j], j[i < j]
+                ok = linked(x, x, i, j)
+                left.append(i[ok])
+                right.append(j[ok])
+        out = _results(key, inside["n"].to_numpy(), np.concatenate(left), np.concatenate(right))
+        probed, home = np.stack(inside["probed"].to_list()), outside["home"].to_numpy()
+        asks, asked = np.zeros(len(inside), dtype=bool), np.zeros(len(outside), dtype=bool)
+        for i, j in near_codes(m, x, outside):
+            ok = first_here(home, here, probed, i, j)
+            asks[i[ok]] = asked[j[ok]] = True
+        wanted = np.concatenate([key[asks], outside["key"].to_numpy()[asked]])
+        none = np.full(len(wanted), -1)
+        return pd.concat([*out, _frame(wanted, none, none, np.arange(len(wanted)) >= asks.sum(), here, cut)], ignore_index=True)
+
+    def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Exact cosines of a cut's wanted members with its wanted visitors."""
+        here = int(pdf["list"].iloc[0])
+        pdf = pdf.sort_values(["visits", "key"])
+        x, k = vectors(pdf), int((~pdf["visits"]).sum())
+        probed, home = np.stack(pdf["probed"].to_list()), pdf["home"].to_numpy()
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for at in range(k, len(pdf), 1024):
+            i, j = np.nonzero(x[:k] @ x[at : at + 1024].T >= least - 1e-9)
+            j += at
+            ok = first_here(home, here, probed, i, j)
+            i, j = i[ok], j[ok]
+            ok = linked(x, x, i, j)
+            left.append(i[ok])
+            right.append(j[ok])
+        return pd.concat(_results(pdf["key"].to_numpy(), pdf["n"].to_numpy(), np.concatenate(left), np.concatenate(right)), ignore_index=True)
+
+    found = staged(both.groupBy("list", "cut", "portion").applyInPandas(narrow, FOUND), "narrowed")
+    wanted = found.where("n = -1").select(F.col("a").alias("key"), "list", "cut", "visits").distinct()
+    looks = wanted.groupBy("list", "cut").agg(F.expr("int(ceil(count_if(visits) / 8192))").alias("portions"))
+    wanted = wanted.join(looks, ["list", "cut"])
+    wanted = wanted.withColumn("portion", F.explode(F.expr("if(visits, array(int(pmod(xxhash64(key, 2), portions))), sequence(0, portions - 1))")))
+    wanted = wanted.join(placed.select("key", "n", "home", "probed", "vec"), "key")
+    exact = staged(wanted.groupBy("list", "cut", "portion").applyInPandas(rerank, FOUND), "reranked")
+    links = found.where("n >= 0").unionByName(exact)
+    counts = links.where("n > 0").groupBy("a").agg(F.sum("n").alias("links"))
+    parts = connected_components(links.where("n = 0").select("a", "b"))
+    classes = placed.select("key", "rep", "n", "h1", "h2")
+    classes = classes.join(counts, F.col("key") == F.col("a"), "left").join(parts, F.col("key") == F.col("node"), "left")
+    classes = staged(classes.select("h1", "h2", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component"), "named")
+    least_id = classes.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    classes = classes.join(least_id, "component", "left").select("h1", "h2", "links", F.coalesce("least", "rep").alias("component"))
+    out = base.select("id", *(F.when(usable, h).alias(n) for h, n in zip(names, ("h1", "h2"), strict=True))).join(classes, ["h1", "h2"], "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
