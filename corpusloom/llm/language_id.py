@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,12 @@ SCRIPTS = [
 
 def script(word: str) -> str:
     """The script of a word's first letter."""
-    c = ord(word[0])
-    return next((name for name, first, last in SCRIPTS if first <= c <= last), "other")
+    return _script(word[0])
+
+
+@lru_cache(maxsize=1 << 12)
+def _script(letter: str) -> str:
+    return next((name for name, first, last in SCRIPTS if first <= ord(letter) <= last), "other")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -108,6 +113,20 @@ def fit(
 EXCLUDED = -1e9
 
 
+class _Grams(dict):
+    """Trigram -> its row in the model; those of buckets not seen share the last."""
+
+    def __init__(self, model: dict):
+        super().__init__()
+        self.place, self.buckets = model["place"], model["buckets"]
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        self[gram] = row = self.place.get(zlib.crc32(gram.encode()) % self.buckets, len(self.place))
+        return row
+
+
 class WordScores(dict):
     """Word -> row of ``table``: the word's log score in each language.
 
@@ -117,35 +136,42 @@ class WordScores(dict):
 
     def __init__(self, model: dict, room: int = 32 << 20):
         super().__init__()
-        self.model, self.room, self.held = model, room, 0
+        self.room, self.logp, self.grams = room, model["logp"].astype(np.float64), _Grams(model)
+        self.scripts = {k: i for i, k in enumerate(model["allowed"])}
+        n = len(model["langs"])
+        self.allowed = np.array([*model["allowed"].values(), np.zeros(n, dtype=bool)]).reshape(-1, n)
         self.clear()
 
     def clear(self) -> None:
         super().clear()
         self.held = 0
-        self.table = np.zeros((1024, len(self.model["langs"])))
-        self.letters = np.zeros((1024, 2), dtype=np.int32)  # of each word: all, and those that count for a language
-
-    def __missing__(self, word: str) -> int:
-        m = self.model
-        shown, place, rest = f"^{word}$", m["place"], len(m["place"])
-        rows = [place.get(zlib.crc32(shown[i : i + 3].encode()) % m["buckets"], rest) for i in range(len(word))]
-        s = m["logp"][rows].sum(axis=0, dtype=np.float64)
-        s = np.clip(s - s.max(), -12, 0)  # no word outweighs many others
-        allowed = m["allowed"].get(script(word))
-        s = np.zeros_like(s) if allowed is None else np.where(allowed, s - s[allowed].max(), EXCLUDED)
-        if len(self) == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.table[len(self)], self.letters[len(self)] = s, (len(word), 0 if allowed is None else len(word))
-        self.held += 200 + 2 * len(word) + 8 * len(s)
-        self[word] = i = len(self)
-        return i
+        self.table = np.zeros((0, self.logp.shape[1]))
+        self.letters = np.zeros((0, 2), dtype=np.int32)  # of each word: all, and those that count for a language
 
     @property
     def full(self) -> bool:
         return self.held > self.room
 
+    def learn(self, words: Iterable[str]) -> None:
+        """Score the words that are not known yet, all at once."""
+        new = [w for w in words if w not in self]
+        for at in range(0, len(new), 1 << 14):
+            part = new[at : at + (1 << 14)]
+            shown = [f"^{w}$" for w in part]
+            rows = np.fromiter((self.grams[s[i : i + 3]] for s in shown for i in range(len(s) - 2)), dtype=np.int32)
+            size = np.array([len(w) for w in part])
+            score = np.add.reduceat(self.logp[rows], np.cumsum(size) - size, axis=0)
+            score = np.maximum(score - score.max(axis=1, keepdims=True), -12)  # no word outweighs many others
+            allowed = self.allowed[[self.scripts.get(script(w), -1) for w in part]]
+            some = allowed.any(axis=1)
+            best = np.where(allowed, score, -np.inf).max(axis=1, keepdims=True, where=allowed, initial=-12)
+            score = np.where(allowed, score - best, np.where(some[:, None], EXCLUDED, 0.0))
+            first = len(self)
+            self.update(zip(part, range(first, first + len(part)), strict=True))
+            self.table = np.concatenate([self.table, score])
+            self.letters = np.concatenate([self.letters, np.stack([size, size * some], axis=1).astype(np.int32)])
+            self.held += 200 * len(part) + 2 * int(size.sum()) + score.nbytes
+
 
 def viterbi(scores: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray, penalty: float) -> np.ndarray:
     """Best language of every word of many texts at once, where each switch of language costs ``penalty``.
@@ -224,11 +250,18 @@ def identify(
 
         for b in batches:
             first, parts, n = 0, [], 0
+            lists: list[list[str]] = []
+            waiting = 0
             for i, text in enumerate(b["text"]):
-                found = words_of(text) if langs else []
-                parts.append(np.fromiter(map(words.__getitem__, found), dtype=np.int32, count=len(found)))
-                n += len(parts[-1])
-                if n >= words_at_once or words.full or i == len(b) - 1:
+                lists.append(words_of(text) if langs else [])
+                waiting += len(lists[-1])
+                last = i == len(b) - 1
+                if waiting < words_at_once // 10 and not last:
+                    continue
+                words.learn({w for found in lists for w in found})
+                parts += [np.fromiter(map(words.__getitem__, found), dtype=np.int32, count=len(found)) for found in lists]
+                n, lists, waiting = n + waiting, [], 0
+                if n >= words_at_once or words.full or last:
                     rows = b.iloc[first : i + 1].drop(columns="text").reset_index(drop=True)
                     yield pd.concat([rows, decide(parts)], axis=1)
                     first, parts, n = i + 1, [], 0
