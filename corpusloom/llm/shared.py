@@ -1,13 +1,13 @@
-"""What the operators of this subpackage have in common: tables, and stage tables in the shared folder."""
+"""What the operators of this subpackage have in common: tables, words, and stage tables in the shared folder."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.sources.stages import shared_folder, staged
+
+__all__ = ["SPACES", "WORD", "shared_folder", "staged", "table"]
+
 #: White space of the contracts: blank and the control characters from tab to carriage return.
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
@@ -15,31 +15,3 @@ WORD = rf"[^{SPACES}]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A local session without that setting gets a temporary folder of its own;
-    a cluster without it is an error, as a machine-local folder would lose data.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = os.environ.get("CORPUSLOOM_STAGES") or tempfile.mkdtemp(prefix="corpusloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    It cuts the lineage: lost executors cost the running stage only. Whoever owns
-    the shared folder expires its ``stage-*`` entries after the job.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
