@@ -139,7 +139,7 @@ class WordScores(dict):
         self.room, self.logp, self.grams = room, model["logp"].astype(np.float64), _Grams(model)
         self.scripts = {k: i for i, k in enumerate(model["allowed"])}
         n = len(model["langs"])
-        self.allowed = np.array([*model["allowed"].values(), np.zeros(n, dtype=bool)]).reshape(-1, n)
+        self.allowed = np.stack([*model["allowed"].values(), np.zeros(n, dtype=bool)])  # the last: scripts of no language
         self.clear()
 
     def clear(self) -> None:
