@@ -35,6 +35,8 @@ QUESTION = (
 )
 ANSWER = r"(?i)^(?:A(?:nswer)?\s*\d*|答案|解析|解答|总结)\s*[:：]"
 CJK = "一-鿿"
+# Fixed values of the data contract: radicals that NFKC leaves as they are.
+RADICALS = {"⻓": "长", "⻅": "见", "⻣": "骨", "⻛": "风", "⻬": "齐", "⻉": "贝", "⻔": "门", "⻆": "角", "⻢": "马"}
 
 
 def _replace(col: Column, *pairs: tuple[str, str]) -> Column:
@@ -45,7 +47,12 @@ def _replace(col: Column, *pairs: tuple[str, str]) -> Column:
 
 def strip(col: Column) -> Column:
     """Without white space at both ends, line ends included."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(" \t\n\x0b\f\r"))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def squeeze(col: Column) -> Column:
@@ -84,10 +91,9 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def clean_ocr_text(col: Column, radicals: dict[str, str] | None = None) -> Column:
-    """NFKC (which also resolves compatibility radicals and ligatures), further replacements, no doubled blanks."""
-    text = nfkc(F.coalesce(col, F.lit("")))
-    for old, new in (radicals or {}).items():
-        text = F.replace(text, F.lit(old), F.lit(new))
+    """NFKC (which resolves most radicals and all ligatures), the other radicals, no doubled blanks."""
+    radicals = RADICALS if radicals is None else radicals
+    text = F.translate(nfkc(F.coalesce(col, F.lit(""))), "".join(radicals), "".join(radicals.values()))
     return strip(_replace(text, (r"(?<=[!-~])[ \t]+(?=[!-~])", " "), (r"[ \t]*\n[ \t]*", "\n")))
 
 
@@ -98,8 +104,7 @@ def canonical_text(col: Column, kind: Column | None = None, alphabet: str = "asc
     """
     keep = {"ascii_cjk": rf"[^0-9a-z{CJK}]+", "unicode": r"[^\p{L}\p{N}]+"}[alphabet]
     text = F.coalesce(col, F.lit(""))
-    prose = F.regexp_replace(F.lower(text), keep, "")
-    prose = F.when(prose == "", squeeze(text)).otherwise(prose)
+    prose = let(F.regexp_replace(F.lower(text), keep, ""), lambda p: F.when(p == "", squeeze(text)).otherwise(p))
     return prose if kind is None else F.when(kind.isin("code", "formula", "table"), squeeze(text)).otherwise(prose)
 
 
@@ -205,10 +210,18 @@ def tokens_eval(col: Column) -> Column:
 
 def tokens_bm25(col: Column) -> Column:
     """Latin identifiers, CJK characters and bigrams, repeats kept; a text without any is its own token."""
-    text = F.lower(rejoin_identifiers(F.coalesce(col, F.lit(""))))
-    runs = _all(text, f"[{CJK}]{{2,}}")
-    found = F.concat(_all(text, r"[a-z][a-z0-9_+.#:/\-]*"), _all(text, f"[{CJK}]"), _bigrams(runs))
-    return F.when(F.size(found) == 0, F.array(text)).otherwise(found)
+
+    def found(text: Column) -> Column:
+        none = F.array().cast("array<string>")
+        chinese = F.concat(_all(text, f"[{CJK}]"), _bigrams(_all(text, f"[{CJK}]{{2,}}")))
+        return F.concat(_all(text, r"[a-z][a-z0-9_+.#:/\-]*"), F.when(text.rlike(f"[{CJK}]"), chinese).otherwise(none))
+
+    def tokens(text: Column) -> Column:
+        return let(found(text), lambda t: F.when(F.size(t) == 0, F.array(text)).otherwise(t))
+
+    text = F.coalesce(col, F.lit(""))
+    split = text.rlike(r"[A-Z]\s")  # only then can an identifier have been split at a capital
+    return let(F.lower(F.when(split, rejoin_identifiers(text)).otherwise(text)), tokens)
 
 
 def tokens_topic(col: Column) -> Column:

@@ -151,6 +151,20 @@ def user_documents(docs: DataFrame, cap: int = 50, page: int = 1, size: int = 10
     return rows, docs.groupBy("user_id").agg(n.alias("n_documents"), (n < cap).alias("may_add"))
 
 
+def document_status(docs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``docs(document_id, status, chunk_count, error)`` after ``outcomes(document_id, outcome, chunk_count, reason)``, one a document.
+
+    ``ready`` sets the chunks and clears the error, ``failed`` keeps a reason of 500
+    characters, ``reset`` puts a failed document, and no other, back to processing.
+    """
+    rows = docs.join(outcomes.select("document_id", "outcome", F.col("chunk_count").alias("n"), "reason"), "document_id", "left")
+    reset = (F.col("outcome") == "reset") & (F.col("status") == "failed")
+    status = F.when(F.col("outcome").isin("ready", "failed"), F.col("outcome")).when(reset, "processing").otherwise(F.col("status"))
+    error = F.when(F.col("outcome") == "failed", F.left("reason", F.lit(500))).when((F.col("outcome") == "ready") | reset, None).otherwise(F.col("error"))
+    count = F.when(F.col("outcome") == "ready", F.col("n")).otherwise(F.col("chunk_count"))
+    return rows.select("document_id", status.alias("status"), count.alias("chunk_count"), error.alias("error"))
+
+
 def owner_filter(user_id: int | None = None, guest_hash: str | None = None) -> Column:
     """U16: a user's rows, or a guest's rows without user."""
     if user_id is not None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import strip
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,7 +39,7 @@ SOURCE_DOCS = """source_docs AS (
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The non-empty lines of documents as chunks; the parent is the document."""
     lines = source_docs(spark, sf_dir).select("*", F.posexplode(F.split("text", "\n")).alias("child_index", "line")).drop("text")
-    lines = lines.withColumn("text", F.regexp_replace("line", r"^\s+|\s+$", "")).where("text <> ''")
+    lines = lines.withColumn("text", strip(F.col("line"))).where("text <> ''")
     kind = F.when(F.contains("text", F.lit("|")), "table").when(F.contains("text", F.lit('= "')), "code").otherwise("paragraph")
     return lines.select(
         F.concat_ws(":", "document_id", F.col("child_index").cast("string")).alias("chunk_id"),
