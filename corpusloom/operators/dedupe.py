@@ -22,8 +22,9 @@ def exact_dedupe(chunks: DataFrame, order: list[str] = ORDER) -> tuple[DataFrame
     """``(kept, duplicates(chunk_id, duplicate_of, kind))``; the first of equal canonical texts by ``order`` stays.
 
     The first is a minimum, combined before the shuffle, so a hot text doesn't meet in one task.
+    Canonical forms are made once and staged; the duplicates are found without the texts.
     """
-    keyed = chunks.withColumn("canonical_hash", F.sha2(canonical_text(F.col("text"), F.col("knowledge_type")), 256))
+    keyed = staged(chunks.withColumn("canonical_hash", F.sha2(canonical_text(F.col("text"), F.col("knowledge_type")), 256)), "canonical")
     first = keyed.groupBy("canonical_hash").agg(F.min_by("chunk_id", F.struct(*order)).alias("first_id"))
     joined = keyed.join(first, "canonical_hash")
     kept = joined.where("chunk_id = first_id").drop("first_id")
@@ -91,7 +92,9 @@ def dedupe(chunks: DataFrame, max_distance: int = 3, bucket_bits: int = 16, algo
     kept, gone = exact_dedupe(chunks, order)
     kept = staged(kept.withColumn("place", F.struct(*order)), "exact")
     prose = kept.where(~F.col("knowledge_type").isin(EXEMPT)).withColumn("fp", simhash64(canonical_text(F.col("text")), 5, algorithm))
-    prose = staged(prose.select("chunk_id", "fp", "place"), "fingerprints")
+    every = staged(prose.select("chunk_id", "fp", "place"), "fingerprints")
+    # Of equal fingerprints the first decides for all: whatever earlier chunk drops it drops the others, else it does.
+    prose = staged(every.groupBy("fp").agg(F.min_by("chunk_id", "place").alias("chunk_id"), F.min("place").alias("place")), "first-fingerprints")
     pairs = near_pairs(prose, max_distance, bucket_bits)
     place = prose.select("chunk_id", "place")
     pairs = pairs.join(place.select(F.col("chunk_id").alias("a"), F.col("place").alias("pa")), "a").join(
@@ -113,6 +116,9 @@ def dedupe(chunks: DataFrame, max_distance: int = 3, bucket_bits: int = 16, algo
     stays = state.where("fate = 'kept'").select(F.col("id").alias("early"))
     near = edges.join(stays, "early").join(state.where("fate = 'gone'").select(F.col("id").alias("late")), "late")
     near = staged(near.groupBy(F.col("late").alias("chunk_id")).agg(F.min_by("early", "place").alias("duplicate_of")), "near")
+    others = every.join(prose.select("fp", F.col("chunk_id").alias("rep")), "fp").where("chunk_id <> rep").select("chunk_id", "rep")
+    others = others.join(near.select(F.col("chunk_id").alias("rep"), "duplicate_of"), "rep", "left")
+    near = staged(near.unionByName(others.select("chunk_id", F.coalesce("duplicate_of", "rep").alias("duplicate_of"))), "near")
     # Copies of a chunk that went as near share its fate: they point where it points.
     follow = near.select(F.col("chunk_id").alias("duplicate_of"), F.col("duplicate_of").alias("target"))
     copies = gone.join(follow, "duplicate_of", "left").select(
@@ -137,11 +143,17 @@ def new_uploads(uploads: DataFrame, existing: DataFrame, keys: tuple[str, ...] =
     return first.join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def _first(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
+    """The first row per ``keys``: a minimum, combined before the shuffle, so a hot key doesn't meet in one task."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    best = df.groupBy(*(k.alias(n) for k, n in zip(keys, names, strict=True))).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("row"))
+    return best.select("row.*")
+
+
 def dedupe_evidence(df: DataFrame, chars: int = 500, request: str = "request_id", pos: str = "pos") -> DataFrame:
     """Per request the first of equal openings (lower case, squeezed, ``chars`` characters)."""
     mark = F.sha2(F.left(F.lower(squeeze(F.coalesce("text", F.lit("")))), F.lit(chars)), 256)
-    first = Window.partitionBy(request, "mark").orderBy(pos)
-    return df.withColumn("mark", mark).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "mark")
+    return _first(df, [F.col(request), mark], [pos])
 
 
 def dedupe_sources(df: DataFrame, cap: int | None = 18, request: str = "request_id", pos: str = "pos") -> DataFrame:
@@ -160,8 +172,7 @@ def dedupe_sources(df: DataFrame, cap: int | None = 18, request: str = "request_
 def merge_hits(hits: DataFrame, request: str = "query_id", pos: str = "pos") -> DataFrame:
     """First hit per content hash, else parent, else document."""
     key = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("content_hash", "parent_id", "document_id")])
-    first = Window.partitionBy(request, "hit_key").orderBy(pos)
-    return hits.withColumn("hit_key", key).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "hit_key")
+    return _first(hits, [F.col(request), key], [pos])
 
 
 @F.pandas_udf(DoubleType())

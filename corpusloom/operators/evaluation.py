@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import nearest_rank, squeeze, strip, tokens_eval
+from corpusloom.sources.stages import staged
 
 # Fixed values of the data contract.
 GATES = {
@@ -249,11 +250,18 @@ def split_missing_responses(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return obs.where(has), obs.where(~has).select("sample_id", F.lit("failed").alias("status"), F.lit("generation_response_missing").alias("error"))
 
 
-def batches(queries: DataFrame, size: int = 10, max_queries: int = 1_000_000) -> DataFrame:
-    """Queries with their batch number, in id order (a golden set is small; its size is checked)."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
-    return queries.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / size))
+def batches(queries: DataFrame, size: int = 10) -> DataFrame:
+    """Queries with their batch number, in id order.
+
+    A global sort numbers the rows of each partition; what earlier partitions hold is added from one row a partition.
+    """
+    kept = queries.columns
+    rows = staged(queries.orderBy("query_id").withColumn("_at", F.monotonically_increasing_id()), "in-order")
+    rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("_part")) - F.col("n")  # one row a partition
+    rows = rows.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return rows.select(*kept, F.floor((F.col("_before") + F.col("_at")) / size).alias("batch"))
 
 
 def pending_batches(batched: DataFrame, done: DataFrame) -> DataFrame:
