@@ -155,7 +155,23 @@ def quizzes(spark, sf_dir):
     return q, s.withColumn("expected_difficulty", F.lit("Hard"))
 
 
-@query("quiz_rules_e14")
+_T = r"list_distinct(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9_+#.\\-]+'))"
+_QUIZ = f"""qc AS (SELECT *, regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS low FROM conversations WHERE role <> 'system'),
+qs AS (SELECT conv_id AS sample_id, count(*) AS n, count(DISTINCT nullif(low, '')) AS u, count(nullif(low, '')) AS t, count(CASE WHEN (role = 'user') = (turn % 3 <> 0) THEN 1 END) AS bad,
+    {_T.format("string_agg(text, ' ')")} AS have, {_T.format("arg_min(text, turn)")} AS want, arg_max(text, turn) AS proof FROM qc GROUP BY conv_id),
+qx AS (SELECT *, len(list_intersect(want, have)) / greatest(len(want), 1) AS cover, proof = '' OR list_has_any({_T.format("proof")}, have) AS backed FROM qs),
+quiz AS (SELECT sample_id, 'quiz' AS kind, unnest(['quiz.non_empty', 'quiz.no_duplicate_questions', 'quiz.valid_question_structure', 'quiz.knowledge_point_coverage', 'quiz.difficulty_matches', 'quiz.evidence_supported']) AS rule,
+    unnest([true, t = u, bad = 0, len(want) = 0 OR cover >= 0.5, true, backed]) AS passed, unnest([1.0, (t = u)::DOUBLE, (bad = 0)::DOUBLE, cover, 1.0, backed::DOUBLE]) AS score FROM qx)"""
+_REPORT = f"""rc AS (SELECT conv_id AS sample_id, arg_max(text, turn) AS summary, arg_min(text, turn) AS topic, coalesce(string_agg(text, ' ') FILTER (role = 'assistant'), '') AS weak, count(CASE WHEN role = 'assistant' THEN 1 END) AS n_weak
+    FROM conversations WHERE role <> 'system' GROUP BY conv_id),
+rt AS (SELECT *, {_T.format("topic")} AS want, {_T.format("concat_ws(' ', summary, weak, CASE WHEN sample_id % 2 = 0 THEN topic ELSE '' END)")} AS body FROM rc),
+rx AS (SELECT *, len(list_intersect(want, body)) / greatest(len(want), 1) AS cover, list_has_any(want, body) AS hit FROM rt),
+report AS (SELECT sample_id, 'report' AS kind, unnest(['report.has_summary', 'report.has_weakness', 'report.has_recommendation', 'report.covers_knowledge_points', 'report.topic_relevant', 'report.evidence_supported']) AS rule,
+    unnest([trim(summary) <> '', n_weak > 0, sample_id % 2 = 0, len(want) = 0 OR cover >= 0.3, topic = '' OR hit, topic = '' OR hit]) AS passed,
+    unnest([(trim(summary) <> '')::DOUBLE, (n_weak > 0)::DOUBLE, (sample_id % 2 = 0)::DOUBLE, cover, (topic = '' OR hit)::DOUBLE, (topic <> '' AND hit)::DOUBLE]) AS score FROM rx)"""
+
+
+@query("quiz_rules_e14", f"WITH {_QUIZ} SELECT * FROM quiz")
 def quiz_rules_e14(spark, sf_dir):
     return E.quiz_rules(*quizzes(spark, sf_dir))
 
@@ -164,17 +180,18 @@ def reports(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role <> 'system'")
     r = c.groupBy(F.col("conv_id").alias("sample_id")).agg(
         F.max_by("text", "turn").alias("summary"), F.array(F.min_by("text", "turn")).alias("expected_points"), F.min_by("text", "turn").alias("topic"),
-        F.filter(F.collect_list(F.when(F.col("role") == "assistant", F.left("text", F.lit(40)))), lambda x: x.isNotNull()).alias("weaknesses"),
+        F.filter(F.collect_list(F.when(F.col("role") == "assistant", F.col("text"))), lambda x: x.isNotNull()).alias("weaknesses"),
     )
     return r.withColumn("recommendations", F.when(F.col("sample_id") % 2 == 0, F.array("topic")).otherwise(F.array().cast("array<string>"))).withColumn("evidence_text", F.col("topic"))
 
 
-@query("report_rules_e15")
+@query("report_rules_e15", f"WITH {_REPORT} SELECT * FROM report")
 def report_rules_e15(spark, sf_dir):
     return E.report_rules(reports(spark, sf_dir))
 
 
-@query("rule_aggregates_e16")
+@query("rule_aggregates_e16", f"""WITH {_QUIZ}, {_REPORT}, per AS (SELECT kind, sample_id, min(passed::INT) AS ok, avg(score) AS score, max((rule LIKE '%no_duplicate_questions' AND NOT passed)::INT) AS dup FROM (SELECT * FROM quiz UNION ALL SELECT * FROM report) GROUP BY ALL)
+SELECT kind, avg(ok) AS valid_rate, CAST(round(avg(score), 6) AS DOUBLE) AS mean_score, avg(dup) AS duplicate_rate FROM per GROUP BY kind""")
 def rule_aggregates_e16(spark, sf_dir):
     return _rounded(E.aggregate_rules(E.quiz_rules(*quizzes(spark, sf_dir)).unionByName(E.report_rules(reports(spark, sf_dir)))), "mean_score")
 
@@ -221,7 +238,15 @@ def merge_batches_e19(spark, sf_dir):
     return E.merge_batches(samples, table(spark, sf_dir, "labels").count())
 
 
-@query("mode_benchmark_e20")
+_MODES = f"""fused AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, sum(1 / (60 + rank)) AS score FROM (SELECT query_id, chunk_id, rank FROM bm25 UNION ALL SELECT query_id, chunk_id, rank FROM over) GROUP BY ALL) QUALIFY rank <= 50),
+mh AS (SELECT 'bm25' AS mode, query_id, chunk_id, rank FROM bm25 UNION ALL SELECT 'overlap', query_id, chunk_id, rank FROM over UNION ALL SELECT 'rrf', query_id, chunk_id, rank FROM fused),
+mb AS (SELECT mode, query_id, chunk_id, min(rank) AS rank, max(gain) AS gain FROM mh JOIN qrels USING (query_id, chunk_id) WHERE rank <= 5 AND gain > 0 GROUP BY ALL),
+mg AS (SELECT mode, query_id, count(*) AS f, min(rank) AS first, sum((2 ** gain - 1) / log2(rank + 1)) AS dcg FROM mb GROUP BY ALL),
+mi AS (SELECT query_id, count(*) FILTER (gain > 0) AS n, sum((2 ** gain - 1) / log2(place + 1)) FILTER (place <= 5) AS idcg FROM (SELECT query_id, gain, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS place FROM qrels) GROUP BY query_id),
+mp AS (SELECT m.mode, (first IS NOT NULL)::INT AS hit, coalesce(1 / first, 0) AS mrr, least(1, coalesce(dcg, 0) / idcg) AS ndcg, coalesce(f, 0) / n AS recall FROM (SELECT DISTINCT mode FROM mh) m CROSS JOIN mi LEFT JOIN mg ON mg.mode = m.mode AND mg.query_id = mi.query_id)"""
+
+
+@query("mode_benchmark_e20", f"""WITH {_BM}, {_MODES} SELECT mode, {", ".join(f"CAST(round(avg({c}), 6) AS DOUBLE) AS {c}" for c in ("hit", "mrr", "ndcg", "recall"))}, (SELECT count(*) FROM mh WHERE mh.mode = mp.mode) AS candidates FROM mp GROUP BY mode""")
 def mode_benchmark_e20(spark, sf_dir):
     a, b = channels(spark, sf_dir)
     fused = R.top_k(R.rrf(a, b), 50)
@@ -264,13 +289,13 @@ def golden_select_e21(spark, sf_dir):
 
 @query("bind_queries_e22", f"""WITH {SOURCE_DOCS}, l AS (SELECT doc_id, document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM source_docs),
 p AS (SELECT document_id, printf('%s:%05d', document_id, n) AS parent_id, line FROM l),
-q AS (SELECT doc_id AS query_id, concat('d', doc_id) AS document_id, list_filter(string_split(regexp_replace(regexp_replace(lower(left(text, 60)), '\\s+', ' ', 'g'), '^ | $', '', 'g'), ' '), lambda w: length(w) > 2) AS words FROM documents),
+q AS (SELECT doc_id AS query_id, concat('d', doc_id) AS document_id, list_filter(string_split(regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '^ | $', '', 'g'), ' '), lambda w: length(w) > 2) AS words FROM documents),
 j AS (SELECT query_id, parent_id, len(list_filter(words, lambda w: contains(lower(line), w))) = 0 AS miss FROM q JOIN p USING (document_id))
 SELECT query_id, parent_id FROM j QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY miss, parent_id) = 1""")
 def bind_queries_e22(spark, sf_dir):
     docs = source_docs(spark, sf_dir)
     p = docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).withColumn("parent_id", F.format_string("%s:%05d", "document_id", F.col("n") + 1))
-    q = docs.select(F.col("doc_id").alias("query_id"), "document_id", F.left("text", F.lit(60)).alias("query"))
+    q = docs.select(F.col("doc_id").alias("query_id"), "document_id", F.col("text").alias("query"))
     return E.bind_queries(q, p.select("document_id", "parent_id", "text"))[0]
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.operators import cleaning as C
+from corpusloom.operators import practice as P
 from corpusloom.operators import quality as Q
 from corpusloom.operators.dedupe import exact_dedupe
 from corpusloom.plans.dedupe_queries import _CANON
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import CHUNKS, SOURCE_DOCS, chunks, source_docs, table
 from corpusloom.sources import tables as S
+from corpusloom.sources.stages import shared_folder
 
 
 def governed(spark, sf_dir):
@@ -174,23 +178,102 @@ def credential_scan_c17(spark, sf_dir):
     return C.credential_violations(d, "doc_id")
 
 
-@query("image_routes_c24", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'skip' WHEN 1 THEN 'ocr' WHEN 2 THEN 'visual' WHEN 3 THEN 'visual' ELSE 'ocr' END AS mode,
-CASE p_partkey % 5 WHEN 0 THEN 'decorative_filename' WHEN 1 THEN 'scanned_pdf_page' WHEN 2 THEN 'structured_node:chart' WHEN 3 THEN 'caption_or_context_hint' ELSE 'default_ocr' END AS reason FROM part""")
+@query("image_routes_c24", rf"""WITH {CHUNKS}, b AS (SELECT chunk_id, lower(regexp_extract(concat('media/', text, '.png'), '([^/]*?)(?:\.[^./]*)?$', 1)) AS name, knowledge_type AS kind, lower(trim(text)) AS caption, corpus_version = 'v0' AND child_index > 9 AS scanned FROM chunks)
+SELECT chunk_id, CASE WHEN r LIKE 'd%name' THEN 'skip' WHEN r IN ('scanned_pdf_page', 'default_ocr') THEN 'ocr' ELSE 'visual' END AS mode, r AS reason FROM (SELECT chunk_id, CASE WHEN regexp_matches(name, 'logo|avatar|icon|decoration|背景') THEN 'decorative_filename'
+WHEN scanned THEN 'scanned_pdf_page' WHEN kind = 'table' THEN 'structured_node:table' WHEN regexp_matches(caption, '{"|".join(C.VISUAL_HINTS)}') THEN 'caption_or_context_hint' WHEN regexp_matches(name, 'chart|flow|table|figure|diagram') THEN 'filename_fallback' ELSE 'default_ocr' END AS r FROM b)""")
 def image_routes_c24(spark, sf_dir):
-    k = F.col("p_partkey") % 5
-    b = table(spark, sf_dir, "part").select(
-        "p_partkey", F.when(k == 0, "media/logo-1.png").otherwise("media/x.png").alias("path"), F.when(k == 2, "chart").otherwise("image").alias("kind"), F.lit(None).cast("string").alias("layout_type"),
-        F.when(k == 3, "Flowchart of it").alias("caption"), F.when(k == 1, "scanned_pdf_page").alias("source_type"),
+    """Chunks as images that are named and captioned by their text."""
+    scanned = (F.col("corpus_version") == "v0") & (F.col("child_index") > 9)
+    b = chunks(spark, sf_dir).select(
+        "chunk_id", F.concat(F.lit("media/"), "text", F.lit(".png")).alias("path"), F.col("knowledge_type").alias("kind"), F.lit(None).cast("string").alias("layout_type"),
+        F.col("text").alias("caption"), F.when(scanned, "scanned_pdf_page").alias("source_type"),
     )
-    return C.image_route(b).select("p_partkey", "mode", "reason")
+    return C.image_route(b).select("chunk_id", "mode", "reason")
 
 
-@query("table_checks_c25", "SELECT p_partkey, p_partkey % 3 = 2 AS valid, CASE p_partkey % 3 WHEN 0 THEN 'row_width' WHEN 1 THEN 'no_number_agrees' END AS reason FROM part")
+@query("table_checks_c25", """WITH d AS (SELECT l_orderkey AS id, list(CASE l_returnflag WHEN 'A' THEN ['x'] ELSE ['x', 'y'] END) AS rows, list(l_quantity::INT) AS seen, list(l_linenumber) AS read FROM lineitem WHERE l_orderkey % 2 = 1 OR l_returnflag <> 'A' GROUP BY l_orderkey)
+SELECT id, reason IS NULL AS valid, reason FROM (SELECT id, CASE WHEN len(list_filter(rows, lambda r: len(r) <> 2)) > 0 THEN 'row_width' WHEN NOT list_has_any(seen, read) THEN 'no_number_agrees' END AS reason FROM d)""")
 def table_checks_c25(spark, sf_dir):
-    k = F.col("p_partkey") % 3
-    arr = lambda *x: F.array(*[F.lit(v) for v in x])
-    d = table(spark, sf_dir, "part").select("p_partkey", arr("a", "b").alias("headers"), F.array(F.when(k == 0, arr("1")).otherwise(arr("1", "2"))).alias("rows"), F.array(F.when(k == 1, "none").otherwise("value 7.5")).alias("elements"), F.lit("7.5 and 9").alias("ocr_text"), F.lit(1.7).alias("confidence"))
-    return C.visual_valid(d).select("p_partkey", "valid", "reason")
+    """An order as a table of its lines: quantities were seen, line numbers read."""
+    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 1 or l_returnflag <> 'A'")
+    number = lambda c: F.col(c).cast("int").cast("string")
+    d = l.groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.collect_list(F.when(F.col("l_returnflag") == "A", F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("y")))).alias("rows"),
+        F.collect_list(F.concat(F.lit("value "), number("l_quantity"))).alias("elements"), F.array_join(F.collect_list(number("l_linenumber")), " and ").alias("ocr_text"),
+    )
+    d = d.withColumns({"headers": F.array(F.lit("a"), F.lit("b")), "confidence": F.lit(1.7)})
+    return C.visual_valid(d).select("id", "valid", "reason")
+
+
+@query("read_markdown_s2", "SELECT sha256(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS text_hash, count(*) AS n FROM benchmark GROUP BY ALL")
+def read_markdown_s2(spark, sf_dir):
+    """The benchmark texts, written as a file each and read back."""
+    root = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string"), "text").repartition("item_id").write.partitionBy("item_id").text(root)
+    return S.read_markdown(spark, f"{root}/*/*.txt").groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("file_types_s3", """WITH f AS (SELECT page_id, regexp_extract(url, '[a-z]+$') AS tail, length(html) AS n FROM pages)
+SELECT page_id, CASE WHEN e IS NULL THEN CASE k WHEN 'md' THEN 'markdown' ELSE k END END AS logical_type, e AS error FROM (SELECT page_id, k, CASE WHEN k = 'exe' THEN 'extension_not_allowed' WHEN k = 'pdf' AND page_id % 2 = 1 THEN 'magic_mismatch' END AS e
+FROM (SELECT page_id, CASE WHEN tail = 'html' THEN 'pdf' WHEN tail = 'top' THEN 'exe' ELSE 'md' END AS k FROM f))""")
+def file_types_s3(spark, sf_dir):
+    """Pages as uploads whose extension follows from how their url ends; half of the PDFs begin as such."""
+    tail = F.regexp_extract("url", "[a-z]+$", 0)
+    kind = F.when(tail == "html", "pdf").when(tail == "top", "exe").otherwise("md")
+    opening = F.when((kind == "pdf") & (F.col("page_id") % 2 == 0), "%PDF-").otherwise("")
+    files = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("up/"), "page_id", F.lit("."), kind).alias("path"), F.when(kind == "pdf", "application/pdf").otherwise("application/octet-stream").alias("mime"),
+        F.encode(F.concat(opening, "html"), "utf-8").alias("content"),
+    )
+    return S.detect_file_types(files).select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("page_id"), "logical_type", "error")
+
+
+@query("staged_batches_s6", f"WITH {CHUNKS} SELECT chunk_id, concat('b', authority_priority % 3) AS batch_id, sha256(CASE authority_priority % 3 WHEN 1 THEN concat('new ', text) ELSE text END) AS text_hash FROM chunks WHERE authority_priority % 3 < 2")
+def staged_batches_s6(spark, sf_dir):
+    """Chunks by batch; one batch is written again, which replaces it and no other; two of them are read."""
+    root = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
+    c = chunks(spark, sf_dir).select("document_id", "chunk_id", "text", F.concat(F.lit("b"), F.col("authority_priority") % 3).alias("batch_id"))
+    S.write_stage(c, root, "chunks")
+    S.write_stage(c.where("batch_id = 'b1'").withColumn("text", F.concat(F.lit("new "), "text")), root, "chunks")
+    both = S.read_stage(spark, root, "chunks", "b0").unionByName(S.read_stage(spark, root, "chunks", "b1"))
+    return both.select("chunk_id", "batch_id", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("records_s14", "SELECT conv_id, turn, text FROM conversations")
+def records_s14(spark, sf_dir):
+    return S.to_record(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("evidence_text")))
+
+
+@query("envelope_s15", """WITH m AS (SELECT event_type AS metric, count(*)::DOUBLE AS value FROM events GROUP BY event_type)
+SELECT metric, value, (SELECT list_sort(list(metric)) FROM m WHERE value < (SELECT avg(value) FROM m)) AS failed_gates, 'v1' AS version FROM m""")
+def envelope_s15(spark, sf_dir):
+    """Event counts as metrics, those under their mean as failed gates; the envelope is parsed again."""
+    m = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    gates = m.join(F.broadcast(m.agg(F.avg("value").alias("mean"))), F.col("value") < F.col("mean"))  # one row
+    shape = "metadata map<string, string>, metrics map<string, double>, failed_gates array<string>"
+    e = S.evaluation_envelope(m, gates, {"version": "v1"}).select(F.from_json("json", shape).alias("e"))
+    return e.select(F.explode("e.metrics").alias("metric", "value"), "e.failed_gates", F.col("e.metadata")["version"].alias("version"))
+
+
+@query("upsert_answers_u14", """SELECT user_id, question, arg_max(event_id, event_id) AS event_id FROM (SELECT user_id, event_type AS question, event_id FROM events) GROUP BY ALL""")
+def upsert_answers_u14(spark, sf_dir):
+    """Answer records by (user, question): those of even events stand, all are written over them, the last counts."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("question"), "event_id")
+    none = e.where("false")
+    first = S.upsert(none, e.where("event_id % 2 = 0"), ["user_id", "question"], "event_id")
+    return S.upsert(first, e, ["user_id", "question"], "event_id")
+
+
+@query("document_status_u15", """WITH d AS (SELECT o_orderkey AS document_id, o_orderstatus AS s, o_custkey AS c FROM orders)
+SELECT document_id, CASE WHEN s = 'F' THEN 'ready' WHEN s = 'O' THEN 'failed' WHEN c % 2 = 0 THEN 'processing' ELSE 'ready' END AS status, CASE WHEN s = 'F' THEN c ELSE 0 END AS chunk_count,
+CASE WHEN s = 'O' THEN left(repeat(concat(c, ' '), 200), 500) WHEN s = 'P' AND c % 2 = 1 THEN 'old' END AS error FROM d""")
+def document_status_u15(spark, sf_dir):
+    """Orders as documents: F became ready, O failed, P is reset, which only failed ones take."""
+    o = table(spark, sf_dir, "orders")
+    docs = o.select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_custkey") % 2 == 0, "failed").otherwise("ready").alias("status"), F.lit(0).cast("long").alias("chunk_count"), F.lit("old").alias("error"))
+    kind = F.when(F.col("o_orderstatus") == "F", "ready").when(F.col("o_orderstatus") == "O", "failed").otherwise("reset")
+    done = o.select(F.col("o_orderkey").alias("document_id"), kind.alias("outcome"), F.col("o_custkey").cast("long").alias("chunk_count"), F.repeat(F.concat("o_custkey", F.lit(" ")), F.lit(200)).alias("reason"))
+    return P.document_status(docs, done)
 
 
 @query("page_profiles_c26", """WITH p AS (SELECT o_custkey AS document_id, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 100 END AS chars FROM orders)

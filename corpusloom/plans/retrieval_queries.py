@@ -9,6 +9,7 @@ from corpusloom.operators import retrieval as R
 from corpusloom.operators.dedupe import exact_dedupe
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import CHUNKS, SOURCE_DOCS, WEB_SOURCES, chunks, source_docs, table, web_sources
+from corpusloom.sources.stages import staged
 
 
 def bench_queries(spark, sf_dir):
@@ -96,7 +97,7 @@ _CLEANED = f"""{CHUNKS}, firsts AS (
 def flagship_slice(spark, sf_dir):
     """Documents to chunks, exact dedupe, BM25 for the benchmark texts, rank of the first chunk with the whole text."""
     kept, _ = exact_dedupe(chunks(spark, sf_dir))
-    kept = kept.select("chunk_id", "text")
+    kept = staged(kept.select("chunk_id", "text"), "kept")
     asked = bench_queries(spark, sf_dir)
     hits = R.bm25_topk(asked, R.bm25_index(kept), 5).select("query_id", "chunk_id", "rank")
     gain = F.contains("text", F.col("query")).cast("int")
@@ -106,14 +107,12 @@ def flagship_slice(spark, sf_dir):
     )
 
 
-@query("term_overlap_r2", f"""WITH {CHUNKS}, t AS (SELECT DISTINCT item_id AS query_id, unnest(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ')[1:4]) AS term FROM benchmark),
+@query("term_overlap_r2", f"""WITH {CHUNKS}, t AS (SELECT DISTINCT item_id AS query_id, unnest(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ')) AS term FROM benchmark),
 n AS (SELECT query_id, count(*) AS n FROM t GROUP BY query_id),
 s AS (SELECT t.query_id, chunk_id, count(*) / n.n AS score FROM chunks JOIN t ON contains(lower(chunks.text), t.term) JOIN n USING (query_id) GROUP BY t.query_id, chunk_id, n.n)
 SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
 def term_overlap_r2(spark, sf_dir):
-    """The topics are the first four words of the benchmark texts."""
-    topics = bench_queries(spark, sf_dir).withColumn("query", F.array_join(F.slice(F.split(F.regexp_replace("query", r"\s+", " "), " "), 1, 4), " "))
-    return R.overlap_topk(topics, chunks(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+    return R.overlap_topk(bench_queries(spark, sf_dir), chunks(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
 @query("dense_topk_r3", f"WITH {VECTORS}, {_dense_sql(50)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM dense")
@@ -135,7 +134,7 @@ def channels(spark, sf_dir):
     index = R.bm25_index(units(spark, sf_dir))
     asked = bench_queries(spark, sf_dir)
     terms = asked.select("query_id", F.explode(F.array_distinct(tokens_bm25(F.col("query")))).alias("term"))
-    shared = index.postings.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    shared = index.tf.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     return R.bm25_topk(asked, index, 50), R.top_k(shared, 50)
 
 
@@ -162,12 +161,12 @@ def rerank_r8(spark, sf_dir):
     return R.rerank(fused, F.col("score") * 30, 0.5, 8).withColumn("score", F.round("score", 6))
 
 
-@query("parent_recovery_r9", f"""WITH {CHUNKS}, hits AS (SELECT min(chunk_id) AS chunk_id, parent_id, document_id, corpus_version FROM chunks WHERE child_index % 3 = 1 GROUP BY ALL),
+@query("parent_recovery_r9", f"""WITH {CHUNKS}, hits AS (SELECT min(chunk_id) AS chunk_id, parent_id, document_id, corpus_version FROM chunks GROUP BY ALL),
 p AS (SELECT parent_id, document_id, corpus_version, left(string_agg(text, chr(10) ORDER BY child_index), 6000) AS parent_text FROM chunks GROUP BY ALL)
 SELECT h.chunk_id, h.document_id, sha256(parent_text) AS parent_hash, parent_text IS NOT NULL AS parent_recovered FROM hits h LEFT JOIN p USING (parent_id, document_id, corpus_version)""")
 def parent_recovery_r9(spark, sf_dir):
     c = chunks(spark, sf_dir)
-    hits = c.where("child_index % 3 = 1").groupBy("parent_id", "document_id", "corpus_version").agg(F.min("chunk_id").alias("chunk_id"))
+    hits = c.groupBy("parent_id", "document_id", "corpus_version").agg(F.min("chunk_id").alias("chunk_id"))
     return R.recover_parents(hits, c).select("chunk_id", "document_id", F.sha2("parent_text", 256).alias("parent_hash"), "parent_recovered")
 
 
@@ -225,7 +224,7 @@ def evidence(spark, sf_dir):
 
 @query("grade_evidence_r14")
 def grade_evidence_r14(spark, sf_dir):
-    topics = bench_queries(spark, sf_dir).select(F.col("query_id").alias("request_id"), F.array_join(F.slice(F.split("query", " "), 1, 6), " ").alias("topic"))
+    topics = bench_queries(spark, sf_dir).select(F.col("query_id").alias("request_id"), F.col("query").alias("topic"))
     return R.grade_evidence(evidence(spark, sf_dir), topics)[1]
 
 
@@ -243,7 +242,14 @@ def evidence_confidence_r15(spark, sf_dir):
     return R.evidence_confidence(evidence(spark, sf_dir), topics)
 
 
-@query("slice_document_r16")
+@query("slice_document_r16", f"""WITH RECURSIVE {CHUNKS}, c AS (SELECT document_id, length(text) AS size, row_number() OVER w - 1 AS p, count(*) OVER d AS n, sum(length(text)) OVER d AS whole FROM chunks
+    WINDOW d AS (PARTITION BY document_id), w AS (PARTITION BY document_id ORDER BY child_index)),
+m AS (SELECT *, greatest(2, least(n, 2000 // greatest(1, whole // n)))::INT AS slots FROM c),
+g AS (SELECT *, whole <= 2000 OR list_contains(list_transform(range(0, slots), lambda k: round_even(k * (n - 1) / (slots - 1), 0)::BIGINT), p) AS even FROM m),
+u AS (SELECT document_id, size, row_number() OVER (PARTITION BY document_id ORDER BY p) AS i FROM g WHERE NOT even),
+f(document_id, i, room, size, fits) AS (SELECT document_id, 0::BIGINT, (2000 - sum(size))::BIGINT, 0::BIGINT, false FROM g WHERE even GROUP BY document_id
+    UNION ALL SELECT u.document_id, u.i, CASE WHEN u.size <= f.room THEN f.room - u.size ELSE f.room END, u.size, u.size <= f.room FROM f JOIN u ON u.document_id = f.document_id AND u.i = f.i + 1)
+SELECT document_id, count(*) AS n_chunks, sum(size)::BIGINT AS n_chars FROM (SELECT document_id, size FROM g WHERE even UNION ALL SELECT document_id, size FROM f WHERE fits) GROUP BY document_id""")
 def slice_document_r16(spark, sf_dir):
     c = chunks(spark, sf_dir).select("document_id", "child_index", "text")
     return R.slice_document(c, 5000).groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))

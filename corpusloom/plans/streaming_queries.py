@@ -1,12 +1,14 @@
-"""Queries of the state machines over the event table, folded in batch; tests hold the streams against them."""
+"""Queries of the state machines over the event table, folded in batch (tests hold the streams against them), and of the streams."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from corpusloom.operators.dedupe import new_uploads
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import table
+from corpusloom.sources.stages import shared_folder
 from corpusloom.streaming import lifecycle as L
 
 
@@ -18,38 +20,97 @@ def events(spark, sf_dir, names, by_day=False):
     return e.select(key.alias("key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("event"), F.floor(F.col("value") % 4).alias("expected_version"))
 
 
-@query("task_state_t1")
-def task_state_t1(spark, sf_dir):
-    return L.fold(events(spark, sf_dir, ("append", "fail", "complete", "create", "claim"), True), "task")
+_KINDS = ("click", "error", "purchase", "signup", "view")
 
 
-@query("progress_state_t2")
-def progress_state_t2(spark, sf_dir):
-    return L.fold(events(spark, sf_dir, ("save", "abandon", "save_ready", "create", "save"), True), "progress")
+def _machine_sql(names, first: str, ok: str, new: dict[str, str], state: str) -> str:
+    """A machine as a recursion over each key's events; ``s_*`` is the state before an event."""
+    kind = " ".join(f"WHEN '{k}' THEN '{n}'" for k, n in zip(_KINDS, names, strict=True))
+    cols = ", ".join(new)
+    return f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS n FROM (SELECT concat(user_id, ':', CAST(ts AS DATE)) AS key, event_id AS seq,
+    CAST(floor(epoch(ts)) AS BIGINT) AS ts, CASE event_type {kind} END AS event, CAST(floor(value % 4) AS BIGINT) AS want FROM events)),
+r(key, n, seq, event, ok, {cols}) AS (SELECT DISTINCT key, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', false, {first} FROM e
+    UNION ALL SELECT key, n, seq, event, ok, {", ".join(new.values())} FROM (SELECT e.*, {", ".join(f"{c} AS s_{c}" for c in new)}, coalesce({ok}, false) AS ok FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1))
+SELECT key, seq, event, ok AS accepted, {state} AS state FROM r WHERE n > 0"""
+
+
+_LIVE = "status IN ('in_progress', 'ready_for_report')"
+_T2 = ("save", "abandon", "save_ready", "create", "save")
+_T3 = ("reserve", "restart", "reserve", "reserve", "release")
+_T6 = ("claim", "failed", "ready", "create", "uploading")
+_T1 = ("append", "fail", "complete", "create", "claim")
+#: The clock may have run out before the event counts.
+_NOW = "CASE WHEN e.ts > r.expires AND r.status IN ('queued', 'generating', 'failed') THEN 'expired' ELSE r.status END"
+_LATE = _NOW.replace("e.ts", "ts").replace("r.expires", "s_expires").replace("r.status", "s_status")
+
+
+@query("task_state_t1", _machine_sql(_T1, "NULL::VARCHAR, 0::BIGINT, 0::BIGINT, 0::BIGINT", f"""CASE event WHEN 'create' THEN r.status IS NULL WHEN 'claim' THEN ({_NOW}) = 'queued'
+    WHEN 'append' THEN ({_NOW}) IN ('generating', 'queued') AND want = r.version WHEN 'complete' THEN ({_NOW}) IN ('generating', 'completed') WHEN 'fail' THEN ({_NOW}) NOT IN ('completed', 'expired') END""".replace("event", "e.event", 1), {
+    "status": f"CASE WHEN NOT ok THEN {_LATE} WHEN event = 'create' THEN 'queued' WHEN event IN ('claim', 'append') THEN 'generating' WHEN event = 'fail' THEN 'failed' ELSE 'completed' END",
+    "version": "CASE WHEN NOT ok THEN s_version WHEN event = 'create' THEN 1 ELSE s_version + (event IN ('append', 'complete'))::BIGINT END",
+    "count": "CASE WHEN ok AND event = 'append' THEN s_count + 1 ELSE s_count END", "expires": "CASE WHEN ok AND event = 'create' THEN ts + 1800 ELSE s_expires END",
+}, """CASE WHEN status IS NULL THEN 'null' ELSE concat('{"count": ', count, ', "expires": ', expires, ', "progress": 1, "status": "', status, '", "version": ', version, '}') END"""))
+def task_state_t1(spark, sf_dir):
+    return L.fold(events(spark, sf_dir, _T1, True), "task")
 
 
+@query("progress_state_t2", _machine_sql(_T2, "NULL::VARCHAR, 0::BIGINT", f"CASE e.event WHEN 'create' THEN r.status IS NULL WHEN 'abandon' THEN r.{_LIVE} ELSE r.{_LIVE} AND want = r.version END", {
+    "status": "CASE WHEN NOT ok THEN s_status WHEN event = 'abandon' THEN 'abandoned' WHEN event = 'save_ready' THEN 'ready_for_report' ELSE 'in_progress' END",
+    "version": "CASE WHEN NOT ok THEN s_version WHEN event = 'create' THEN 1 ELSE s_version + 1 END",
+}, """CASE WHEN status IS NULL THEN 'null' ELSE concat('{"status": "', status, '", "version": ', version, '}') END"""))
+def progress_state_t2(spark, sf_dir):
+    return L.fold(events(spark, sf_dir, _T2, True), "progress")
 
 
-@query("quota_t3")
+@query("quota_t3", _machine_sql(_T3, "0::BIGINT, 0::BIGINT", "CASE e.event WHEN 'reserve' THEN r.total < 10 AND r.active < 2 ELSE true END", {
+    "total": "s_total + (ok AND event = 'reserve')::BIGINT",
+    "active": "CASE WHEN NOT ok THEN s_active WHEN event = 'reserve' THEN s_active + 1 WHEN event = 'release' THEN greatest(s_active - 1, 0) ELSE 0 END",
+}, """concat('{"active": ', active, ', "total": ', total, '}')"""))
 def quota_t3(spark, sf_dir):
-    return L.fold(events(spark, sf_dir, ("reserve", "restart", "reserve", "reserve", "release"), True), "quota")
+    return L.fold(events(spark, sf_dir, _T3, True), "quota")
 
 
-@query("asset_state_t6")
+@query("asset_state_t6", _machine_sql(_T6, "NULL::VARCHAR, 0::BIGINT", """CASE e.event WHEN 'create' THEN r.status IS NULL WHEN 'claim' THEN r.status = 'pending' WHEN 'uploading' THEN r.status IN ('generating', 'uploading')
+    WHEN 'ready' THEN r.status = 'uploading' ELSE r.status IN ('pending', 'generating', 'uploading') END""", {
+    "status": "CASE WHEN NOT ok THEN s_status WHEN event = 'create' THEN 'pending' WHEN event = 'claim' THEN 'generating' ELSE event END",
+    "retries": "s_retries + (ok AND event = 'failed')::BIGINT",
+}, """CASE WHEN status IS NULL THEN 'null' ELSE concat('{"retries": ', retries, ', "status": "', status, '"}') END"""))
 def asset_state_t6(spark, sf_dir):
-    return L.fold(events(spark, sf_dir, ("claim", "failed", "ready", "create", "uploading"), True), "asset")
+    return L.fold(events(spark, sf_dir, _T6, True), "asset")
+
+
+_DOCUMENT = ("ready", "failed", "reset", "create", "ready")
+
+
+@query("document_state_u15", _machine_sql(_DOCUMENT, "NULL::VARCHAR, 0::BIGINT", "CASE e.event WHEN 'create' THEN r.status IS NULL WHEN 'reset' THEN r.status = 'failed' ELSE r.status IS NOT NULL END", {
+    "status": "CASE WHEN NOT ok THEN s_status WHEN event IN ('create', 'reset') THEN 'processing' ELSE event END", "chunks": "CASE WHEN ok AND event = 'ready' THEN want ELSE s_chunks END",
+}, """CASE WHEN status IS NULL THEN 'null' ELSE concat('{"chunks": ', chunks, ', "status": "', status, '"}') END"""))
+def document_state_u15(spark, sf_dir):
+    return L.fold(events(spark, sf_dir, _DOCUMENT, True), "document")
+
+
+def _as_stream(df, name, **options):
+    """A table's rows written once to the shared folder, and a stream over its files."""
+    path = f"{shared_folder(df.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/in")
+    return df.sparkSession.readStream.schema(df.schema).options(**options).parquet(f"{path}/in"), path
 
 
 @query("ingest_upsert_t4", """SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id""")
 def ingest_upsert_t4(spark, sf_dir):
-    """What the ingest stream's table holds once every file is in: the last row of each key."""
-    from corpusloom.sources.tables import upsert
-
+    """The table that the ingest stream keeps: the last row of each key, over two runs of the stream."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    return upsert(e.where("false"), e, ["user_id"], order="event_id")
+    path = f"{shared_folder(spark)}/stream-ingest-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        e.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half).write.mode("append").json(f"{path}/in")
+        L.ingest_stream(spark, f"{path}/in", f"{path}/table", f"{path}/cp", lambda df: df, e.schema.simpleString()[7:-1].replace(":", " "), ["user_id"], "event_id", newest=True).awaitTermination()
+    return spark.read.parquet(f"{path}/table").select("user_id", "event_id", "event_type")
 
 
-@query("upload_dedupe_t5", "SELECT user_id, sha256(event_type) AS content_hash, min(event_id) AS upload_id FROM events GROUP BY ALL")
+@query("upload_dedupe_t5", "SELECT user_id, sha256(event_type) AS content_hash, CAST(ts AS DATE) AS day FROM events GROUP BY ALL")
 def upload_dedupe_t5(spark, sf_dir):
-    u = table(spark, sf_dir, "events").select("user_id", F.sha2("event_type", 256).alias("content_hash"), F.col("event_id").alias("upload_id"))
-    return new_uploads(u, u.where("false"))
+    """Uploads of a day stand for one content; the stream lets the first of each through."""
+    u = table(spark, sf_dir, "events").select("user_id", F.sha2("event_type", 256).alias("content_hash"), F.to_date("ts").alias("day"), F.to_date("ts").cast("timestamp").alias("ts"))
+    stream, path = _as_stream(u, "uploads")
+    L.dedupe_uploads(stream, "400 days", keys=("user_id", "content_hash", "day")).writeStream.format("parquet").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.schema(u.schema).parquet(f"{path}/out").select("user_id", "content_hash", "day")

@@ -6,10 +6,13 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
+from corpusloom.sources.stages import staged
 from corpusloom.sources.tables import upsert
 
 EVENT = ["key", "seq", "ts", "event", "expected_version"]
@@ -91,7 +94,19 @@ def asset_machine(s: dict | None, e: dict) -> tuple[dict | None, bool]:
     return {"status": moves[kind][0], "retries": s["retries"] + (kind == "failed")}, True
 
 
-MACHINES: dict[str, Machine] = {"task": task_machine, "progress": progress_machine, "quota": quota_machine, "asset": asset_machine}
+def document_machine(s: dict | None, e: dict) -> tuple[dict | None, bool]:
+    """Processing, ready with its chunks (the event's expected version), failed; only failed documents are reset."""
+    kind = e["event"]
+    if kind == "create":
+        return ({"status": "processing", "chunks": 0}, True) if s is None else (s, False)
+    if s is None or kind not in ("ready", "failed", "reset") or (kind == "reset" and s["status"] != "failed"):
+        return s, False
+    if kind == "ready":
+        return {"status": "ready", "chunks": e["expected_version"] or 0}, True
+    return s | {"status": "failed" if kind == "failed" else "processing"}, True
+
+
+MACHINES: dict[str, Machine] = {"document": document_machine, "task": task_machine, "progress": progress_machine, "quota": quota_machine, "asset": asset_machine}
 OUT = "key string, seq long, event string, accepted boolean, state string"
 
 
@@ -147,26 +162,42 @@ def follow(events: DataFrame, machine: str) -> DataFrame:
     return _events(events).groupBy("key").applyInPandasWithState(run, OUT, "state string", "append", "NoTimeout")
 
 
-def dedupe_uploads(uploads: DataFrame, watermark: str = "1 hour", time: str = "ts") -> DataFrame:
+def dedupe_uploads(uploads: DataFrame, watermark: str = "1 hour", time: str = "ts", keys: tuple[str, ...] = ("user_id", "content_hash")) -> DataFrame:
     """T5: the first upload per user and content within the watermark, which bounds the state."""
-    return uploads.withWatermark(time, watermark).dropDuplicatesWithinWatermark(["user_id", "content_hash"])
+    return uploads.withWatermark(time, watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
-def ingest_stream(spark: SparkSession, in_dir: str, table: str, checkpoint: str, to_rows: Callable[[DataFrame], DataFrame], schema: str, keys: list[str]) -> StreamingQuery:
-    """T4: new files to rows, upserted into a versioned table folder; a repeated file or batch changes nothing.
+def ingest_stream(
+    spark: SparkSession, in_dir: str, table: str, checkpoint: str, to_rows: Callable[[DataFrame], DataFrame], schema: str, keys: list[str],
+    order: str | None = None, buckets: int = 64, newest: bool = False,
+) -> StreamingQuery:
+    """T4: new files to rows, upserted into a table; a repeated file or batch changes nothing.
 
-    Each micro-batch writes ``table/v=<batch>`` from the newest earlier version, so a batch that is run again after a
-    failure replaces its own folder.
+    The table is partitioned by a hash of the keys, and a micro-batch rewrites only the
+    partitions that its keys fall in. Of several rows of a key the last by ``order`` counts
+    (by all columns without one), so running a batch again gives the same table. With
+    ``newest`` it also has to be later by ``order`` than what the table holds.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         rows = to_rows(batch)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        done = [int(n[2:]) for n in names if n.startswith("v=") and int(n[2:]) < epoch]
-        base = spark.read.schema(rows.schema).parquet(f"{table}/v={max(done)}") if done else rows.limit(0)
-        upsert(base, rows.dropDuplicates(keys), keys).write.mode("overwrite").parquet(f"{table}/v={epoch}")
+        shape = StructType([*rows.schema.fields, StructField("bucket", LongType())])
+        ranked = rows.withColumn("_order", F.struct(*([order] if order else rows.columns)))
+        rows = upsert(ranked.limit(0), ranked, keys, "_order").drop("_order").withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+        rows = staged(rows, "batch")
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
+        base = spark.read.schema(shape).parquet(table).where(F.col("bucket").isin(touched)) if _exists(spark, table) else rows.limit(0)
+        merged = upsert(base.limit(0), base.unionByName(rows), keys, order) if newest else upsert(base, rows, keys)
+        merged = staged(merged, "merged")  # read before its partitions are replaced
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
 
     source = spark.readStream.schema(schema).json(in_dir)
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema("x int").parquet(path)
+    except AnalysisException:
+        return False
+    return True

@@ -102,6 +102,69 @@ def test_table_groups():
     assert sum(s.count("<td>") for s, _ in got) == 20
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=25), st.integers(1, 60), st.integers(0, 20))
+def test_runs(lengths, room, overlap):
+    got = K.runs(lengths, room, overlap)
+    assert got[0][0] == 0 and got[-1][1] == len(lengths)
+    for a, b in got:
+        assert b > a and (b == a + 1 or sum(lengths[a:b]) <= room) and (b == len(lengths) or sum(lengths[a : b + 1]) > room)
+    for (a, b), (c, _) in zip(got, got[1:], strict=False):
+        assert a < c <= b and (c == a + 1 or sum(lengths[c:b]) >= overlap) and (c == b or sum(lengths[c + 1 : b]) < overlap)
+
+
+def test_a_slice_is_even_and_within_the_budget(spark):
+    rows = [("a", i, "x" * 100) for i in range(10)] + [("b", i, "y" * (300 + 7 * (i % 5))) for i in range(40)] + [("c", 0, "z" * 9000)]
+    rows += [("d", i, "w" * (900 if i % 2 else 60)) for i in range(21)]
+    got = R.slice_document(spark.createDataFrame(rows, "document_id string, child_index int, text string"), 8000).collect()
+    for doc in "abcd":
+        size = {i: len(t) for d, i, t in rows if d == doc}
+        n, total = len(size), sum(size.values())
+        want = set(size)
+        if total > 5000:
+            slots = max(2, min(n, 5000 // max(1, total // n)))
+            want = {round(k * (n - 1) / (slots - 1)) for k in range(slots)}
+            left = 5000 - sum(size[i] for i in want)
+            for i in sorted(set(size) - want):
+                if size[i] <= left:
+                    want.add(i)
+                    left -= size[i]
+        assert {r.child_index for r in got if r.document_id == doc} == want, doc
+
+
+def test_parents_of_units_and_of_bare_texts(spark):
+    b = blocks(spark, ("标题", "heading", 1), ("alpha beta", "paragraph", 2)).withColumn("start_index", F.when(F.col("kind") == "heading", 0).otherwise(3).cast("int"))
+    docs = spark.createDataFrame([("d", "标题\nalpha beta"), ("bare", "only text"), ("none", "")], "document_id string, text string")
+    parents, _ = K.assemble_parents(b, docs)
+    got = {p.document_id: (p.parent_type, p.confidence, p.text) for p in parents.collect()}
+    assert got == {"d": ("paragraph", 0.35, "alpha beta"), "bare": ("paragraph", 0.25, "only text")}
+    units = [("d", 0, 3, "section"), ("d", 3, 13, "qa"), ("bare", 1, 9, "qa")]  # the second text is not covered
+    made = K.parents_from_units(parents, b, docs, spark.createDataFrame(units, "document_id string, start int, end int, type string")).orderBy("document_id", "parent_index").collect()
+    assert [(p.document_id, p.parent_type, p.text, p.confidence, p.page_start) for p in made] == [
+        ("bare", "paragraph", "only text", 0.25, None), ("d", "section", "标题\n", 0.75, None), ("d", "qa", "alpha beta", 0.75, 2)
+    ]
+
+
+def test_overlap_counts_terms_that_texts_contain(spark):
+    asked = spark.createDataFrame([(1, "Ab cd ab"), (2, " "), (3, "zz")], "query_id long, query string")
+    chunks = spark.createDataFrame([(10, "xabx"), (11, "ABCD"), (12, "none"), (13, None)], "chunk_id long, text string")
+    got = [(r.query_id, r.chunk_id, r.score, r["rank"]) for r in R.overlap_topk(asked, chunks, 5, block=1).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 11, 1.0, 1), (1, 10, 0.5, 2)]
+
+
+def test_questions_too_close(spark):
+    q = [(0, "什么是 Redis 的持久化", "a", ""), (1, "什么是 redis 的持久化？", "b", ""), (2, "另一个完全不同的题目内容", "A", ""), (3, "how does it work at all", "", "")]
+    q += [(4, "explain the write ahead log in detail", "", ""), (5, "explain the write ahead logs in detail", "", "")]
+    df = spark.createDataFrame([(1, *r) for r in q] + [(2, *q[0])], "quiz_id long, pos int, stem string, knowledge_point string, explanation string")
+    got = {(r.quiz_id, r.pos, r.other_pos): r.reason for r in D.diversity_errors(df).collect()}
+    assert got == {(1, 1, 0): "same_stem", (1, 2, 0): "same_point", (1, 5, 4): "similar_stem"}
+
+
+def test_batches_are_numbered_over_partitions(spark):
+    df = spark.createDataFrame([(f"q{i:03}", i) for i in range(237)], "query_id string, n int").repartition(7)
+    assert [r.batch for r in E.batches(df).orderBy("query_id").collect()] == [i // 10 for i in range(237)]
+
+
 CHUNK = "chunk_id string, document_id string, child_index int, authority_priority int, knowledge_type string, text string"
 
 

@@ -8,6 +8,8 @@ from oracle import differences, duck
 from corpusloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
+#: The table has no questions that are too close; test_literals has.
+NONE_FOUND = {"question_diversity_d10"}
 
 
 @pytest.fixture(scope="module")
@@ -22,4 +24,4 @@ def test_query(spark, con, name):
     if sql:
         assert not differences(df, con, sql)
     else:
-        assert df.columns and df.count() >= 0
+        assert df.columns and df.isEmpty() == (name in NONE_FOUND)
