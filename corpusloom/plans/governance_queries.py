@@ -50,7 +50,7 @@ def batch_report_q3(spark, sf_dir):
     return Q.batch_report(source_docs(spark, sf_dir), c, gone, Q.quality_issues(c))
 
 
-@query("batch_id_q4")
+@query("batch_id_q4", f"""WITH {SOURCE_DOCS} SELECT left(sha256(concat_ws(':', 'rev1', sum(('0x' || left(sha256(concat_ws(':', document_id, corpus_version)), 15))::BIGINT::HUGEINT)::VARCHAR, count(*)::VARCHAR)), 16) AS batch_id FROM source_docs""")
 def batch_id_q4(spark, sf_dir):
     return Q.batch_id(source_docs(spark, sf_dir).withColumn("document_version", F.col("corpus_version")), "rev1")
 

@@ -109,7 +109,13 @@ def whole(spark, sf_dir, kind="paragraph"):
     return d.select(F.col("doc_id").cast("string").alias("parent_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit(kind).alias("parent_type"), "text")
 
 
-@query("line_windows_k7")
+@query("line_windows_k7", r"""WITH RECURSIVE t AS (SELECT doc_id AS d, text, string_split(text, chr(10)) AS v FROM documents), l AS (SELECT d, text, len(v) AS c, unnest(v) AS s, generate_subscripts(v, 1) AS i FROM t WHERE length(text) > 850),
+e AS (SELECT d, i, sum(size) OVER w AS b, sum(size) OVER w - size AS a, max(i) OVER (PARTITION BY d) AS n FROM (SELECT d, i, length(s) + (i < c)::INT AS size FROM l WHERE s <> '' OR i < c) WINDOW w AS (PARTITION BY d ORDER BY i)),
+r AS (SELECT x.d, x.i, x.a, x.n, coalesce(max(y.i), x.i) AS last FROM e x LEFT JOIN e y ON y.d = x.d AND y.i >= x.i AND y.b <= x.a + 850 GROUP BY x.d, x.i, x.a, x.n),
+k AS (SELECT r.d, r.i, r.a, r.n, r.last, z.b, greatest(r.i + 1, coalesce(max(y.i), 0)) AS follow FROM r JOIN e z ON z.d = r.d AND z.i = r.last LEFT JOIN e y ON y.d = r.d AND y.a <= z.b - 100 AND y.i <= r.last GROUP BY r.d, r.i, r.a, r.n, r.last, z.b),
+w(d, i, a, b, n, last, follow) AS (SELECT d, i, a, b, n, last, follow FROM k WHERE i = 1 UNION ALL SELECT k.d, k.i, k.a, k.b, k.n, k.last, k.follow FROM w JOIN k ON k.d = w.d AND k.i = w.follow WHERE w.last < w.n),
+o AS (SELECT d, a AS pos, regexp_replace(substr(text, a::BIGINT + 1, (b - a)::BIGINT), '^\s+|\s+$', '', 'g') AS seg FROM w JOIN t USING (d) UNION ALL SELECT d, 0, text FROM t WHERE length(text) <= 850)
+SELECT d::VARCHAR AS parent_id, count(*) AS n, max(length(seg)) AS longest, sum(pos)::BIGINT AS offsets FROM o WHERE seg <> '' OR length(seg) = 0 AND pos = 0 GROUP BY d""")
 def line_windows_k7(spark, sf_dir):
     return K.segment_parents(whole(spark, sf_dir, "list")).groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("segment")).alias("longest"), F.sum("offset").alias("offsets"))
 
