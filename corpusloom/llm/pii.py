@@ -13,8 +13,8 @@ from corpusloom.llm.shared import SPACES, staged
 #: greedy one starts and ends, so that long runs cost linear time; the language is the contract's.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])",
+    "ip": r"(?=[0-9])(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must have for a pattern to be tried at all.
@@ -52,8 +52,10 @@ def running(values: Column, join=lambda a, b: a + b, block: int = 64) -> Column:
 
 
 def pattern_of(two: Column, one: Column, after: Column) -> tuple[Column, Column]:
-    """The lexical patterns of a slot: the two words before it, and the words before and after it; null without them."""
-    two, one, after = (F.lower(c) for c in (two, one, after))
+    """The lexical patterns of a slot: the two words before it, and the words before and after it; null without them.
+
+    The words are in lower case.
+    """
     left = F.when(F.isnotnull(two) & F.isnotnull(one), F.xxhash64(F.lit("L"), two, one))
     return left, F.when(F.isnotnull(one) & F.isnotnull(after), F.xxhash64(F.lit("LR"), one, after))
 
@@ -68,7 +70,9 @@ def mentions(text: Column, kind: str, pattern: str, valid=None) -> Column:
     glued to several others has no pattern.
     """
     none = "array<struct<kind: string, start: int, end: int, instance: bigint, left: bigint, around: bigint, words: array<int>>>"
-    marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, "\ufffd\ufffd"), f"({pattern})", f"{OPEN}$1{CLOSE}")
+    taken = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
+    plain = F.when(taken, F.translate(text, OPEN + CLOSE, "\ufffd\ufffd")).otherwise(text)
+    marked = F.regexp_replace(plain, f"({pattern})", f"{OPEN}$1{CLOSE}")
 
     def spans(pieces: Column) -> Column:
         n = F.size(pieces)
@@ -102,7 +106,7 @@ def mentions(text: Column, kind: str, pattern: str, valid=None) -> Column:
                 )))
                 rest = F.split(F.regexp_replace(F.translate(F.concat(F.substring_index(pieces[i], CLOSE, -1), F.array_join(F.slice(pieces, i + 2, F.lit(2)), "")), CLOSE, ""), f"{SPACE}+", " "), " ")
                 following = F.when((F.size(rest) > 1) & (F.try_element_at(rest, F.lit(2)) != ""), F.try_element_at(rest, F.lit(2)))
-                left, around = pattern_of(whole(before, 2), whole(before, 1), following)
+                left, around = pattern_of(*map(F.lower, (whole(before, 2), whole(before, 1), following)))
                 return F.struct(
                     F.lit(kind).alias("kind"), start[i].alias("start"), (start[i] + F.length(value(i))).alias("end"), F.xxhash64(value(i)).alias("instance"),
                     left.alias("left"), around.alias("around"), F.concat(F.array(word[i]), offsets).alias("words"),
@@ -140,20 +144,35 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def slots(docs: DataFrame) -> DataFrame:
-    """``docs(id, row, text)`` -> every white-space word ``(id, row, start, word, left, around)`` with its patterns."""
+def slots(docs: DataFrame, block: int = 256) -> DataFrame:
+    """``docs(id, row, text)`` -> every white-space word with its patterns: ``(id, row, base, words, j, piece, left, around)``.
+
+    A text is cut before each word, and the pieces into blocks; ``base`` is where a block
+    starts, and ``started`` adds the pieces before the ``j``-th, for words that are wanted.
+    """
+    blank = F.lit(" \t\n\x0b\f\r")
+
+    def blocks(pieces: Column) -> Column:
+        low = F.transform(pieces, lambda p: F.lower(F.btrim(p, blank)))
+        starts = F.sequence(F.lit(1), F.size(pieces), F.lit(block))
+        length = F.transform(starts, lambda k: F.aggregate(F.slice(pieces, k, F.lit(block)), F.lit(0), lambda n, p: n + F.length(p)))
+        return let(low, lambda w: let(running(length), lambda at: F.transform(starts, lambda k, i: F.struct(
+            at[i].alias("base"), F.slice(pieces, k, F.lit(block)).alias("words"), F.least(k - 1, F.lit(2)).alias("shift"),
+            F.slice(w, F.greatest(k - 2, F.lit(1)), F.lit(block + 3)).alias("low"),
+        ))))
 
-    def words(w: Column) -> Column:
-        at = running(F.transform(w, lambda x: F.length(x) + 1))
-        there = let(at, lambda a: F.filter(F.transform(w, lambda x, i: F.struct(a[i].alias("start"), x.alias("word"))), lambda s: s["word"] != ""))
-        return let(there, lambda t: F.transform(t, lambda s, i: _slot(s, i, t)))
+    each = docs.select("id", "row", F.explode(let(F.split("text", f"(?<={SPACE})(?=[^{SPACES}])"), blocks)).alias("b")).select("id", "row", "b.*")
+    each = each.select("*", F.posexplode("words").alias("j", "piece"))
+    word = lambda k: F.nullif(F.get("low", F.col("j") + F.col("shift") + k), F.lit(""))
+    left, around = pattern_of(word(-2), word(-1), word(1))
+    return each.select("id", "row", "base", "words", "j", "piece", left.alias("left"), around.alias("around"))
 
-    def _slot(s: Column, i: Column, t: Column) -> Column:
-        word = lambda k: F.when(i + k >= 0, F.get(t, i + k)["word"])
-        left, around = pattern_of(word(-2), word(-1), word(1))
-        return F.struct(s["start"].alias("start"), s["word"].alias("word"), left.alias("left"), around.alias("around"))
 
-    return docs.select("id", "row", F.explode(let(F.split("text", SPACE), words)).alias("s")).select("id", "row", "s.*")
+def started(found: DataFrame) -> DataFrame:
+    """Rows of ``slots`` -> ``start`` and ``word`` in place of the block."""
+    start = F.col("base") + F.expr("aggregate(slice(words, 1, j), 0, (n, p) -> n + length(p))")
+    word = F.rtrim("piece", F.lit(" \t\n\x0b\f\r"))
+    return found.withColumns({"start": start, "word": word}).where("word <> ''").drop("base", "words", "j", "piece")
 
 
 def cored(found: DataFrame) -> DataFrame:
@@ -184,7 +203,7 @@ def look_up(docs: DataFrame, patterns: DataFrame) -> DataFrame:
         left = F.broadcast(block.select(F.col("pattern").alias("p1")))  # at most BLOCK numbers
         around = F.broadcast(block.select(F.col("pattern").alias("p2")))
         hit = slots(docs).join(left, F.col("left") == F.col("p1"), "left").join(around, F.col("around") == F.col("p2"), "left")
-        hit = cored(hit.where("p1 is not null or p2 is not null").withColumns({"left": F.col("p1"), "around": F.col("p2")}))
+        hit = cored(started(hit.where("p1 is not null or p2 is not null").withColumns({"left": F.col("p1"), "around": F.col("p2")})))
         found.append(hit.withColumn("pattern", F.explode(F.array_compact(F.array("left", "around")))).drop("left", "around"))
     return reduce(DataFrame.unionByName, found)
 
@@ -192,7 +211,7 @@ def look_up(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 def contexts(docs: DataFrame, instances: DataFrame) -> DataFrame:
     """All patterns in which one of ``instances(instance)`` stands: ``(pattern, instance)``. One scan a block, no shuffle."""
     found = [
-        cored(slots(docs)).join(F.broadcast(block), "instance").select("instance", F.explode(F.array_compact(F.array("left", "around"))).alias("pattern"))
+        cored(started(slots(docs))).join(F.broadcast(block), "instance").select("instance", F.explode(F.array_compact(F.array("left", "around"))).alias("pattern"))
         for block in _blocks(instances)
     ]
     return reduce(DataFrame.unionByName, found)
