@@ -522,11 +522,11 @@ def test_pii_second_round_and_keys(spark):
     rows = [(i, f"intro please write to person{i}@example.com soon") for i in range(60)]
     rows += [(100 + i, f"intro please write to member{i} soon") for i in range(12)]  # found in the first round
     rows += [(200 + i, f"account name is member{i} for now") for i in range(12)] + [(300, "account name is newcomer9 for now")]  # in the second
-    rows += [(400 + i, f'x token = "{hashlib.sha1(str(i).encode()).hexdigest()}", y') for i in range(6)] + [(500, "commit " + "ab12" * 10), (501, 'a token = "hunter" b')]
+    rows += [(400 + i, f'x token = "{hashlib.sha1(str(i).encode()).hexdigest()}", y') for i in range(12)] + [(500, "commit " + "ab12" * 10), (501, 'a token = "hunter" b')]
     got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     words = {i: [t[s.start : s.end] for s in got[i].added] for i, t in rows}
     assert all(words[100 + i] == [f"member{i}"] and words[200 + i] == [f"member{i}"] for i in range(12)) and words[300] == ["newcomer9"]
-    assert all(words[400 + i] == [hashlib.sha1(str(i).encode()).hexdigest()] for i in range(6)) and words[501] == ["hunter"]
+    assert all(words[400 + i] == [hashlib.sha1(str(i).encode()).hexdigest()] for i in range(12)) and words[501] == ["hunter"]
     assert words[500] == [] and not any(words[i] for i in range(20))
 
 
