@@ -216,10 +216,10 @@ def identify(
     that are null or hold no letter get ``und``, score 0 and no spans, as does every text
     under an empty model. Whole texts are read; nothing is shuffled. Rows that repeat get
     the same answer each; no rows give no rows.
-    ``keep`` names columns of ``docs`` to return as well, in place of the id alone
-    (they ride along, so that a filter needs no join).
+    ``keep`` names columns of ``docs`` to return as the struct ``kept`` in place of the id
+    (they ride along, so that a filter needs no join, whatever their names).
     """
-    keep = keep or [id_col]
+    whole, keep = bool(keep), keep or [id_col]
     kept = [docs.schema[c].dataType.simpleString() for c in keep]
     shape = ", ".join(f"_{i} {kind}" for i, kind in enumerate(kept))
     shape += ", lang_pred string, score double, n_spans long, spans array<struct<lang: string, first_word: long, n_words: long>>"
@@ -270,7 +270,8 @@ def identify(
 
     rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
     out = rows.mapInPandas(run, shape)
-    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "n_spans", "spans")
+    rode = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep)]
+    return out.select(F.struct(*rode).alias("kept") if whole else rode[0], "lang_pred", "score", "n_spans", "spans")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):

@@ -58,3 +58,27 @@ def test_mix_draws_each_row_as_often_as_it_is_taken(spark, make):
     for r, n in got.items():
         drawn[r[0]] += 12 * n
     assert {r.doc_id: r.n for r in words.collect()} == dict(drawn)
+
+
+def test_language_decides_each_row_by_itself(spark, make):
+    from corpusloom.llm.language_id import fit, held_out, identify
+
+    de, en = "der die das und ist nicht mit dem haus strasse", "the house and the people of that street were not there"
+    rows = [(i, f"{en} {i}", "a", "en") for i in range(40)] + [(100 + i, f"{de} {i}", "b", "de") for i in range(40)]
+    odd = [(None, en, "a", None), (None, en, "a", None), (3, None, "a", "en"), (3, "", None, "en"), (4, "12 34 !", "a", "de"), (5, "日本語 テキスト", "a", "en"), (600, f"{de} " * 4000, None, None)]
+    docs = make(rows + odd).selectExpr("doc_id", "text", "source", "lang", "1 AS score", "'x' AS lang_pred")
+    got = P.language(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    assert kept == Counter((r[0], r[1]) for r in rows + odd if r[1] and r[1][0] not in "1日")
+    same = identify(docs, fit(docs.where(~held_out())), keep=["doc_id", "text"]).where("lang_pred <> 'und' and score >= 0.5").select("kept.*")
+    assert kept == Counter((r.doc_id, r.text) for r in same.collect())
+    assert {r.lang for r in got.where("doc_id >= 100").collect()} == {"de"}
+    assert P.language(spark, docs.where("false"), "").count() == 0
+
+
+def test_pack_takes_every_row(spark, make):
+    rows = [(7, text(0), "a", "en")] * 3 + [(None, text(1), "a", "en")] * 2 + [(8, None, None, None), (9, "", "a", "en"), (10, "word " * 9000, "a", "en")]
+    got = P.pack(spark, make(rows), "").toPandas()
+    assert (got.piece == 0).sum() == len(rows) and got[got.doc_id == 10].piece.tolist() == [0, 1, 2] and got.groupby("sequence_id").length.sum().max() <= 4096
+    assert got[got.doc_id.isin([8, 9])].length.tolist() == [1, 1]
