@@ -24,11 +24,12 @@ MIN_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that the labelled documents have; ``und`` and mixtures under ``MIN_SCORE`` go.
 
-    ``lang`` becomes the predicted language.
+    ``lang`` becomes the predicted language. Null texts and texts without letters are
+    ``und``. Each row is decided by itself, so null, repeated and reused ids don't matter.
     """
     found = identify(docs, fit(docs.where(~held_out())), keep=docs.columns)
     found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return found.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+    return found.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"kept.`{c}`").alias(c) for c in docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,14 +53,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw documents to the sources' targets: each row comes as often as the mix takes it, 0 to 2 times."""
+    """Draw documents to the sources' targets: each row comes as often as the mix takes it, 0 to 2 times.
+
+    Documents without words go; a null source is a source of its own.
+    """
     taken = source_mix(docs, keep=docs.columns).where("size > 0 and taken > 0")
     times = F.expr("array_repeat(1, cast(taken div size as int))")
     return taken.select("kept", F.explode(times)).select("kept.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise and pack into sequences of 4096 tokens."""
+    """Tokenise and pack into sequences of 4096 tokens; each row is a document of its own, a null text an empty one."""
     return pack_documents(docs)
 
 
