@@ -21,6 +21,7 @@ TRACE_TOOLS = ["public_milvus_search", "personal_milvus_search", "tavily_search"
 PRIVATE_FORBIDDEN = ["public_milvus_search", "tavily_search", "tavily_extract"]
 LOWER_IS_BETTER = ["latency", "duplicate", "contamination", "violation", "risk"]
 JUDGE_METRICS = ["context_precision", "context_recall", "faithfulness", "answer_relevancy"]
+NEXT_QUESTION = ["是什么", "有什么", "有哪几种", "有哪些", "有几种", "一共有", "如何", "区别", "作用", "原理"]
 GOLDEN_FIELDS = ["reference_answer", "reference_context_ids", "reference_contexts", "expected_route", "expected_tools"]
 
 
@@ -345,7 +346,7 @@ def atomic_answers(parents: DataFrame, min_len: int = 180, max_question: int = 1
     p = parents.withColumns({"lines": lines, "body": body})
     hit = F.transform("lines", lambda s, i: F.when(F.contains(s, F.left(F.col("body"), F.lit(36))) | F.contains(F.col("body"), F.left(s, F.lit(36))), i))
     p = p.withColumn("at", F.coalesce(F.array_min(F.array_compact(hit)), F.lit(0)))
-    asks = lambda s: (F.length(s) <= max_question) & s.rlike("[?？]") & s.rlike("(是什么|有什么|有哪几种|有哪些|有几种|一共有|如何|区别|作用|原理).*[？?]")
+    asks = lambda s: (F.length(s) <= max_question) & s.rlike("[?？]") & s.rlike(f"({'|'.join(NEXT_QUESTION)}).*[？?]")
     ends = F.transform("lines", lambda s, i: F.when((i > F.col("at")) & asks(s), i))
     p = p.withColumn("end", F.coalesce(F.array_min(F.array_compact(ends)), F.size("lines")))
     answer = F.array_join(F.slice("lines", F.col("at") + 1, F.greatest(F.col("end") - F.col("at"), F.lit(0))), "\n")
