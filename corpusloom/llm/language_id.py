@@ -134,7 +134,7 @@ class WordScores(dict):
     in a script that no language has say nothing (zero in all) and count for none.
     """
 
-    def __init__(self, model: dict, room: int = 32 << 20):
+    def __init__(self, model: dict, room: int = 20 << 20):
         super().__init__()
         self.room, self.logp, self.grams = room, model["logp"].astype(np.float64), _Grams(model)
         self.scripts = {k: i for i, k in enumerate(model["allowed"])}
@@ -206,7 +206,7 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.nda
 
 def identify(
     docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0,
-    words_at_once: int = 2_000_000, keep: list[str] | None = None,
+    words_at_once: int = 1_000_000, keep: list[str] | None = None, with_spans: bool = True,
 ) -> DataFrame:
     """``docs`` -> one row per row: id, ``lang_pred, score, n_spans, spans``.
 
@@ -217,7 +217,8 @@ def identify(
     under an empty model. Whole texts are read; nothing is shuffled. Rows that repeat get
     the same answer each; no rows give no rows.
     ``keep`` names columns of ``docs`` to return as the struct ``kept`` in place of the id
-    (they ride along, so that a filter needs no join, whatever their names).
+    (they ride along, so that a filter needs no join, whatever their names). Without
+    ``with_spans`` the spans are counted but not returned.
     """
     whole, keep = bool(keep), keep or [id_col]
     kept = [docs.schema[c].dataType.simpleString() for c in keep]
@@ -244,8 +245,8 @@ def identify(
                 share = np.bincount(own, weights=length[b:e, 1], minlength=len(langs))
                 cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 runs = zip(cut.tolist(), np.diff(np.r_[cut, e - b]).tolist(), strict=True)
-                spans = [{"lang": langs[own[i]], "first_word": i, "n_words": n} for i, n in runs]
-                out.append((langs[int(share.argmax())], float(share.max() / length[b:e, 0].sum()), len(spans), spans))
+                spans = [{"lang": langs[own[i]], "first_word": i, "n_words": n} for i, n in runs] if with_spans else None
+                out.append((langs[int(share.argmax())], float(share.max() / length[b:e, 0].sum()), len(cut), spans))
             return pd.DataFrame(out, columns=["lang_pred", "score", "n_spans", "spans"])
 
         for b in batches:

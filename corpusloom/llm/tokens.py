@@ -27,7 +27,7 @@ PIECES = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r 0-9a-zß-öø-ÿ]+"
 ).findall
 #: Bytes of chunks that a worker remembers, their overhead included, before it starts anew.
-CACHE = 48 << 20
+CACHE = 32 << 20
 #: Longer chunks are not remembered.
 LONGEST = 64
 
