@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``lang`` becomes the predicted language. Null texts and texts without letters are
     ``und``. Each row is decided by itself, so null, repeated and reused ids don't matter.
     """
-    found = identify(docs, fit(docs.where(~held_out())), keep=docs.columns)
+    found = identify(docs, fit(docs.where(~held_out())), keep=docs.columns, with_spans=False)
     found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
     return found.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"kept.`{c}`").alias(c) for c in docs.columns))
 
