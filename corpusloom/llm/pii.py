@@ -196,22 +196,52 @@ def _blocks(keys: DataFrame) -> list[DataFrame]:
     return [keys.where(part == k) for k in range(n)]
 
 
+def _standing(docs: DataFrame, block: DataFrame) -> DataFrame:
+    """The slots of ``block(pattern)``, at most ``BLOCK`` numbers: ``left`` and ``around`` are null where they aren't its own."""
+    left, around = (F.broadcast(block.select(F.col("pattern").alias(p))) for p in ("p1", "p2"))
+    hit = slots(docs).join(left, F.col("left") == F.col("p1"), "left").join(around, F.col("around") == F.col("p2"), "left")
+    return hit.where("p1 is not null or p2 is not null").withColumns({"left": F.col("p1"), "around": F.col("p2")})
+
+
+def _each() -> Column:
+    return F.explode(F.array_compact(F.array("left", "around")))
+
+
+def promising(docs: DataFrame, mentioned: DataFrame, least: float, support: int) -> DataFrame:
+    """``(pattern)`` of those that can be strong; ``mentioned(pattern, instance)`` has the confident instances, distinct.
+
+    ``support`` of them must stand in it. If all other words looked like identifiers, the
+    confident ones would still have to be a share of ``(least - LOOKS) / (1 - LOOKS)`` of
+    its different words, which one scan counts by sketches, combined before the shuffle. A
+    sketch may err by a tenth or so, so four tenths of the count are given away; common
+    patterns, in which seeds stand by chance, have far more words than that.
+    """
+    good = staged(mentioned.groupBy("pattern").agg(F.count(F.lit(1)).alias("good")).where(F.col("good") >= support), "pii-good")
+    share = 0.6 * (least - LOOKS) / (1 - LOOKS)
+    word = F.xxhash64(F.rtrim("piece", F.lit(" \\t\\n\\x0b\\f\\r")))
+    counted = []
+    for block in _blocks(good.select("pattern")):
+        for side in ("left", "around"):  # a row a word, whatever it stands in; words of no pattern come under 0
+            own = F.broadcast(block.select(F.col("pattern").alias("own")))  # at most BLOCK numbers
+            each = slots(docs).join(own, F.col(side) == F.col("own"), "left")
+            each = each.select(F.coalesce("own", F.lit(0)).alias("pattern"), F.when(F.col("own").isNotNull(), word).alias("word"))
+            counted.append(each.groupBy("pattern").agg(F.approx_count_distinct("word", 0.1).alias("n")))
+    if not counted:
+        return good.select("pattern")
+    kept = good.join(reduce(DataFrame.unionByName, counted), "pattern").where(F.col("good") >= share * F.col("n"))
+    return staged(kept.select("pattern"), "pii-patterns")
+
+
 def look_up(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """The words that stand in one of ``patterns(pattern)``: ``cored`` with ``pattern``. One scan a block, no shuffle."""
-    found = []
-    for block in _blocks(patterns):
-        left = F.broadcast(block.select(F.col("pattern").alias("p1")))  # at most BLOCK numbers
-        around = F.broadcast(block.select(F.col("pattern").alias("p2")))
-        hit = slots(docs).join(left, F.col("left") == F.col("p1"), "left").join(around, F.col("around") == F.col("p2"), "left")
-        hit = cored(started(hit.where("p1 is not null or p2 is not null").withColumns({"left": F.col("p1"), "around": F.col("p2")})))
-        found.append(hit.withColumn("pattern", F.explode(F.array_compact(F.array("left", "around")))).drop("left", "around"))
-    return reduce(DataFrame.unionByName, found)
+    found = [cored(started(_standing(docs, block))) for block in _blocks(patterns)]
+    return reduce(DataFrame.unionByName, found).withColumn("pattern", _each()).drop("left", "around")
 
 
 def contexts(docs: DataFrame, instances: DataFrame) -> DataFrame:
     """All patterns in which one of ``instances(instance)`` stands: ``(pattern, instance)``. One scan a block, no shuffle."""
     found = [
-        cored(started(slots(docs))).join(F.broadcast(block), "instance").select("instance", F.explode(F.array_compact(F.array("left", "around"))).alias("pattern"))
+        cored(started(slots(docs))).join(F.broadcast(block), "instance").select("instance", _each().alias("pattern"))
         for block in _blocks(instances)
     ]
     return reduce(DataFrame.unionByName, found)
@@ -250,7 +280,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     ``base`` and ``added`` are ``array<struct<kind, start, end>>`` in code points, end
     exclusive. Base matches are the four patterns, validated, failing ones dropped. They
     and key-like strings are the seeds: the two words before, or the words on either side,
-    make a lexical pattern. Patterns with ``support`` seeds are looked up in all texts,
+    make a lexical pattern. ``promising`` ones are looked up in all texts,
     ``bootstrap`` scores the graph of patterns and words, newly confident words give new
     patterns, and so on until there are none. Whatever word stands in a high-confidence
     pattern, without the signs around it, is added as kind ``id`` unless a base match
@@ -267,10 +297,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     here = lambda a, b: (F.col(f"{a}.row") == F.col(f"{b}.row")) & F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.place") == F.col(f"{b}.place"))
     keys = found.select("id", "row", F.explode("keys").alias("m")).select("id", "row", "m.*").withColumn("place", F.col("words")[0])
     keys = keys.alias("a").join(taken.alias("b"), here("a", "b"), "left_anti")
-    each = F.explode(F.array_compact(F.array("left", "around"))).alias("pattern")
+    each = _each().alias("pattern")
     seeds = staged(base.select(each, "instance").unionByName(keys.select(each, "instance")).distinct(), "pii-seeds")
     key_slots = keys.select("id", "row", "place", "start", "end", "instance", F.lit(1.0).alias("prior"), each)
-    known = keys_of(seeds, support)
+    known = promising(rows, seeds, least, support)
     added = key_slots.where("false")
     if not known.isEmpty():
         seen = None  # words that stand in a known pattern, no base match in them
@@ -287,7 +317,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             if fresh.isEmpty():
                 break
             more = seeds.unionByName(contexts(rows, fresh).select("pattern", "instance")).distinct()
-            new = staged(keys_of(more, support).join(known, "pattern", "left_anti"), "pii-patterns")
+            new = staged(promising(rows, more, least, support).join(known, "pattern", "left_anti"), "pii-patterns")
             if new.isEmpty():
                 break
             known = staged(known.unionByName(new), "pii-known")
@@ -305,11 +335,6 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     return out.select(F.col("id").alias(id_col), *counts, F.size("added").cast("long").alias("n_id"), "base", "added")
 
 
-def keys_of(mentioned: DataFrame, support: int) -> DataFrame:
-    """``(pattern)`` of those in which ``support`` different confident instances stand; ``mentioned`` is distinct."""
-    return staged(mentioned.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("pattern"), "pii-patterns")
-
-
 def _of_kind(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda m: m["kind"] == kind)
 
