@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from corpusloom.llm.chat_format import format_records, read_back, records_from_t
 from corpusloom.llm.embedding_dedup import embedding_dedup
 from corpusloom.llm.exact_dedup import exact_dedup
 from corpusloom.llm.language_id import fit, held_out, identify
+from corpusloom.llm.merkle import merkle_manifest
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.pii import find_pii, span_text
 from corpusloom.llm.shared import table
@@ -74,6 +76,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = {"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)}
+    return merkle_manifest(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 3 == 0, changes=changed)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -86,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_pii": op9_pii,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -136,5 +144,49 @@ FROM embeddings LEFT JOIN degree ON degree.a = vec_id LEFT JOIN least ON least.a
 """
 
 
+
+
+#: CRC-32 of a short text's bytes, bit by bit.
+CRC32_SQL = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split({0}, ''), lambda d: [CAST(ascii(d) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))))"""
+
+
+def _merkle_sql(lower: int = 6, upper: int = 2, fan: int = 8) -> str:
+    """op13 with one step a level, for at most ``fan ** lower`` rows of a lang and ``fan ** upper`` langs."""
+    one = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(one(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower_case = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    steps = []
+
+    def tree(name: str, levels: int) -> None:
+        for k in range(levels):
+            at = f"PARTITION BY t, r // {fan} ORDER BY r ROWS BETWEEN"
+            steps.append(f"""{name}{k}s AS (SELECT t, r, coalesce(string_agg(h, '') OVER ({at} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                coalesce(string_agg(h, '') OVER ({at} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS g FROM {name}{k})""")
+            steps.append(f"""{name}{k + 1} AS (SELECT t, r // {fan} AS r, (max(n) + {fan - 1}) // {fan} AS n,
+                CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY r)) END AS h FROM {name}{k} GROUP BY t, r // {fan})""")
+
+    steps.append(f"""a0 AS (SELECT lang AS t, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n, {leaf("text")} AS h,
+        {leaf(lower_case)} AS changed FROM documents)""")
+    tree("a", lower)
+    steps.append(f"b0 AS (SELECT 0 AS t, t AS lang, row_number() OVER (ORDER BY t NULLS FIRST) - 1 AS r, count(*) OVER () AS n, h FROM a{lower})")
+    tree("b", upper)
+    joins, n, m = [], ["a0.n"], ["b0.n"]
+    for name, levels, sizes in (("a", lower, n), ("b", upper, m)):
+        for k in range(levels):
+            joins.append(f"JOIN {name}{k}s ON {name}{k}s.t IS NOT DISTINCT FROM {name}0.t AND {name}{k}s.r = {name}0.r // {fan**k}")
+            sizes.append(f"(({sizes[-1]} + {fan - 1}) // {fan})")
+    levels = [(f"a{k}s", n[k]) for k in range(lower)] + [(f"b{k}s", m[k]) for k in range(upper)]
+    beside = " || ".join(f"CASE WHEN {size} = 1 THEN '' ELSE {s}.l || {s}.g END" for s, size in levels)
+    steps.append(f"""f0 AS (SELECT a0.doc_id, a0.h AS leaf, b0.h AS subroot, sha256({beside}) AS proof_sha256,
+        CASE WHEN {CRC32_SQL.format("CAST(a0.doc_id AS VARCHAR)")} % 3 = 0 THEN a0.changed ELSE a0.h END AS f,
+        {", ".join(f"CASE WHEN {size} > 1 THEN {s}.l END AS l{i}, {s}.g AS g{i}" for i, (s, size) in enumerate(levels))}
+        FROM a0 JOIN b0 ON b0.lang IS NOT DISTINCT FROM a0.t {" ".join(joins)})""")
+    for i in range(len(levels)):
+        steps.append(f"f{i + 1} AS (SELECT * EXCLUDE f, CASE WHEN l{i} IS NULL THEN f ELSE sha256(l{i} || f || g{i}) END AS f FROM f{i})")
+    return f"""WITH {", ".join(steps)}
+SELECT doc_id, leaf, subroot, (SELECT h FROM b{upper}) AS root, proof_sha256, f AS folded_root, f = (SELECT h FROM b{upper}) AS verified FROM f{len(levels)}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_embedding_dedup": OP8_SQL}
+    return {"op13_merkle_manifest": _merkle_sql(), "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_embedding_dedup": OP8_SQL}
