@@ -14,6 +14,7 @@ from corpusloom.llm.exact_dedup import exact_dedup
 from corpusloom.llm.language_id import fit, held_out, identify
 from corpusloom.llm.merkle import merkle_manifest
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.phrases import collocations
 from corpusloom.llm.pii import find_pii, span_text
 from corpusloom.llm.shared import table
 from corpusloom.llm.simhash_dedup import simhash_dedup
@@ -76,6 +77,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = {"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)}
     return merkle_manifest(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 3 == 0, changes=changed)
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_pii": op9_pii,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op12_phrase_mining": op12_phrase_mining,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
@@ -146,6 +152,32 @@ FROM embeddings LEFT JOIN degree ON degree.a = vec_id LEFT JOIN least ON least.a
 
 
 
+def _phrases_sql(longest: int = 5, least: int = 100, top: int = 2000) -> str:
+    """op12 over all windows of words."""
+    lower_case = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    pieces = f"unnest(regexp_split_to_array({lower_case}, '[.,;:!?\\x0A-\\x0D]'))"
+    words = "list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '')"
+    window = "unnest(list_transform(range(1, len(ws) - {0} + 2), lambda i: array_to_string(ws[i:i + {0} - 1], ' ')))"
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {k} AS size, phrase, count(*) AS f FROM (SELECT lang, {window.format(k)} AS phrase FROM p WHERE len(ws) >= {k}) GROUP BY lang, phrase HAVING count(*) >= {least}"
+        for k in range(1, longest + 1)
+    )
+    part = lambda a, b: f"array_to_string(string_split(c.phrase, ' ')[{a}:{b}], ' ')"
+    cuts = " UNION ALL ".join(f"SELECT c.*, {k} AS k, {part(1, k)} AS x, {part(k + 1, 'c.size')} AS y FROM f c WHERE size > {k}" for k in range(1, longest))
+    inner = " UNION ALL ".join(
+        f"SELECT lang, f, {part(i + 1, i + m)} AS phrase FROM f c WHERE size = {n}" for n in range(3, longest + 1) for m in range(2, n) for i in range(n - m + 1)
+    )
+    return f"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, {pieces} AS piece FROM documents), p AS (SELECT lang, {words} AS ws FROM t),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang), f AS ({grams}), cuts AS ({cuts}),
+scored AS (SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n.n, c.k, CAST(CAST(1000 AS HUGEINT) * c.f * n.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+    FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y JOIN n ON n.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, phrase, max(f) AS longer FROM ({inner}) GROUP BY lang, phrase),
+ranked AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+    FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT * FROM ranked WHERE rank <= {top}"""
+
+
 #: CRC-32 of a short text's bytes, bit by bit.
 CRC32_SQL = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split({0}, ''), lambda d: [CAST(ascii(d) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
     lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))))"""
@@ -189,4 +221,4 @@ SELECT doc_id, leaf, subroot, (SELECT h FROM b{upper}) AS root, proof_sha256, f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_merkle_manifest": _merkle_sql(), "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_embedding_dedup": OP8_SQL}
+    return {"op12_phrase_mining": _phrases_sql(), "op13_merkle_manifest": _merkle_sql(), "op5_exact_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_embedding_dedup": OP8_SQL}
