@@ -16,6 +16,8 @@ from corpusloom.llm.merkle import merkle_manifest
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.phrases import collocations
 from corpusloom.llm.pii import find_pii, span_text
+from corpusloom.llm.secrets import find_secrets
+from corpusloom.llm.secrets import span_text as secret_text
 from corpusloom.llm.shared import table
 from corpusloom.llm.simhash_dedup import simhash_dedup
 from corpusloom.llm.source_mix import source_mix
@@ -77,6 +79,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", "n_learned", F.sha2(secret_text(F.col("base")), 256).alias("base_sha256"),
+        secret_text(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -98,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_pii": op9_pii,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_secret_scan": op11_secret_scan,
         "op12_phrase_mining": op12_phrase_mining,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
