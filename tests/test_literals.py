@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,7 +94,33 @@ def test_pieces_cover_the_text(text, size):
         for p, _ in pieces:
             assert "".join(p.split()) in left
     assert all(len(p) <= size for p, _ in K.recursive_pieces(text, size, 0))
-    assert all(p and len(p) <= size for p in K.web_pieces(text, size))
+
+
+def plain_web(text, size):
+    def cut(s):
+        s = s.strip()
+        if len(s) <= size:
+            return [s] if s else []
+        at = max((i for i, c in enumerate(s[:size]) if c == " " and i > size // 2), default=size)
+        return [s[:at].strip(), *cut(s[at:])]
+
+    return [p for part in re.split(r"\n(?=#)|\n\n+", text) for p in cut(part)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab# \n\t\u3000", max_size=90), st.integers(1, 25))
+def test_web_pieces(text, size):
+    assert K.web_pieces(text, size) == plain_web(text, size)
+
+
+def test_parents_at_the_limit(spark):
+    def recovered(*children):
+        chunks = spark.createDataFrame([("p", i, t) for i, t in enumerate(children)], "parent_id string, child_index int, text string")
+        return R.recover_parents(spark.createDataFrame([("q", "p")], "query_id string, parent_id string"), chunks, 10).first().parent_text
+
+    for n in range(6, 13):  # the first child ends before, at and past the limit
+        assert recovered("a" * n, "bc", "d") == ("a" * n + "\nbc\nd")[:10]
+    assert recovered("", "", "x" * 12) == "\n\nxxxxxxxx"
 
 
 def test_table_groups():
