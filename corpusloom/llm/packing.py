@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.ranks import ranked
 from corpusloom.llm.shared import staged
 from corpusloom.llm.tokens import VOCABULARY, Table, packed, whole_tokens
 
@@ -84,46 +84,80 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def _pack_groups(parts: DataFrame, size: int, groups: int, turn: int) -> DataFrame:
-    """One best fit decreasing for each of ``groups`` groups of rows, dealt by a hash of ``row``."""
-    keyed = parts.withColumn("pack_group", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)))
+#: A run of pieces of one length: the first one's rank, the first bin and its offset, and how many pieces each bin takes in turn.
+RUN = np.dtype([("length", np.int64), ("rank", np.int64), ("bin", np.int64), ("offset", np.int64), ("each", np.int64)])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row", kind="stable")
-        bins, offsets = best_fit(pdf["length"].to_numpy(), size)
-        first = (turn << 56) + (int(pdf["pack_group"].iloc[0]) << 24)
-        return pdf.assign(sequence_id=first + bins, offset=offsets).drop(columns="pack_group")
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return keyed.groupBy("pack_group").applyInPandas(run, f"{kinds}, sequence_id long, offset long")
+def plan(counts: dict[int, int], size: int) -> np.ndarray:
+    """Best fit decreasing of ``counts[length]`` pieces -> runs by length, then rank.
+
+    Pieces of one length are alike, and so are bins with one remaining capacity, so a step
+    places a run of the former in a run of the latter, wherever ``best_fit`` would place
+    them one by one: the tightest bin takes pieces until it has no room for another, then
+    the next one does. A step uses up a run of bins or the pieces of a length; so there are
+    about as many runs as lengths times the runs that are still open to them, however many
+    pieces there are.
+    """
+    tree, runs, out, used = OpenBins(size), [], [], 0  # runs of bins: first, how many
+
+    def put(left: int, first: int, n: int) -> None:
+        if left and n:
+            runs.append((first, n))
+            tree.put(left, len(runs) - 1)
+
+    for length in sorted(counts, reverse=True):
+        rank, todo = 0, counts[length]
+        while todo:
+            found = tree.take(length)
+            if found is None:
+                each = size // length
+                left, first, n = size, used, -(-todo // each)
+                used += n
+            else:
+                left, (first, n) = found[0], runs[found[1]]
+                each = left // length
+            full = min(n, todo // each)
+            some = min(todo - full * each, each) if full < n else 0  # the last bin takes what there is
+            out.append((length, rank, first, size - left, each))
+            put(left - each * length, first, full)
+            if some:
+                put(left - some * length, first + full, 1)
+            put(left, first + full + (some > 0), n - full - (some > 0))
+            rank += full * each + some
+            todo -= full * each + some
+    return np.sort(np.array(out, dtype=RUN), order=["length", "rank"])
 
 
 def pack(parts: DataFrame, size: int = 4096, group: int = 8192) -> DataFrame:
     """``parts`` with ``row`` (a number of its own for each row) and ``length`` -> ``sequence_id, offset`` besides.
 
-    Rows are dealt by a hash into groups of about ``group``, each packed by one task:
-    work and memory of a task don't grow with the corpus. Full sequences are done; the
-    pieces of all sequences that are still open meet again in new groups, until one group
-    holds them all or a turn leaves no fewer open. So the loss is that of the last turn,
-    not one half-empty sequence a group. ``sequence_id`` is turn, group and bin. Lengths
-    are 1 to ``size``; repeated and null ids don't matter. No rows give no rows.
+    Best fit decreasing over all rows, whose lengths are 1 to ``size``: only the counts of
+    lengths come to the driver, at most ``size`` numbers, where ``plan`` decides for runs of
+    equal lengths. Rows are numbered within their length (``ranked``, so a frequent length is
+    no task's burden) and look their place up; equal lengths are in order of ``row``. ``group``
+    is the number of rows a task places at a time. Repeated and null ids don't matter. No
+    rows give no rows.
     """
-    done, left, turn = [], parts, 0
-    n = parts.count()
-    while True:
-        groups = max(1, -(-n // group))
-        now = staged(_pack_groups(left, size, groups, turn), "packed")
-        if groups == 1:
-            break
-        full = now.groupBy("sequence_id").agg(F.sum("length").alias("used")).where(F.col("used") < size).select("sequence_id")
-        full = staged(full, "open")
-        again = now.join(full, "sequence_id", "left_semi").select(*parts.columns)
-        m = again.count()
-        if not m or -(-m // group) >= groups:
-            break
-        done.append(now.join(full, "sequence_id", "left_anti").select(*now.columns))
-        left, n, turn = staged(again, "repack"), m, turn + 1
-    return reduce(DataFrame.unionByName, [*done, now])
+    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    runs = parts.sparkSession.sparkContext.broadcast(plan(counts, size))  # about as many as lengths, a few for each
+    names = [*parts.columns, "sequence_id", "offset"]
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = runs.value
+        starts = np.searchsorted(of["length"], np.arange(size + 2))
+        for b in batches:
+            for at in range(0, len(b), group):
+                part = b.iloc[at : at + group]
+                length, rank = part["length"].to_numpy(), part["rank"].to_numpy()
+                i = np.zeros(len(part), dtype=np.int64)
+                for n in np.unique(length):
+                    own = length == n
+                    i[own] = starts[n] + np.searchsorted(of["rank"][starts[n] : starts[n + 1]], rank[own], side="right") - 1
+                k, run = rank - of["rank"][i], of[i]
+                yield part.assign(sequence_id=run["bin"] + k // run["each"], offset=run["offset"] + k % run["each"] * length)[names]
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
+    return ranked(parts, ["length"], ["row"]).drop("n").mapInPandas(deal, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, vocabulary: str = VOCABULARY, group: int = 8192) -> DataFrame:
@@ -131,7 +165,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     One row per piece: id, ``piece, start, length, ids_crc32, sequence_id, offset``.
     Null texts are empty and hold ``end_id`` alone. Rows that repeat an id, or have none,
-    are packed as documents of their own. No rows give no rows. Tokens are made once and staged.
+    are packed as documents of their own. A text of any length is tokenised whole by one task.
+    Pieces of equal length are dealt in the order in which they were written. Other columns
+    aren't read, whatever their names. No rows give no rows. Tokens are made once and staged.
     """
     parts = staged(pieces(docs, id_col, text_col, size, end_id, vocabulary).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return pack(parts, size, group).drop("row").withColumnRenamed("id", id_col)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
 import zlib
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -312,8 +314,38 @@ def test_open_sequences_meet_again(spark):
     for _, seq in got.sort_values("offset").groupby("sequence_id"):
         assert seq.offset.tolist() == [0, *seq.length.cumsum()[:-1]] and seq.length.sum() <= 128
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 128) + 2
-    apart = packing._pack_groups(df.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(got.length)], "row long, length long"), 128, 20, 0)
-    assert apart.select("sequence_id").distinct().count() > got.sequence_id.nunique()
+    apart = [packing.best_fit(got.length.to_numpy()[i::21], 128)[0].max() + 1 for i in range(21)]  # groups of 20 by themselves
+    assert sum(apart) > got.sequence_id.nunique()
+    assert got.sequence_id.nunique() == packing.best_fit(got.length.to_numpy(), 128)[0].max() + 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=60) | st.lists(st.sampled_from([1, 2, 3, 7, 24, 25, 26, 50]), max_size=300))
+def test_runs_of_equal_lengths_are_packed_as_one_by_one(lengths):
+    runs = packing.plan(dict(Counter(lengths)), 50)
+    bins = defaultdict(list)
+    for n, count in Counter(lengths).items():
+        own = runs[runs["length"] == n]
+        for rank in range(count):
+            run = own[np.searchsorted(own["rank"], rank, side="right") - 1]
+            k = rank - run["rank"]
+            bins[run["bin"] + k // run["each"]].append((run["offset"] + k % run["each"] * n, n))
+    for b in bins.values():  # gapless, and no fuller than a bin is
+        b.sort()
+        assert [o for o, _ in b] == [0, *itertools.accumulate(n for _, n in b)][:-1] and sum(n for _, n in b) <= 50
+    one, _ = packing.best_fit(np.array(lengths, dtype=np.int64), 50)
+    held = defaultdict(list)
+    for b, n in zip(one, lengths, strict=True):
+        held[b].append(n)
+    assert Counter(sum(n for _, n in b) for b in bins.values()) == Counter(map(sum, held.values()))
+
+
+def test_many_pieces_need_few_runs():
+    rng = np.random.default_rng(2)
+    counts = Counter(np.minimum(rng.geometric(0.002, 3_000_000), 4096).tolist())
+    runs = packing.plan(counts, 4096)
+    least = -(-sum(n * c for n, c in counts.items()) // 4096)
+    assert len(runs) < 40_000 and runs["bin"].max() < least * 1.001 + 2
 
 
 @settings(max_examples=100, deadline=None)
