@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import staged
+from corpusloom.llm.shared import column, staged
 
 #: A digest with more than this share of all rows is hot, so there are fewer than 1 / HOT of them.
 HOT = 1 / 4096
@@ -90,13 +90,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The row of the largest id stays, null only where a text has no other; of equal ids
     the largest by the other columns. The columns ride through ``_combine``, so no row
-    is looked up by an id that others may share. Null texts count as empty.
+    is looked up by an id that others may share, and they may have any names. Null texts
+    count as empty; texts of any length are compared whole. No rows give no rows.
     """
     rest = {c: f"_{i}" for i, c in enumerate(docs.columns) if c not in (id_col, text_col)}
     row = F.struct(
-        F.col(id_col).alias("id"), F.isnotnull(text_col).alias("given"), *(F.col(c).alias(n) for c, n in rest.items())
+        column(id_col).alias("id"), column(text_col).isNotNull().alias("given"), *(column(c).alias(n) for c, n in rest.items())
     )
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(column(text_col), F.lit(""))
     hot = _hot(docs.select(F.sha2(text, 256).alias("digest")))
     best = F.max("row").alias("row")
     found = _combine(docs.select(row.alias("row"), text.alias("text"), F.sha2(text, 256).alias("digest")), hot, salts, [best], [best])

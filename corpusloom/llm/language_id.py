@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import staged
+from corpusloom.llm.shared import column, staged
 
 LETTERS = r"\p{L}+"
 _any_words = regex.compile(LETTERS).findall
@@ -269,7 +269,7 @@ def identify(
                     if words.full:
                         words.clear()
 
-    rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
+    rows = docs.select(*(column(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
     out = rows.mapInPandas(run, shape)
     rode = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep)]
     return out.select(F.struct(*rode).alias("kept") if whole else rode[0], "lang_pred", "score", "n_spans", "spans")

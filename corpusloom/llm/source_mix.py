@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import WORD, staged
+from corpusloom.llm.shared import WORD, column, staged
 
 
 def share_out(sizes: list[float], weights: list[float], total: float, most: float = 2.0) -> list[float]:
@@ -172,7 +172,7 @@ def source_mix(
         F.col(id_col).alias("id"), member.alias("pattern"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("content"),
-        F.monotonically_increasing_id().alias("row"), *([F.struct(*keep).alias("kept")] if keep else []),
+        F.monotonically_increasing_id().alias("row"), *([F.struct(*map(column, keep)).alias("kept")] if keep else []),
     )
     h = F.shiftleft(F.col("content").bitwiseAND(F.lit((1 << 40) - 1)), 22).bitwiseOR(F.xxhash64("row").bitwiseAND(F.lit((1 << 22) - 1)))
     rows = staged(sized.withColumn("h", h).drop("content"), "sizes")

@@ -80,5 +80,22 @@ def test_language_decides_each_row_by_itself(spark, make):
 def test_pack_takes_every_row(spark, make):
     rows = [(7, text(0), "a", "en")] * 3 + [(None, text(1), "a", "en")] * 2 + [(8, None, None, None), (9, "", "a", "en"), (10, "word " * 9000, "a", "en")]
     got = P.pack(spark, make(rows), "").toPandas()
-    assert (got.piece == 0).sum() == len(rows) and got[got.doc_id == 10].piece.tolist() == [0, 1, 2] and got.groupby("sequence_id").length.sum().max() <= 4096
+    assert (got.piece == 0).sum() == len(rows) and sorted(got[got.doc_id == 10].piece) == [0, 1, 2] and got.groupby("sequence_id").length.sum().max() <= 4096
     assert got[got.doc_id.isin([8, 9])].length.tolist() == [1, 1]
+
+
+def test_stages_keep_columns_of_any_name(spark, make):
+    de, en = "der die das und ist nicht mit dem haus strasse", "the house and the people of that street were not there"
+    rows = [(i, f"{en} {text(i)}", "a", "en") for i in range(30)] + [(100 + i, f"{de} {text(i)}", "b", "de") for i in range(30)] + [(200, f"{en} {text(3)}", "a", "en")]
+    named = {"_row": "concat('keep-', doc_id)", "ROW": "doc_id", "a.b": "doc_id + 1", "kept": "'k'", "doc": "'d'", "place": "1", "size": "-1", "taken": "0", "id": "7", "hash": "8", "a`c": "9"}
+    docs = make(rows)
+    for name, value in named.items():
+        docs = docs.withColumn(name.replace("`", "`"), F.expr(value))
+    docs = staged(docs.select(*[f"`{c.replace('`', '``')}`" for c in docs.columns if c != "lang"], "lang"), "named")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        got = [r.asDict() for r in out.collect()]
+        assert got and all(r["_row"] == f"keep-{r['doc_id']}" and r["ROW"] == r["doc_id"] and r["a.b"] == r["doc_id"] + 1 and r["a`c"] == 9 for r in got), name
+        assert stage(spark, docs.where("false"), "").count() == 0 or name == "language"
+    assert P.pack(spark, docs, "").columns[0] == "doc_id"
