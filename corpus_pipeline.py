@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.exact_dedup import one_of_each
 from corpusloom.llm.language_id import fit, held_out, identify
 from corpusloom.llm.packing import pack_documents
-from corpusloom.llm.shared import staged, table
+from corpusloom.llm.shared import column, staged, table
 from corpusloom.llm.simhash_dedup import simhash_dedup
 from corpusloom.llm.source_mix import source_mix
 
@@ -29,33 +29,40 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = identify(docs, fit(docs.where(~held_out())), keep=docs.columns, with_spans=False)
     found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return found.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"kept.`{c}`").alias(c) for c in docs.columns))
+    return found.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col("kept").getField(c).alias(c) for c in docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keep one row: the largest id, null only where a text has no other; of repeated rows, one."""
+    """Of equal texts, keep one row: the largest id, null only where a text has no other; of repeated rows, one.
+
+    Texts are compared whole, columns may have any names, and no rows give no rows.
+    """
     return one_of_each(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies linked by SimHash, keep one row: the smallest id, null only where a component has no other.
 
-    Ids may be null, repeated or reused, so rows are told apart by a number that is written with them once.
+    Ids may be null, repeated or reused, so rows are told apart by a number that is written
+    with them once; the columns of ``docs`` ride in a struct, whatever their names. Texts are
+    read whole. No rows give no rows.
     """
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    place = F.struct(F.isnull("doc_id").alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "_row")
-    found = simhash_dedup(rows, "_row").join(rows.select("_row", place.alias("place")), "_row")
+    rows = staged(docs.select(F.struct(*map(column, docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    texts = rows.select("row", F.col("doc.text").alias("text"))
+    place = F.struct(F.isnull("doc.doc_id").alias("unnamed"), F.col("doc.doc_id").alias("id"), F.xxhash64("doc.text").alias("hash"), "row")
+    found = simhash_dedup(texts, "row").join(rows.select("row", place.alias("place")), "row")
     found = staged(found.select("component_id", "place"), "places")
     best = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("best")).where("n > 1")
-    gone = found.join(best, "component_id").where("place._row <> best._row").select("place._row")
+    gone = found.join(best, "component_id").where("place.row <> best.row").select("place.row")
     gone = staged(gone, "gone")  # its size is known then, so that few rows are broadcast and no text is shuffled
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw documents to the sources' targets: each row comes as often as the mix takes it, 0 to 2 times.
 
-    Documents without words go; a null source is a source of its own.
+    Documents without words go; a null source is a source of its own. Documents that the mix
+    can't tell apart are drawn in any order. Columns may have any names; no rows give no rows.
     """
     taken = source_mix(docs, keep=docs.columns).where("size > 0 and taken > 0")
     times = F.expr("array_repeat(1, cast(taken div size as int))")
@@ -63,7 +70,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise and pack into sequences of 4096 tokens; each row is a document of its own, a null text an empty one."""
+    """Tokenise and pack into sequences of 4096 tokens; each row is a document of its own, a null text an empty one.
+
+    No rows give no rows.
+    """
     return pack_documents(docs)
 
 
