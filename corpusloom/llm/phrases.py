@@ -21,7 +21,7 @@ FORM = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdef
 #: A break between pieces, or a word that is in no frequent phrase; and a frequent unit without a rank.
 NONE, RARE = -1, -2
 #: Bytes of text that are taken apart at once, pairs that are counted at once, different words that a task holds.
-BLOCK, PAIRS, WORDS = 1 << 21, 1 << 22, 400_000
+BLOCK, PAIRS, WORDS = 1 << 21, 1 << 21, 300_000
 #: The longest word, in bytes, of those that are broadcast.
 SHORT = 64
 MASK = (1 << 64) - 1
