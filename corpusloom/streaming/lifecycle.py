@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Callable, Iterator
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.sources.stages import staged
@@ -162,6 +163,147 @@ def follow(events: DataFrame, machine: str) -> DataFrame:
     return _events(events).groupBy("key").applyInPandasWithState(run, OUT, "state string", "append", "NoTimeout")
 
 
+#: A state that no event has touched for so long is forgotten; one that has come to its end, much sooner.
+IDLE, ENDED = 30 * 86400, 86400
+ENDS = {"progress": ("completed", "abandoned"), "asset": ("ready", "failed"), "document": ("ready",)}
+TIMED = "key string, seq long, ts long, event string, accepted boolean, state string"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def due(machine: str, s: dict, last: int) -> tuple[int, str]:
+    """When (seconds) a state whose last event was at ``last`` changes by itself, and how.
+
+    A task's half hour runs out: it is ``expire``d in the first second after it, if it is
+    still open, and any task is forgotten a day later. A guest's day ends at midnight.
+    Other states are forgotten a day after they came to their end, or after thirty days.
+    """
+    if machine == "task":
+        return (s["expires"] + 1, "expire") if s["status"] in ("queued", "generating", "failed") else (s["expires"] + 1 + ENDED, "forget")
+    if machine == "quota":
+        return (last // 86400 + 1) * 86400, "forget"
+    return last + (ENDED if s["status"] in ENDS[machine] else IDLE), "forget"
+
+
+class Clocked:
+    """A machine with a clock for one key: events and what falls due by itself, in the order of time; timers first."""
+
+    def __init__(self, machine: str, s: dict | None = None, last: int = 0):
+        self.machine, self.s, self.last = machine, s, last
+
+    def due(self) -> int | None:
+        return None if self.s is None else due(self.machine, self.s, self.last)[0]
+
+    def until(self, now: int) -> Iterator[tuple]:
+        """The rows of all timers up to ``now``: ``(seq, ts, event, accepted, state)``."""
+        while self.s is not None:
+            at, how = due(self.machine, self.s, self.last)
+            if at > now:
+                return
+            self.s = self.s | {"status": "expired"} if how == "expire" else None
+            yield None, at, how, True, json.dumps(self.s, sort_keys=True)
+
+    def event(self, e: dict) -> Iterator[tuple]:
+        yield from self.until(e["ts"])
+        self.s, ok = MACHINES[self.machine](self.s, e)
+        self.last = e["ts"]
+        yield e["seq"], e["ts"], e["event"], ok, json.dumps(self.s, sort_keys=True)
+
+
+def timed_fold(events: DataFrame, machine: str, until: int | None = None) -> DataFrame:
+    """The machine with its clock in batch: all events in (ts, seq) order per key, and the rows of timers among and after them.
+
+    ``until`` (seconds) is where the clock stops: later events don't count, later timers
+    don't run. Without it all timers run. As ``fold``, it holds one state at a time.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, clock, end = None, None, 1 << 62 if until is None else until
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                if clock is None or r["key"] != key:
+                    out += [(key, *row) for row in (clock.until(end) if clock else ())]
+                    key, clock = r["key"], Clocked(machine)
+                out += [(key, *row) for row in clock.event(_plain(r))]
+            yield _rows(out)
+        if clock:
+            yield _rows([(key, *row) for row in clock.until(end)])
+
+    rows = _events(events).where("key is not null")
+    rows = rows if until is None else rows.where(F.col("ts") <= until)
+    return rows.repartition("key").sortWithinPartitions("key", "ts", "seq").mapInPandas(run, TIMED)
+
+
+def _rows(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=["key", "seq", "ts", "event", "accepted", "state"]).astype({"seq": "Int64"})
+
+
+class Watch(StatefulProcessor):
+    """``Clocked`` on a stream. Events wait until the watermark has passed them, so they count in the order of time."""
+
+    def __init__(self, machine: str):
+        self.machine = machine
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "state string, last long, timer long")
+        self.waiting = handle.getListState("waiting", "ts long, seq long, event string, expected_version long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for b in rows:
+            if len(b):
+                self.waiting.appendList([(int(r["ts"]), int(r["seq"]), r["event"], _plain(r)["expected_version"]) for r in b.to_dict("records")])
+        yield from self._go(key[0], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._go(key[0], timerValues)
+
+    def _go(self, key: str, values) -> Iterator[pd.DataFrame]:
+        now = values.getCurrentWatermarkInMs() // 1000 - 1  # the last whole second that is surely over
+        kept = self.state.get() if self.state.exists() else None
+        clock = Clocked(self.machine, json.loads(kept[0]) if kept else None, kept[1] if kept else 0)
+        waiting = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
+        heapq.heapify(waiting)
+        out = []
+        while waiting and waiting[0][0] <= now:
+            ts, seq, event, version = heapq.heappop(waiting)
+            out += [(key, *row) for row in clock.event({"ts": ts, "seq": seq, "event": event, "expected_version": version})]
+        out += [(key, *row) for row in clock.until(now)]
+        times = [t for t in (waiting[0][0] if waiting else None, clock.due()) if t is not None]
+        timer = (min(times) + 1) * 1000 if times else None
+        if kept and kept[2] is not None and kept[2] != timer:
+            self.handle.deleteTimer(kept[2])
+        if timer is not None and not (kept and kept[2] == timer and kept[2] > values.getCurrentWatermarkInMs()):
+            self.handle.registerTimer(timer)
+        if waiting:
+            self.waiting.put(waiting)
+        else:
+            self.waiting.clear()
+        if timer is None:
+            self.state.clear()
+        else:
+            self.state.update((json.dumps(clock.s), clock.last, timer))
+        if out:
+            yield _rows(out)
+
+
+def watch(events: DataFrame, machine: str, delay: str = "10 minutes") -> DataFrame:
+    """A stream of events -> the rows of ``timed_fold``, each as soon as the watermark has passed it.
+
+    A key's state changes by itself when it falls due, without a further event, and is
+    removed once it is forgotten, so the state store holds only keys that are alive. Events may
+    come in any order within ``delay``; later ones are dropped, as the fold could no longer
+    take them into account. What is newer than the watermark waits. Null keys are left out. Needs the RocksDB state
+    store, which this sets for the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    late = events.where("key is not null").withColumn("time", F.col("ts")).withWatermark("time", delay)
+    rows = late.select(
+        F.col("key").cast("string"), F.col("seq").cast("long"), F.unix_timestamp("ts").alias("ts"), "event", F.col("expected_version").cast("long"), "time"
+    )
+    return rows.groupBy("key").transformWithStateInPandas(Watch(machine), TIMED, "append", "EventTime")
+
+
 def dedupe_uploads(uploads: DataFrame, watermark: str = "1 hour", time: str = "ts", keys: tuple[str, ...] = ("user_id", "content_hash")) -> DataFrame:
     """T5: the first upload per user and content within the watermark, which bounds the state."""
     return uploads.withWatermark(time, watermark).dropDuplicatesWithinWatermark(list(keys))

@@ -76,3 +76,66 @@ def test_document_life(spark):
     steps = [("create", None), ("reset", None), ("failed", None), ("reset", None), ("ready", 7), ("reset", None)]
     got = L.fold(log(spark, [("d", i, i, e, v) for i, (e, v) in enumerate(steps)]), "document").orderBy("seq").collect()
     assert [r.accepted for r in got] == [True, False, True, True, True, False] and json.loads(got[-1].state) == {"status": "ready", "chunks": 7}
+
+
+def run_watch(spark, path, machine, parts, delay="10 minutes"):
+    """Each part is one micro-batch; the stream's rows, and the state rows after each batch."""
+    for i, part in enumerate(parts):
+        log(spark, part).coalesce(1).write.parquet(f"{path}/in/{i}")
+        stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+        q = L.watch(stream, machine, delay).writeStream.format("parquet").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start(f"{path}/out")
+        q.awaitTermination(300)
+    held = [json.loads(p.json)["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if json.loads(p.json)["stateOperators"]]
+    rows = spark.read.schema(L.TIMED).parquet(f"{path}/out").collect()
+    return sorted(map(tuple, rows), key=repr), held[-1]
+
+
+NOW = 1_700_000_000
+
+
+def test_expiry_comes_without_a_further_event(spark, tmp_path):
+    parts = [[("t", 0, NOW, "create", None), ("t", 1, NOW + 60, "claim", None), ("done", 2, NOW + 5, "create", None), ("done", 3, NOW + 9, "claim", None), ("done", 4, NOW + 20, "complete", None)], [("clock", 9, NOW + 10 * 86400, "tick", None)]]
+    rows, held = run_watch(spark, tmp_path, "task", parts)
+    timers = [(r[0], r[2] - NOW, r[3], r[5] and json.loads(r[5] or "null") and json.loads(r[5])["status"]) for r in rows if r[1] is None]
+    assert sorted(timers) == [("done", 1806 + 86400, "forget", None), ("t", 1801, "expire", "expired"), ("t", 1801 + 86400, "forget", None)]
+    assert sorted(r[2] - NOW for r in rows if r[1] is not None) == [0, 5, 9, 20, 60]
+    assert held <= 3  # the clock's own event waits: its row, its list's size and its timer
+
+
+def test_a_forgotten_key_begins_again(spark, tmp_path):
+    day = 86400
+    parts = [[("t", 0, NOW, "create", None)], [("t", 1, NOW + 3 * day, "create", None)], [("t", 2, NOW + 3 * day + 10, "claim", None), ("clock", 3, NOW + 9 * day, "tick", None)]]
+    rows, _ = run_watch(spark, tmp_path, "task", parts)
+    assert [r[4] for r in sorted(rows, key=lambda r: r[2])] == [True] * 7
+    want = L.timed_fold(log(spark, [e for p in parts for e in p]).where("key <> 'clock'"), "task")
+    assert rows == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_watch_equals_the_timed_fold(spark, tmp_path):
+    import random
+
+    kinds = {
+        "task": ["create", "claim", "append", "save", "fail", "retry", "cancel", "complete", "restart"], "progress": ["create", "save", "save_ready", "abandon", "complete"],
+        "quota": ["reserve", "release", "restart"], "asset": ["create", "claim", "uploading", "ready", "failed"],
+    }
+    for m, (machine, names) in enumerate(kinds.items()):
+        rng = random.Random(m)
+        rows, seq = [], 0
+        for batch in range(4):  # within a batch in any order, and up to five minutes older than the batch before
+            part = []
+            for _ in range(60):
+                seq += 1
+                part.append((f"k{rng.randint(0, 12)}" if rng.random() > 0.03 else None, seq, NOW + batch * 40_000 + rng.randint(-250, 39_000), rng.choice(names), rng.choice([None, 1, 2])))
+            rows.append(part)
+        rows[-1].append(("clock", 0, NOW + 100 * 86400, "tick", None))
+        got, held = run_watch(spark, f"{tmp_path}/{machine}", machine, rows)
+        want = L.timed_fold(log(spark, [e for p in rows for e in p]).where("key <> 'clock'"), machine)
+        assert got == sorted(map(tuple, want.collect()), key=repr), machine
+        assert sum(r[1] is None for r in got) >= 10 and held <= 3
+
+
+def test_the_clock_stops_where_it_is_told(spark):
+    rows = log(spark, [("t", 0, NOW, "create", None), ("t", 1, NOW + 1801, "claim", None), ("t", 2, NOW + 4000, "claim", None)])
+    got = L.timed_fold(rows, "task", NOW + 1801).collect()
+    assert [(r.event, r.accepted) for r in got] == [("create", True), ("expire", True), ("claim", False)]
+    assert L.timed_fold(rows.where("false"), "task").count() == 0
