@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import tokens_bm25
 from corpusloom.operators import retrieval as R
+from corpusloom.operators import vector_index as V
 from corpusloom.operators.dedupe import exact_dedupe
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import CHUNKS, SOURCE_DOCS, WEB_SOURCES, chunks, source_docs, table, web_sources
@@ -77,11 +78,14 @@ def bm25_hits(spark, sf_dir, k=50, **kw):
     return R.bm25_topk(bench_queries(spark, sf_dir), R.bm25_index(units(spark, sf_dir)), k, **kw)
 
 
-def dense_hits(spark, sf_dir, k=50):
+def dense_inputs(spark, sf_dir):
     """Every vector whose id is divisible by 100 asks, all vectors answer."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    q = v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    return R.dense_topk(q, v, k)
+    return v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding"), v
+
+
+def dense_hits(spark, sf_dir, k=50):
+    return R.dense_topk(*dense_inputs(spark, sf_dir), k)
 
 
 _CLEANED = f"""{CHUNKS}, firsts AS (
@@ -120,6 +124,24 @@ def dense_topk_r3(spark, sf_dir):
     return dense_hits(spark, sf_dir).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("dense_index_r3", f"WITH {VECTORS}, {_dense_sql(50)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM dense")
+def dense_index_r3(spark, sf_dir):
+    """The exact search through the index: some lists first, then only what the bounds leave."""
+    q, v = dense_inputs(spark, sf_dir)
+    return V.search(q, V.build_index(v), 50, exact=True)[0].select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("dense_probes_r3")
+def dense_probes_r3(spark, sf_dir):
+    """What a few probes find of the exact best ten, and the rows that each query reads for it."""
+    q, v = dense_inputs(spark, sf_dir)
+    index = V.build_index(v)
+    near, work = V.search(q, index, 10, probes=8)
+    best, _ = V.search(q, index, 10, exact=True)
+    both = best.join(near.select("query_id", "chunk_id", F.lit(1).alias("seen")), ["query_id", "chunk_id"], "left")
+    return both.groupBy("query_id").agg(F.avg(F.coalesce("seen", F.lit(0))).alias("recall")).join(work, "query_id")
+
+
 @query("bm25_topk_r4", f"WITH {UNITS}, {_bm25_sql('units', 50)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM bm25")
 def bm25_topk_r4(spark, sf_dir):
     return bm25_hits(spark, sf_dir).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
