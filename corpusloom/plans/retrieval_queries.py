@@ -147,6 +147,13 @@ def bm25_topk_r4(spark, sf_dir):
     return bm25_hits(spark, sf_dir).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("bm25_blocks_r4", f"WITH {UNITS}, {_bm25_sql('units', 50)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM bm25")
+def bm25_blocks_r4(spark, sf_dir):
+    """The same through blocks with bounds."""
+    hits, _ = R.bm25_search(bench_queries(spark, sf_dir), R.bm25_index(units(spark, sf_dir)), 50)
+    return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 _OVERLAP = """over_s AS (SELECT query_id, chunk_id, count(*) AS score FROM bm25_q JOIN bm25_post USING (term) GROUP BY query_id, chunk_id),
 over AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM over_s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 50)"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -67,3 +69,33 @@ def test_an_empty_index(vectors):
     assert hits.count() == 0 and work.count() == 0
     hits, _ = V.search(asked(vectors).where("false"), V.build_index(vectors), 5, exact=True)
     assert hits.count() == 0
+
+
+def texts(spark, n=2500, seed=8):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = ["the"] * rng.randint(1, 12) + [f"w{int(rng.paretovariate(0.5)) % 400}" for _ in range(rng.randint(2, 60))]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += [(n + i, "rareword the the " + rows[i][1]) for i in range(30)] + [(n + 50, ""), (n + 51, None)] + [(n + 60 + i, "the equal text w7") for i in range(20)]
+    return spark.createDataFrame(rows, "chunk_id long, text string").repartition(5)
+
+
+@pytest.mark.parametrize(("size", "first"), [(16, None), (1, 1), (300, 2)])
+def test_blocks_give_what_a_full_scan_gives(spark, size, first):
+    chunks = texts(spark)
+    asked = spark.createDataFrame([(1, "the rareword"), (2, "the"), (3, "w7 w9 w11 w300"), (4, "unheard"), (5, ""), (6, "equal text the w1"), (7, None)], "query_id long, query string")
+    index = R.bm25_index(chunks)
+    hits, work = R.bm25_search(asked, index, 10, size=size, first=first)
+    assert rows(hits) == rows(R.bm25_topk(asked, index, 10)) and hits.count() >= 40
+    read = work.toPandas().set_index("query_id")
+    assert (read.postings_read <= read.postings).all()
+    if size == 16:  # the frequent word's postings are skipped where the rare word is not
+        assert read.postings_read[1] < 0.45 * read.postings[1] and read.postings_read[6] < 0.6 * read.postings[6], read
+
+
+def test_blocks_of_nothing(spark):
+    chunks = texts(spark).where("false")
+    hits, work = R.bm25_search(spark.createDataFrame([(1, "the")], "query_id long, query string"), R.bm25_index(chunks), 10)
+    assert hits.count() == 0 and work.count() == 0
