@@ -99,3 +99,39 @@ def test_blocks_of_nothing(spark):
     chunks = texts(spark).where("false")
     hits, work = R.bm25_search(spark.createDataFrame([(1, "the")], "query_id long, query string"), R.bm25_index(chunks), 10)
     assert hits.count() == 0 and work.count() == 0
+
+
+def plain_overlap(asked, chunks, k):
+    out = []
+    for q, text in asked:
+        words = list(dict.fromkeys((text or "").lower().split()))
+        scored = [(-round(sum(w in t.lower() for w in words) / len(words), 9), c) for c, t in chunks if words and t is not None]
+        out += [(q, i + 1, c, round(-s, 8)) for i, (s, c) in enumerate(sorted(x for x in scored if x[0] < 0)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "grams"), [(2000, 2_000_000), (3, 2_000_000), (2000, 1)])
+def test_contained_terms_by_grams(spark, monkeypatch, block, grams):
+    monkeypatch.setattr(R, "GRAMS", grams)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abCDé中") for _ in range(rng.randint(1, 6)))
+    chunks = [(i, " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(300)] + [(900, None), (901, ""), (902, "xyzabcd" * 50)]
+    asked = [(i, " ".join(word() for _ in range(rng.randint(0, 8)))) for i in range(25)] + [(80, None), (81, "zabc yzabcdxyza the"), (82, "AB ab Ab")]
+    c = spark.createDataFrame(chunks, "chunk_id long, text string").repartition(4)
+    q = spark.createDataFrame(asked, "query_id long, query string")
+    assert rows(R.overlap_topk(q, c, 7, block)) == plain_overlap(asked, chunks, 7)
+
+
+def test_grams_leave_few_candidates(spark):
+    chunks = texts(spark)
+    terms = spark.createDataFrame([("rareword",), ("w300",), ("unheard",), ("e",)], "term string")
+    got = R.containing(terms, chunks).toPandas()
+    verified = sum(map(len, got.terms))
+    assert verified >= 30 and got.candidates.sum() <= 1.2 * verified + 20
+    assert R.containing(terms.where("false"), chunks).count() == 0 and R.containing(terms, chunks.where("false")).count() == 0
+
+
+def test_more_queries_than_a_block(vectors):
+    fine = vectors.where("chunk_id < 3000")
+    q = asked(fine)
+    assert rows(R.dense_topk(q, fine, 9, block=7)) == rows(R.dense_topk(q, fine, 9))
