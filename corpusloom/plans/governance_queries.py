@@ -14,6 +14,7 @@ from corpusloom.plans.dedupe_queries import _CANON
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import CHUNKS, SOURCE_DOCS, chunks, source_docs, table
 from corpusloom.sources import tables as S
+from corpusloom.sources.snapshots import Snapshots, publish_version
 from corpusloom.sources.stages import shared_folder
 
 
@@ -90,7 +91,10 @@ def approval_checks_q7(spark, sf_dir):
     return Q.approval_checks(c)
 
 
-@query("publish_q8", f"""WITH {CHUNKS} SELECT corpus_version, CASE WHEN corpus_version = 'v1' AND license_status = 'approved' THEN 'published' WHEN corpus_version = 'v0' AND doc_id % 5 = 0 THEN 'inactive' WHEN doc_id % 5 = 0 THEN 'published' ELSE 'unpublished' END AS status, count(*) AS n_chunks FROM chunks GROUP BY ALL""")
+_PUBLISHED = f"""WITH {CHUNKS} SELECT corpus_version, CASE WHEN corpus_version = 'v1' AND license_status = 'approved' THEN 'published' WHEN corpus_version = 'v0' AND doc_id % 5 = 0 THEN 'inactive' WHEN doc_id % 5 = 0 THEN 'published' ELSE 'unpublished' END AS status, count(*) AS n_chunks FROM chunks GROUP BY ALL"""
+
+
+@query("publish_q8", _PUBLISHED)
 def publish_q8(spark, sf_dir):
     return Q.publish(governed(spark, sf_dir), "v1", "v0")[0].groupBy("corpus_version", "status").agg(F.count(F.lit(1)).alias("n_chunks"))
 
@@ -130,7 +134,10 @@ def upsert_s7(spark, sf_dir):
     return S.upsert(o.select("o_orderkey", "o_totalprice"), delta, ["o_orderkey"])
 
 
-@query("replace_document_s8", f"WITH {CHUNKS} SELECT document_id, chunk_id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT concat('d', doc_id), 'new' FROM labels WHERE toxic = 1")
+_REPLACED = f"WITH {CHUNKS} SELECT document_id, chunk_id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT concat('d', doc_id), 'new' FROM labels WHERE toxic = 1"
+
+
+@query("replace_document_s8", _REPLACED)
 def replace_document_s8(spark, sf_dir):
     c = chunks(spark, sf_dir).select("document_id", "chunk_id").withColumn("owner_id", F.lit(0))
     new = table(spark, sf_dir, "labels").where("toxic = 1").select(F.concat(F.lit("d"), "doc_id").alias("document_id"), F.lit("new").alias("chunk_id"), F.lit(0).alias("owner_id"))
@@ -228,7 +235,10 @@ def file_types_s3(spark, sf_dir):
     return S.detect_file_types(files).select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("page_id"), "logical_type", "error")
 
 
-@query("staged_batches_s6", f"WITH {CHUNKS} SELECT chunk_id, concat('b', authority_priority % 3) AS batch_id, sha256(CASE authority_priority % 3 WHEN 1 THEN concat('new ', text) ELSE text END) AS text_hash FROM chunks WHERE authority_priority % 3 < 2")
+_BATCHES = f"WITH {CHUNKS} SELECT chunk_id, concat('b', authority_priority % 3) AS batch_id, sha256(CASE authority_priority % 3 WHEN 1 THEN concat('new ', text) ELSE text END) AS text_hash FROM chunks WHERE authority_priority % 3 < 2"
+
+
+@query("staged_batches_s6", _BATCHES)
 def staged_batches_s6(spark, sf_dir):
     """Chunks by batch; one batch is written again, which replaces it and no other; two of them are read."""
     root = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
@@ -239,6 +249,41 @@ def staged_batches_s6(spark, sf_dir):
     return both.select("chunk_id", "batch_id", F.sha2("text", 256).alias("text_hash"))
 
 
+@query("staged_commits_s6", _BATCHES)
+def staged_commits_s6(spark, sf_dir):
+    """The same on a table of commits, each batch a part: the second write is a version of its own."""
+    c = chunks(spark, sf_dir).select("document_id", "chunk_id", "text", F.concat(F.lit("b"), F.col("authority_priority") % 3).alias("batch_id"))
+    held = Snapshots(spark, f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}", "batch_id")
+    held.replace(c)
+    held.replace(c.where("batch_id = 'b1'").withColumn("text", F.concat(F.lit("new "), "text")))
+    return held.read(parts=["b0", "b1"]).select("chunk_id", "batch_id", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("replace_commits_s8", _REPLACED)
+def replace_commits_s8(spark, sf_dir):
+    """The same as a commit on a table divided by buckets of documents, of which only those of the delta are read and written."""
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(16)).cast("int").alias("bucket")
+    c = chunks(spark, sf_dir).select("document_id", "chunk_id", F.lit(0).alias("owner_id"), bucket)
+    new = table(spark, sf_dir, "labels").where("toxic = 1").select(F.concat(F.lit("d"), "doc_id").alias("document_id"), F.lit("new").alias("chunk_id"), F.lit(0).alias("owner_id"))
+    new = new.select("*", bucket)
+    held = Snapshots(spark, f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}", "bucket")
+    held.replace(c)
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most 16
+    held.update(touched, lambda rows: S.replace_document(rows, new), c.schema)
+    return held.read().select("document_id", "chunk_id")
+
+
+@query("publish_commit_q8", _PUBLISHED)
+def publish_commit_q8(spark, sf_dir):
+    """The same as one commit on a table divided by version: the active one first, then the candidate, with a look at what readers would see."""
+    rows = governed(spark, sf_dir)
+    held = Snapshots(spark, f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", "corpus_version")
+    held.replace(rows, note={"active": "v0"})
+    done = publish_version(held, "v1", lambda seen: not seen.where("corpus_version = 'v1' and status = 'published'").isEmpty())
+    assert done["passed"] and held.entry()["note"] == {"active": "v1", "previous": "v0"}
+    return held.read().groupBy("corpus_version", "status").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
 @query("records_s14", "SELECT conv_id, turn, text FROM conversations")
 def records_s14(spark, sf_dir):
     return S.to_record(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("evidence_text")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import table
+from corpusloom.sources.snapshots import Snapshots
 from corpusloom.sources.stages import shared_folder
 from corpusloom.streaming import lifecycle as L
 
@@ -149,7 +150,10 @@ def asset_stream_t6(spark, sf_dir):
     return _on_stream(spark, sf_dir, "asset", _T6)
 
 
-@query("ingest_upsert_t4", """SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id""")
+_INGESTED = """SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"""
+
+
+@query("ingest_upsert_t4", _INGESTED)
 def ingest_upsert_t4(spark, sf_dir):
     """The table that the ingest stream keeps: the last row of each key, over two runs of the stream."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
@@ -160,6 +164,18 @@ def ingest_upsert_t4(spark, sf_dir):
     return spark.read.parquet(f"{path}/table").select("user_id", "event_id", "event_type")
 
 
+@query("ingest_commits_t4", _INGESTED)
+def ingest_commits_t4(spark, sf_dir):
+    """The same into a table of commits, a version for each arrival."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    path = f"{shared_folder(spark)}/stream-commits-{uuid.uuid4().hex}"
+    held = Snapshots(spark, f"{path}/table", "bucket")
+    for half in (0, 1):
+        e.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half).write.mode("append").json(f"{path}/in")
+        L.ingest_commits(spark, f"{path}/in", held, f"{path}/cp", lambda df: df, e.schema.simpleString()[7:-1].replace(":", " "), ["user_id"], "event_id").awaitTermination()
+    return held.read().select("user_id", "event_id", "event_type")
+
+
 @query("upload_dedupe_t5", "SELECT user_id, sha256(event_type) AS content_hash, CAST(ts AS DATE) AS day FROM events GROUP BY ALL")
 def upload_dedupe_t5(spark, sf_dir):
     """Uploads of a day stand for one content; the stream lets the first of each through."""

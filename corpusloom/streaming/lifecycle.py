@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
+from corpusloom.sources.snapshots import Snapshots
 from corpusloom.sources.stages import staged
 from corpusloom.sources.tables import upsert
 
@@ -337,6 +338,38 @@ def ingest_stream(
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_commits(
+    spark: SparkSession, in_dir: str, table: Snapshots, checkpoint: str, to_rows: Callable[[DataFrame], DataFrame], schema: str, keys: list[str],
+    order: str | None = None, buckets: int = 64, name: str = "ingest",
+) -> StreamingQuery:
+    """T4 into a table of commits, divided by ``bucket``: a micro-batch is one version.
+
+    The entry's note has the stream's last epoch, so a batch that was committed before the
+    stream could write its own checkpoint changes nothing when it comes again. A writer that
+    dies earlier leaves the old version. Of several rows of a key the last by ``order`` counts,
+    against what the table holds as well.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = to_rows(batch)
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        if table.entry()["note"].get(name, -1) >= epoch:
+            return
+        rows = staged(rows, "batch")
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
+        last = F.struct(*([order] if order else []), *rows.columns)
+
+        def merged(base: DataFrame) -> DataFrame:
+            both = base.select(*rows.columns).unionByName(rows).withColumn("_order", last)
+            return upsert(both.limit(0), both, keys, "_order").drop("_order")
+
+        if touched:
+            table.update(touched, merged, rows.schema, table.entry()["note"] | {name: epoch})
+
+    source = spark.readStream.schema(schema).json(in_dir)
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.schema("x int").parquet(path)
