@@ -26,8 +26,8 @@ GAP = re.compile(r"[\t\n\r ]+")
 PIECES = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r 0-9a-zß-öø-ÿ]+"
 ).findall
-#: Bytes of chunks that a worker remembers, their overhead included, before it starts anew.
-CACHE = 32 << 20
+#: Bytes of chunks that a worker remembers, their overhead included.
+CACHE = 40 << 20
 #: Longer chunks are not remembered.
 LONGEST = 64
 
@@ -79,12 +79,26 @@ class Table(dict):
 
     def __init__(self, name: str, whole: dict[str, int], value: Callable[[list[int]], object]):
         super().__init__()
-        self.tok, self.value, self.whole, self.held = tokenizer(name), value, whole, 0
+        self.tok, self.value, self.whole, self.held, self.old = tokenizer(name), value, whole, 0, {}
         self.merge = self.tok.model.tokenize
         self.shown = {b: c for c, b in byte_alphabet().items()}
         self.tally = {"whole": 0, "merged": 0, "library": 0}
 
     def __missing__(self, chunk: str):
+        """From the older half of what is remembered, or made anew; when the younger half is full, the older one goes."""
+        v = self.old.get(chunk)
+        if v is None:
+            v = self._make(chunk)
+        if len(chunk) <= LONGEST:
+            self.held += 200 + 2 * len(chunk) + (len(v) if isinstance(v, bytes) else 4)
+            if 2 * self.held > CACHE:
+                self.old = dict(self)
+                self.clear()
+                self.held = 0
+            self[chunk] = v
+        return v
+
+    def _make(self, chunk: str):
         if PLAIN.fullmatch(chunk):
             ids = []
             for w in PIECES(chunk):
@@ -99,14 +113,7 @@ class Table(dict):
         else:
             ids = self.tok.encode(chunk, add_special_tokens=False).ids
             self.tally["library"] += 1
-        v = self.value(ids)
-        if len(chunk) <= LONGEST:
-            self.held += 200 + 2 * len(chunk) + 4 * len(ids)
-            if self.held > CACHE:
-                self.clear()
-                self.held = 0
-            self[chunk] = v
-        return v
+        return self.value(ids)
 
     def of(self, text: str | None) -> Iterable:
         """The values of a text's chunks in order."""
