@@ -62,35 +62,45 @@ def template_tree(
     pages, at the host or over the nodes of that name at all hosts, and becomes ``*``
     otherwise; so a small host has the form that its like have elsewhere. A template is a
     path of the tree. A node's pages are done once their path ends, and when all pages of
-    its name have the same rest (literal if they are several, else wildcards): the
-    levels are those of the longest path that two different urls share, and no path is
-    cut. In ``node`` such a rest is one step. ``merge_branches`` then merges alike
+    its name have the same rest (literal if they are several, else wildcards). Segments
+    that all pages of a name share are passed at once, as nothing branches there: so
+    levels are branchings, not segments, and no path is cut. In ``node`` such a rest or
+    run of segments is one step. ``merge_branches`` then merges alike
     subtrees by their ``evidence``. ``label`` is 1 bad, 0 good, null unknown. Rows of a hot host meet only in sums that are combined before the shuffle, and in
     joins that adaptive execution splits.
     """
     segments = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.when(s == "*", "%2A").otherwise(s))
-    now = staged(urls.select("key", "host", "label", segments.alias("rest"), F.lit("").alias("template")), "url-segments")
+    now = staged(urls.select("key", "host", "label", segments.alias("rest"), F.lit("").alias("template"), F.lit("").alias("node")), "url-segments")
     done = []
+    slashed = lambda a: F.array_join(F.transform(a, lambda s: F.concat(F.lit("/"), s)), "")
+    open_rest = F.when(F.size("rest") > 0, F.col("rest"))
+    # what the least and the greatest of some arrays have in common at their beginning, all have
+    common = F.expr("coalesce(nullif(array_position(zip_with(low, high, (a, b) -> a <=> b), false), 0) - 1, size(low), 0)")
     while True:
         rests = now.groupBy("template").agg(
-            F.count(F.lit(1)).alias("pages"), (F.min(F.xxhash64("rest")) == F.max(F.xxhash64("rest"))).alias("alike")
-        )
-        alike = staged(rests.where("alike").select("template", (F.col("pages") > 1).alias("several")), "url-alike")
-        now = now.join(alike, "template", "left")
+            F.count(F.lit(1)).alias("pages"), (F.min(F.xxhash64("rest")) == F.max(F.xxhash64("rest"))).alias("alike"),
+            F.count(open_rest).alias("open"), F.min(open_rest).alias("low"), F.max(open_rest).alias("high"),
+        )
+        several = F.when(F.col("alike"), F.col("pages") > 1)
+        sure = _at_least(F.col("open"), F.greatest("open", F.lit(1)), share, z)
+        now = now.join(staged(rests.select("template", several.alias("several"), common.cast("int").alias("common"), sure.alias("sure")), "url-alike"), "template")
         tail = F.transform("rest", lambda s: F.when(F.col("several"), s).otherwise("*"))
         closed = now.where("several is not null or size(rest) = 0").select(
-            "key", "host", "label", F.concat("template", F.array_join(F.transform(tail, lambda s: F.concat(F.lit("/"), s)), "")).alias("template"),
-            F.concat("template", F.lit("/"), F.array_join(tail, "\x1f")).alias("node"),
+            "key", "host", "label", F.concat("template", slashed(tail)).alias("template"), F.concat("node", F.lit("/"), F.array_join(tail, "\x1f")).alias("node"),
         )
         done.append(closed)
-        now = staged(now.where("several is null and size(rest) > 0").drop("several").withColumn("segment", F.col("rest")[0]), "url-open")
+        now = now.where("several is null and size(rest) > 0").withColumn("segment", F.when(F.col("common") == 0, F.col("rest")[0]))
+        now = staged(now.drop("several"), "url-open")
         if now.isEmpty():
             break
         literal = _literals(now, share, z).select(F.col("host").alias("h2"), F.col("template").alias("t2"), F.col("segment").alias("s2"))
+        one = F.array(F.coalesce("s2", F.lit("*")))
+        shared = F.expr("slice(rest, 1, common)")
+        step = F.when(F.col("common") == 0, one).when(F.col("sure"), shared).otherwise(F.transform(shared, lambda s: F.lit("*")))
         now = now.join(literal, F.expr("host = h2 and template = t2 and segment = s2"), "left").select(
-            "key", "host", "label", F.expr("slice(rest, 2, size(rest))").alias("rest"),
-            F.concat("template", F.lit("/"), F.coalesce("s2", F.lit("*"))).alias("template"),
-        )
+            "key", "host", "label", F.expr("slice(rest, greatest(common, 1) + 1, size(rest))").alias("rest"),
+            F.concat("template", slashed(step)).alias("template"), F.concat("node", F.lit("/"), F.array_join(step, "\x1f")).alias("node"),
+        )
         now = staged(now, "url-segments")  # each level reads the one before several times
     templates = staged(reduce(DataFrame.unionByName, done), "url-templates")
     nodes = templates.groupBy("host", "template", "node").agg(

@@ -144,7 +144,7 @@ def test_the_whole_query_is_the_plain_versions(spark):
 
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
     more = [(10_000 + i, f"http://x{i % 7}.org/shop/{i % 3}/{i}/view{'/deep' * (i % 4)}") for i in range(300)]
-    more += [(20_000, "http://long.org/" + "a/" * 3000), (20_001, "http://long.org/" + "a/" * 2999 + "b"), (20_002, None), (20_003, "x")][2:] + [(20_004, "http://long.org/" + "q/" * 5000)] * 2
+    more += [(20_000, "http://long.org/" + "a/" * 3000), (20_001, "http://long.org/" + "a/" * 2999 + "b"), (20_002, None), (20_003, "x")] + [(20_004, "http://long.org/" + "q/" * 5000)] * 2
     got = url_filter.url_filter(pages.unionByName(spark.createDataFrame(more, pages.schema)), URL_RULES).collect()
     label = {None: None, "block": 1, "allow": 0}
     said = [r.verdict if r.rule else None for r in got]
@@ -154,3 +154,17 @@ def test_the_whole_query_is_the_plain_versions(spark):
         assert r.rule or r.verdict == ("block" if purity >= 0.8 else "allow")
     free = {v: sum(r.rule is None and r.verdict == v for r in got) for v in ("block", "allow")}
     assert min(free.values()) > 10  # the method decides, both ways
+
+
+def test_jobs_follow_branchings_and_not_depth(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(url_filter, "staged", lambda df, name: (written.append(name), staged(df, name))[1])
+
+    def tables(depth):
+        written.clear()
+        rows = [(i, f"http://h.org/{'a/' * depth}{i % 2}/{'b/' * depth}{i % 3}/{i}") for i in range(60)]
+        got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), []).collect()
+        assert len({r.template for r in got}) == 6 and all(r.template.count("/") == 2 * depth + 3 for r in got)
+        return len(written)
+
+    assert tables(2) == tables(400) < 60
