@@ -144,44 +144,57 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+#: The same white space as a set of characters.
+BLANK = " \t\n\x0b\f\r"
+
+
 def slots(docs: DataFrame, block: int = 256) -> DataFrame:
-    """``docs(id, row, text)`` -> every white-space word with its patterns: ``(id, row, base, words, j, piece, left, around)``.
+    """``docs(id, row, text)`` -> every white-space word with its patterns: ``(id, row, start, word, left, around)``.
 
-    A text is cut before each word, and the pieces into blocks; ``base`` is where a block
-    starts, and ``started`` adds the pieces before the ``j``-th, for words that are wanted.
+    A text is cut before each word, and the pieces into blocks, in which offsets add up and
+    patterns are made; a word's row has nothing of its block.
     """
-    blank = F.lit(" \t\n\x0b\f\r")
+    blank = F.lit(BLANK)
+
+    def words(pieces: Column, low: Column, k: Column, base: Column) -> Column:
+        own, shift = F.slice(pieces, k, F.lit(block)), F.least(k - 1, F.lit(2))
+        around = F.slice(low, F.greatest(k - 2, F.lit(1)), F.lit(block + 3))
+
+        def each(at: Column, own: Column, around: Column) -> Column:
+            def one(piece: Column, j: Column) -> Column:
+                word = lambda n: F.nullif(F.get(around, j + shift + n), F.lit(""))
+                left, both = pattern_of(word(-2), word(-1), word(1))
+                return F.struct((base + at[j]).alias("start"), F.rtrim(piece, blank).alias("word"), left.alias("left"), both.alias("around"))
+
+            return F.transform(own, one)
+
+        return let(own, lambda o: let(around, lambda a: let(running(F.transform(o, F.length)), lambda at: each(at, o, a))))
 
     def blocks(pieces: Column) -> Column:
         low = F.transform(pieces, lambda p: F.lower(F.btrim(p, blank)))
         starts = F.sequence(F.lit(1), F.size(pieces), F.lit(block))
         length = F.transform(starts, lambda k: F.aggregate(F.slice(pieces, k, F.lit(block)), F.lit(0), lambda n, p: n + F.length(p)))
-        return let(low, lambda w: let(running(length), lambda at: F.transform(starts, lambda k, i: F.struct(
-            at[i].alias("base"), F.slice(pieces, k, F.lit(block)).alias("words"), F.least(k - 1, F.lit(2)).alias("shift"),
-            F.slice(w, F.greatest(k - 2, F.lit(1)), F.lit(block + 3)).alias("low"),
-        ))))
+        return let(low, lambda w: let(running(length), lambda at: F.transform(starts, lambda k, i: words(pieces, w, k, at[i]))))
+
+    each = docs.select("id", "row", F.explode(let(F.split("text", f"(?<={SPACE})(?=[^{SPACES}])"), blocks)).alias("b"))
+    return each.select("id", "row", F.explode("b").alias("s")).select("id", "row", "s.*").where("word <> ''")
 
-    each = docs.select("id", "row", F.explode(let(F.split("text", f"(?<={SPACE})(?=[^{SPACES}])"), blocks)).alias("b")).select("id", "row", "b.*")
-    each = each.select("*", F.posexplode("words").alias("j", "piece"))
-    word = lambda k: F.nullif(F.get("low", F.col("j") + F.col("shift") + k), F.lit(""))
-    left, around = pattern_of(word(-2), word(-1), word(1))
-    return each.select("id", "row", "base", "words", "j", "piece", left.alias("left"), around.alias("around"))
 
+def _ends() -> tuple[Column, Column]:
+    """How many signs stand before and after a word's letters, digits, at and plus signs."""
+    lead = F.length(F.regexp_extract("word", r"^[^\p{L}\p{N}@+]*+", 0))
+    return lead, F.length(F.regexp_extract("word", r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]*+$", 0))
 
-def started(found: DataFrame) -> DataFrame:
-    """Rows of ``slots`` -> ``start`` and ``word`` in place of the block."""
-    start = F.col("base") + F.expr("aggregate(slice(words, 1, j), 0, (n, p) -> n + length(p))")
-    word = F.rtrim("piece", F.lit(" \t\n\x0b\f\r"))
-    return found.withColumns({"start": start, "word": word}).where("word <> ''").drop("base", "words", "j", "piece")
+
+def _core() -> Column:
+    """A word without the signs around it; empty if it is signs only."""
+    lead, tail = _ends()
+    return F.when(F.col("word").rlike(r"[\p{L}\p{N}]"), F.substring(F.col("word"), lead + 1, F.length("word") - lead - tail)).otherwise("")
 
 
 def cored(found: DataFrame) -> DataFrame:
     """Words without the signs around them: ``start`` and ``end`` of the rest, ``instance`` and ``prior``; bare signs go."""
-    lead = F.length(F.regexp_extract("word", r"^[^\p{L}\p{N}@+]*+", 0))
-    tail = F.length(F.regexp_extract("word", r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]*+$", 0))
-    found = found.where(F.col("word").rlike(r"[\p{L}\p{N}]"))
-    core = F.expr("substring(word, lead + 1, length(word) - lead - tail)")
-    found = found.withColumns({"lead": lead, "tail": tail}).withColumn("core", core)
+    found = found.withColumn("core", _core()).where("core <> ''").withColumn("lead", _ends()[0])
     prior = F.when(F.col("core").rlike("[0-9@_]"), LOOKS).otherwise(PLAIN)
     return found.select(
         "id", "row", F.col("start").alias("place"), (F.col("start") + F.col("lead")).alias("start"),
@@ -210,38 +223,37 @@ def _each() -> Column:
 def promising(docs: DataFrame, mentioned: DataFrame, least: float, support: int) -> DataFrame:
     """``(pattern)`` of those that can be strong; ``mentioned(pattern, instance)`` has the confident instances, distinct.
 
-    ``support`` of them must stand in it. If all other words looked like identifiers, the
-    confident ones would still have to be a share of ``(least - LOOKS) / (1 - LOOKS)`` of
-    its different words, which one scan counts by sketches, combined before the shuffle. A
-    sketch may err by a tenth or so, so four tenths of the count are given away; common
-    patterns, in which seeds stand by chance, have far more words than that.
+    ``support`` of them must stand in it. Words without a digit, an at sign or an underscore are in
+    no base match and start at no confidence, so a strong pattern has at most ``good / least``
+    different ones. One scan marks them in 256 bits a pattern, combined before the shuffle:
+    several words may share a bit, so the bits set are surely no more than the words, and only
+    patterns that surely have too many go. Common ones, in which seeds stand by chance, do.
     """
     good = staged(mentioned.groupBy("pattern").agg(F.count(F.lit(1)).alias("good")).where(F.col("good") >= support), "pii-good")
-    share = 0.6 * (least - LOOKS) / (1 - LOOKS)
-    word = F.xxhash64(F.rtrim("piece", F.lit(" \\t\\n\\x0b\\f\\r")))
-    counted = []
+    plain = slots(docs).where(~F.col("word").rlike("[0-9@_]"))
+    marks = []
     for block in _blocks(good.select("pattern")):
-        for side in ("left", "around"):  # a row a word, whatever it stands in; words of no pattern come under 0
-            own = F.broadcast(block.select(F.col("pattern").alias("own")))  # at most BLOCK numbers
-            each = slots(docs).join(own, F.col(side) == F.col("own"), "left")
-            each = each.select(F.coalesce("own", F.lit(0)).alias("pattern"), F.when(F.col("own").isNotNull(), word).alias("word"))
-            counted.append(each.groupBy("pattern").agg(F.approx_count_distinct("word", 0.1).alias("n")))
-    if not counted:
+        each = plain.select("word", _each().alias("pattern")).join(F.broadcast(block), "pattern")  # at most BLOCK numbers
+        each = each.withColumn("core", _core()).where("core <> ''").withColumn("h", F.pmod(F.xxhash64("core"), F.lit(256)))
+        bits = [F.bit_or(F.expr(f"if(h div 64 = {i}, shiftleft(1L, int(h % 64)), 0L)")).alias(f"b{i}") for i in range(4)]
+        marks.append(each.groupBy("pattern").agg(*bits))
+    if not marks:
         return good.select("pattern")
-    kept = good.join(reduce(DataFrame.unionByName, counted), "pattern").where(F.col("good") >= share * F.col("n"))
+    words = reduce(DataFrame.unionByName, marks).select("pattern", F.expr("bit_count(b0) + bit_count(b1) + bit_count(b2) + bit_count(b3)").alias("n"))
+    kept = good.join(words, "pattern", "left").where(least * F.coalesce("n", F.lit(0)) <= F.col("good"))
     return staged(kept.select("pattern"), "pii-patterns")
 
 
 def look_up(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """The words that stand in one of ``patterns(pattern)``: ``cored`` with ``pattern``. One scan a block, no shuffle."""
-    found = [cored(started(_standing(docs, block))) for block in _blocks(patterns)]
+    found = [cored(_standing(docs, block)) for block in _blocks(patterns)]
     return reduce(DataFrame.unionByName, found).withColumn("pattern", _each()).drop("left", "around")
 
 
 def contexts(docs: DataFrame, instances: DataFrame) -> DataFrame:
     """All patterns in which one of ``instances(instance)`` stands: ``(pattern, instance)``. One scan a block, no shuffle."""
     found = [
-        cored(started(slots(docs))).join(F.broadcast(block), "instance").select("instance", _each().alias("pattern"))
+        cored(slots(docs)).join(F.broadcast(block), "instance").select("instance", _each().alias("pattern"))
         for block in _blocks(instances)
     ]
     return reduce(DataFrame.unionByName, found)
