@@ -481,6 +481,32 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.embedding_dedup(df.where("vec_id between 603 and 607")).count() == 5
 
 
+def test_embedding_links_over_hundreds_of_lists(spark):
+    """20,000 vectors in some 500 lists, a sixth of them in one dense spot, with planted neighbours of known cosine."""
+    rng = np.random.default_rng(12)
+    dim, planted = 32, 400
+    x = rng.normal(size=(16_000, dim))
+    dense = rng.normal(size=dim) * 4 + rng.normal(size=(3_200, dim)) * 0.9  # one region, mostly below the threshold
+    x = np.concatenate([x, dense, np.zeros((2 * planted, dim))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(2 * planted):  # at cosines from 0.951 to 0.999
+        side = rng.normal(size=dim)
+        side -= (side @ x[i]) * x[i]
+        c = 0.951 + 0.048 * rng.random()
+        x[19_200 + i] = c * x[i] + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    x = x.astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(8)
+    got = embedding_dedup.embedding_dedup(df, list_size=40).toPandas().sort_values("vec_id")
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = np.concatenate([(u[i : i + 2000] @ u.T >= 0.95).sum(axis=1) - 1 for i in range(0, len(u), 2000)])
+    found = got.n_links.to_numpy()
+    assert (found <= want).all() and want.sum() > 4 * planted  # none below the threshold
+    plain = np.r_[0 : 2 * planted, 19_200 : len(u)]
+    assert found[plain].sum() >= 0.9 * want[plain].sum() and found.sum() >= 0.9 * want.sum()
+    assert (got.component_id.to_numpy()[19_200:][found[19_200:] > 0] < 19_200).all()
+
+
 def test_embedding_recall_at_the_defaults(spark):
     from glob import glob
 
