@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import nearest_rank, squeeze, strip, tokens_eval
+from corpusloom.functions.text import squeeze, strip, tokens_eval
 from corpusloom.sources.stages import staged
 
 # Fixed values of the data contract.
@@ -88,11 +88,55 @@ def answer_integrity(hits: DataFrame) -> DataFrame:
 def evaluate(hits: DataFrame, qrels: DataFrame, queries: DataFrame, k: int = 5, key: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
     """Per-query metrics and their means for a run with latencies in ``queries.latency_ms``; named by ``k``."""
     per = rank_metrics(hits, qrels, k, key)
-    lat = queries.agg(nearest_rank("latency_ms", 0.5).alias("p50_latency_ms"), nearest_rank("latency_ms", 0.95).alias("p95_latency_ms"))
+    ranks = select_ranks(queries, "latency_ms", [0.5, 0.95])  # a row for each, none without latencies
+    at = lambda p: F.coalesce(F.max(F.when(F.col("share") == p, F.col("value"))), F.lit(0.0))
+    lat = ranks.agg(at(0.5).alias("p50_latency_ms"), at(0.95).alias("p95_latency_ms"))
     mean = per.agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(f"{m}_at_{k}") for m in ("hit", "mrr", "ndcg")], F.coalesce(F.avg("hit"), F.lit(0.0)).alias("knowledge_coverage_rate"))
     return per, as_metrics(mean.crossJoin(F.broadcast(lat)))  # one row each
 
 
+def select_ranks(df: DataFrame, value: str, shares: list[float], groups: list[str] | None = None, small: int = 10_000, buckets: int = 1024) -> DataFrame:
+    """The value at rank ``ceil(share * n)`` for each share, ``(*groups, share, value, held)``, without a task that holds a group.
+
+    Each round counts the values between two bounds in ``buckets`` of equal width, combined
+    before the shuffle, and goes on in the one that has the rank, between the least and the
+    greatest value there. When a bucket has one different value, or ``small`` rows (``held``), which
+    are then sorted, the rank is found. The bounds tighten by the factor ``buckets`` a round at
+    least. Null and NaN values don't count; a group without others has no row.
+    """
+    groups = groups or []
+    x = F.col(value).cast("double")
+    rows = df.select(*groups, x.alias("x")).where(x.isNotNull() & ~F.isnan(x))
+    rows = staged(rows, "values")
+    each = F.explode(F.array(*[F.lit(float(p)) for p in shares])).alias("share")
+    todo = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    todo = todo.where("n > 0").select(*groups, "n", "low", "high", each).withColumn("rank", F.greatest(F.ceil(F.col("share") * F.col("n")), F.lit(1)).cast("long"))
+    todo = staged(todo, "ranks")
+    keys, done = [*groups, "share"], []
+
+    def within(asked: DataFrame) -> DataFrame:
+        """The rows between a rank's bounds; the ranks are few beside them, groups may be null."""
+        mine = asked.select(*[F.col(g).alias(f"_{g}") for g in groups], "share", "low", "high", "rank")
+        same = F.lit(True)
+        for g in groups:
+            same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
+        return rows.join(mine, same & F.col("x").between(F.col("low"), F.col("high"))).drop(*[f"_{g}" for g in groups])
+
+    while True:
+        done.append(todo.where("low = high").select(*keys, F.col("low").alias("value"), F.lit(0).cast("long").alias("held")))
+        last = within(todo.where(f"low < high and n <= {small}")).groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("xs"), F.first("rank").alias("rank"))
+        done.append(last.select(*keys, F.element_at("xs", F.col("rank").cast("int")).alias("value"), F.size("xs").cast("long").alias("held")))
+        wide = todo.where(f"low < high and n > {small}")
+        if wide.isEmpty():
+            break
+        place = F.floor((F.col("x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * buckets)  # halves can't overflow
+        counts = within(wide).groupBy(*keys, place.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.first("rank").alias("rank"))
+        before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` + 1 rows
+        counts = counts.withColumn("rank", F.col("rank") - F.coalesce(F.sum("n").over(before), F.lit(0)))
+        todo = staged(counts.where("rank between 1 and n").select(*groups, "n", "low", "high", "share", "rank"), "ranks")
+    return reduce(DataFrame.unionByName, done)
+
+
 def as_metrics(row: DataFrame) -> DataFrame:
     """A one-row table of measures as ``(metric, value)``."""
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns])

@@ -330,3 +330,10 @@ SELECT 'all' AS cut, 'all' AS value, count(*) AS n, avg(value) AS score FROM e U
 def metric_cuts_e26(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("scenario"), F.concat(F.lit("r"), F.col("user_id") % 3).alias("role"), F.col("value").alias("score"))
     return E.metric_cuts(e, ["scenario", "role"], ["score"])
+
+
+@query("latency_selection_e7", """
+SELECT event_type, unnest([0.5, 0.95, 0.99]) AS share, unnest([quantile_disc(value, 0.5), quantile_disc(value, 0.95), quantile_disc(value, 0.99)]) AS value FROM events GROUP BY event_type""")
+def latency_selection_e7(spark, sf_dir):
+    """By refined histograms: no task holds more than a bucket."""
+    return E.select_ranks(table(spark, sf_dir, "events"), "value", [0.5, 0.95, 0.99], ["event_type"], small=100).drop("held")
