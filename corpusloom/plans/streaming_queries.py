@@ -86,6 +86,16 @@ def asset_state_t6(spark, sf_dir):
     return L.fold(events(spark, sf_dir, _T6, True), "asset")
 
 
+@query("quota_blocks_t3", _machine_sql(*_QUOTA))
+def quota_blocks_t3(spark, sf_dir):
+    return L.segmented_fold(events(spark, sf_dir, _T3, True), "quota")
+
+
+@query("asset_blocks_t6", _machine_sql(*_ASSET))
+def asset_blocks_t6(spark, sf_dir):
+    return L.segmented_fold(events(spark, sf_dir, _T6, True), "asset")
+
+
 _DOCUMENT = ("ready", "failed", "reset", "create", "ready")
 
 

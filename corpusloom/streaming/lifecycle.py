@@ -142,6 +142,65 @@ def fold(events: DataFrame, machine: str) -> DataFrame:
     return _events(events).repartition("key").sortWithinPartitions("key", "ts", "seq").mapInPandas(run, OUT)
 
 
+#: Machines whose next step depends on finitely many states, and what in a state only adds up.
+STARTS: dict[str, list[dict | None]] = {
+    "quota": [None, *({"total": t, "active": a} for t in range(DAILY + 1) for a in range(ACTIVE + 1))],
+    "asset": [None, *({"status": s, "retries": 0} for s in ("pending", "generating", "uploading", "ready", "failed"))],
+}
+SUMS = {"quota": [], "asset": ["retries"]}
+
+
+def _control(machine: str, s: dict | None) -> dict | None:
+    return None if s is None else s | dict.fromkeys(SUMS[machine], 0)
+
+
+def _moved(machine: str, s: dict | None, end: dict | None) -> dict | None:
+    """The end of a block that began at ``s``, from what the block makes of ``s`` with its sums at zero."""
+    return end if s is None or end is None else end | {c: end[c] + s[c] for c in SUMS[machine]}
+
+
+def segmented_fold(events: DataFrame, machine: str, parts: int | None = None) -> DataFrame:
+    """``fold`` for machines of finitely many states, with a key's history dealt over many tasks.
+
+    Events are sorted over ranges of (key, ts, seq), so a hot key fills several, each a block of
+    events in order. A block is summarised as a transition: where it leads from each state. A
+    key's transitions, one a block, are composed from its first; then all blocks run again,
+    from the states that they really begin at. Keys of one block skip the first steps.
+    """
+    step, starts = MACHINES[machine], STARTS[machine]
+    order = ["key", "ts", "seq"]
+    rows = _events(events).where("key is not null")
+    placed = (rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)).withColumn("part", F.spark_partition_id())
+    placed = staged(placed, "blocks")
+    hot = placed.select("key", "part").distinct().groupBy("key").count().where("count > 1").select("key")
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends = [None if s is None else dict(s) for s in starts]
+        for r in pdf.sort_values(["ts", "seq"], kind="stable").to_dict("records"):
+            e = _plain(r)
+            ends = [step(s, e)[0] for s in ends]
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "part": [pdf["part"].iloc[0]], "ends": [json.dumps(ends)]})
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, now = [], None
+        for key, part, ends in pdf.sort_values("part")[["key", "part", "ends"]].itertuples(index=False):
+            out.append((key, part, json.dumps(now)))
+            now = _moved(machine, now, json.loads(ends)[starts.index(_control(machine, now))])
+        return pd.DataFrame(out, columns=["key", "part", "start"])
+
+    def run(block: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        s, out = (json.loads(begin["start"].iloc[0]) if len(begin) else None), []
+        for r in block.sort_values(["ts", "seq"], kind="stable").to_dict("records"):
+            s, ok = step(s, _plain(r))
+            out.append((r["key"], r["seq"], r["event"], ok, json.dumps(s, sort_keys=True)))
+        return pd.DataFrame(out, columns=["key", "seq", "event", "accepted", "state"])
+
+    blocks = ["key", "part"]
+    ends = placed.join(hot, "key", "left_semi").groupBy(*blocks).applyInPandas(summarise, "key string, part int, ends string")
+    begins = staged(ends.groupBy("key").applyInPandas(compose, "key string, part int, start string"), "begins")
+    return placed.groupBy(*blocks).cogroup(begins.groupBy(*blocks)).applyInPandas(run, OUT)
+
+
 def latest(folded: DataFrame) -> DataFrame:
     """The last state per key and how many events counted. States come in event order, so the largest seq per key must be the last."""
     return folded.groupBy("key").agg(F.count(F.when(F.col("accepted"), 1)).alias("n_accepted"), F.count(F.lit(1)).alias("n_events"), F.max_by("state", "seq").alias("state"))

@@ -139,3 +139,26 @@ def test_the_clock_stops_where_it_is_told(spark):
     got = L.timed_fold(rows, "task", NOW + 1801).collect()
     assert [(r.event, r.accepted) for r in got] == [("create", True), ("expire", True), ("claim", False)]
     assert L.timed_fold(rows.where("false"), "task").count() == 0
+
+
+def test_a_hot_key_is_folded_in_blocks(spark):
+    import random
+
+    for machine, names in (("quota", ["reserve", "release", "restart", "noise"]), ("asset", ["create", "claim", "uploading", "failed", "ready"])):
+        rng = random.Random(3)
+        rows = [("hot" if rng.random() < 0.8 else f"k{rng.randint(0, 30)}", i, NOW + rng.randint(0, 3_000), rng.choices(names, [6, 3, 1, 1, 1][: len(names)])[0], None) for i in range(8_000)]
+        events = log(spark, rows).repartition(5)
+        got, want = L.segmented_fold(events, machine, 16), L.fold(events, machine)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert L.segmented_fold(events.where("false"), "asset").count() == 0
+
+
+def test_a_block_is_a_transition():
+    rows = [{"key": "k", "seq": i, "ts": i, "event": e, "expected_version": None} for i, e in enumerate(["claim", "failed", "create", "claim", "uploading", "failed"])]
+    for machine in ("asset", "quota"):
+        for start in L.STARTS[machine]:
+            held = None if start is None else start | dict.fromkeys(L.SUMS[machine], 7)
+            true, zero = held, start
+            for e in rows:
+                true, zero = L.MACHINES[machine](true, e)[0], L.MACHINES[machine](zero, e)[0]
+            assert L._moved(machine, held, zero) == true and (true is None or L._control(machine, true) in L.STARTS[machine])
