@@ -151,33 +151,28 @@ BLANK = " \t\n\x0b\f\r"
 def slots(docs: DataFrame, block: int = 256) -> DataFrame:
     """``docs(id, row, text)`` -> every white-space word with its patterns: ``(id, row, start, word, left, around)``.
 
-    A text is cut before each word, and the pieces into blocks, in which offsets add up and
-    patterns are made; a word's row has nothing of its block.
+    A text is cut before each word, and the pieces into blocks, in which offsets add up; a
+    word's row has its neighbours and nothing else of its block.
     """
     blank = F.lit(BLANK)
 
     def words(pieces: Column, low: Column, k: Column, base: Column) -> Column:
-        own, shift = F.slice(pieces, k, F.lit(block)), F.least(k - 1, F.lit(2))
-        around = F.slice(low, F.greatest(k - 2, F.lit(1)), F.lit(block + 3))
-
-        def each(at: Column, own: Column, around: Column) -> Column:
-            def one(piece: Column, j: Column) -> Column:
-                word = lambda n: F.nullif(F.get(around, j + shift + n), F.lit(""))
-                left, both = pattern_of(word(-2), word(-1), word(1))
-                return F.struct((base + at[j]).alias("start"), F.rtrim(piece, blank).alias("word"), left.alias("left"), both.alias("around"))
-
-            return F.transform(own, one)
-
-        return let(own, lambda o: let(around, lambda a: let(running(F.transform(o, F.length)), lambda at: each(at, o, a))))
+        """A block's words with their offsets and the words around; ``low`` has two empty words more at the beginning."""
+        own = F.slice(pieces, k, F.lit(block))
+        at = let(running(F.transform(own, F.length), block=16), lambda r: F.transform(r, lambda n: n + base))
+        beside = [F.slice(low, k + n, F.lit(block)) for n in (0, 1, 3)]
+        return F.arrays_zip(own.alias("piece"), at.alias("start"), *(b.alias(n) for b, n in zip(beside, ("two", "one", "after"), strict=True)))
 
     def blocks(pieces: Column) -> Column:
-        low = F.transform(pieces, lambda p: F.lower(F.btrim(p, blank)))
+        low = F.concat(F.array(F.lit(""), F.lit("")), F.transform(pieces, lambda p: F.lower(F.btrim(p, blank))), F.array(F.lit("")))
         starts = F.sequence(F.lit(1), F.size(pieces), F.lit(block))
         length = F.transform(starts, lambda k: F.aggregate(F.slice(pieces, k, F.lit(block)), F.lit(0), lambda n, p: n + F.length(p)))
         return let(low, lambda w: let(running(length), lambda at: F.transform(starts, lambda k, i: words(pieces, w, k, at[i]))))
 
     each = docs.select("id", "row", F.explode(let(F.split("text", f"(?<={SPACE})(?=[^{SPACES}])"), blocks)).alias("b"))
-    return each.select("id", "row", F.explode("b").alias("s")).select("id", "row", "s.*").where("word <> ''")
+    each = each.select("id", "row", F.inline("b").alias("piece", "start", "two", "one", "after")).where("piece is not null")
+    left, around = pattern_of(*(F.nullif(F.col(c), F.lit("")) for c in ("two", "one", "after")))
+    return each.select("id", "row", "start", F.rtrim("piece", blank).alias("word"), left.alias("left"), around.alias("around")).where("word <> ''")
 
 
 def _ends() -> tuple[Column, Column]:
