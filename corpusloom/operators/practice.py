@@ -12,6 +12,11 @@ TYPE_LABELS = {"single": "单选题", "multiple": "多选题", "judge": "判断
 QUOTA = {"single": 4, "multiple": 1, "judge": 1}
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """Questions grow with the quizzes, but as exploded rows are estimated at a file's size: never for the driver to collect."""
+    return rows.hint("merge")
+
+
 def same_set(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
 
@@ -91,7 +96,7 @@ def quiz_violations(questions: DataFrame, per_quiz: int = 6, strict: bool = True
 def answer_violations(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers to unknown questions, and questions answered twice."""
     key = ["quiz_id", "question_no"]
-    unknown = answers.join(questions, key, "left_anti").select(*key, F.lit("unknown_question").alias("violation")).distinct()
+    unknown = answers.join(_shuffled(questions), key, "left_anti").select(*key, F.lit("unknown_question").alias("violation")).distinct()
     return unknown.unionByName(answers.groupBy(*key).count().where("count > 1").select(*key, F.lit("repeated_answer").alias("violation")))
 
 
@@ -134,10 +139,10 @@ def incomplete(progress: DataFrame, sessions: DataFrame) -> DataFrame:
 def progress_status(progress: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Per quiz its status after the answers, or why they are refused."""
     q = questions.groupBy("quiz_id").agg(F.count(F.lit(1)).alias("n_questions"))
-    rows = answers.join(questions.select("quiz_id", "question_no", "options"), ["quiz_id", "question_no"], "left")
+    rows = answers.join(_shuffled(questions.select("quiz_id", "question_no", "options")), ["quiz_id", "question_no"], "left")
     bad = F.when(F.col("options").isNull(), "unknown_question").when(F.size(F.array_except("selected", F.map_keys("options"))) > 0, "bad_option")
     a = rows.groupBy("quiz_id").agg(F.count_distinct("question_no").alias("n_answers"), F.max(bad).alias("error"))
-    s = progress.join(q, "quiz_id").join(a, "quiz_id", "left").na.fill(0, ["n_answers"])
+    s = progress.join(_shuffled(q), "quiz_id").join(_shuffled(a), "quiz_id", "left").na.fill(0, ["n_answers"])
     error = F.coalesce("error", F.when((F.col("current_index") < 0) | (F.col("current_index") >= F.col("n_questions")), "bad_index"))
     status = F.when(error.isNotNull(), None).when(F.col("n_answers") == F.col("n_questions"), "ready_for_report").otherwise("in_progress")
     return s.select("quiz_id", "n_answers", status.alias("status"), error.alias("error"))
