@@ -174,12 +174,16 @@ def segmented_fold(events: DataFrame, machine: str, parts: int | None = None) ->
     placed = staged(placed, "blocks")
     hot = placed.select("key", "part").distinct().groupBy("key").count().where("count > 1").select("key")
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = [None if s is None else dict(s) for s in starts]
-        for r in pdf.sort_values(["ts", "seq"], kind="stable").to_dict("records"):
-            e = _plain(r)
-            ends = [step(s, e)[0] for s in ends]
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "part": [pdf["part"].iloc[0]], "ends": [json.dumps(ends)]})
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, ends, out = None, [], []
+        for b in batches:
+            for r in b.to_dict("records"):
+                if (r["key"], r["part"]) != block:
+                    out += [(*block, json.dumps(ends))] if block else []
+                    block, ends = (r["key"], r["part"]), [None if s is None else dict(s) for s in starts]
+                e = _plain(r)
+                ends = [step(s, e)[0] for s in ends]
+        yield pd.DataFrame(out + ([(*block, json.dumps(ends))] if block else []), columns=["key", "part", "ends"])
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         out, now = [], None
@@ -188,17 +192,24 @@ def segmented_fold(events: DataFrame, machine: str, parts: int | None = None) ->
             now = _moved(machine, now, json.loads(ends)[starts.index(_control(machine, now))])
         return pd.DataFrame(out, columns=["key", "part", "start"])
 
-    def run(block: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
-        s, out = (json.loads(begin["start"].iloc[0]) if len(begin) else None), []
-        for r in block.sort_values(["ts", "seq"], kind="stable").to_dict("records"):
-            s, ok = step(s, _plain(r))
-            out.append((r["key"], r["seq"], r["event"], ok, json.dumps(s, sort_keys=True)))
-        return pd.DataFrame(out, columns=["key", "seq", "event", "accepted", "state"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, s = None, None
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                if (r["key"], r["part"]) != block:
+                    block, s = (r["key"], r["part"]), json.loads(r["start"]) if r["start"] else None
+                s, ok = step(s, _plain(r))
+                out.append((r["key"], r["seq"], r["event"], ok, json.dumps(s, sort_keys=True)))
+            yield pd.DataFrame(out, columns=["key", "seq", "event", "accepted", "state"])
+
+    def in_order(df: DataFrame) -> DataFrame:
+        """Blocks in one task each, with their events in order; many short ones stream through a task."""
+        return df.repartition("key", "part").sortWithinPartitions("key", "part", "ts", "seq")
 
-    blocks = ["key", "part"]
-    ends = placed.join(hot, "key", "left_semi").groupBy(*blocks).applyInPandas(summarise, "key string, part int, ends string")
+    ends = in_order(placed.join(hot, "key", "left_semi")).mapInPandas(summarise, "key string, part int, ends string")
     begins = staged(ends.groupBy("key").applyInPandas(compose, "key string, part int, start string"), "begins")
-    return placed.groupBy(*blocks).cogroup(begins.groupBy(*blocks)).applyInPandas(run, OUT)
+    return in_order(placed.join(begins, ["key", "part"], "left")).mapInPandas(run, OUT)
 
 
 def latest(folded: DataFrame) -> DataFrame:

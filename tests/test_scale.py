@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import practice as P
+from corpusloom.streaming import lifecycle as L
 
 
 def physical(df) -> str:
@@ -23,3 +24,14 @@ def test_questions_are_not_broadcast(spark):
     assert [tuple(r) for r in wrong.collect()] == [(2, 3, "unknown_question")]
     for df in (done, wrong):
         assert "BroadcastExchange" not in physical(df)
+
+
+def log(spark, rows):
+    return spark.createDataFrame(rows, "key string, seq long, s long, event string, expected_version long").select("key", "seq", F.timestamp_seconds("s").alias("ts"), "event", "expected_version")
+
+
+def test_blocks_of_many_keys_stream_through_a_task(spark):
+    rows = log(spark, [(f"k{i % 50}", i, i, ("create", "claim", "uploading", "ready")[i // 50 % 4], None) for i in range(400)])
+    got = L.segmented_fold(rows, "asset", 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, L.fold(rows, "asset").collect()))
+    assert "CoGroups" not in physical(got) and "MapInPandas" in physical(got)
