@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Callable, Iterator
 
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.sources.snapshots import Snapshots
@@ -309,70 +308,54 @@ def _rows(out: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["key", "seq", "ts", "event", "accepted", "state"]).astype({"seq": "Int64"})
 
 
-class Watch(StatefulProcessor):
-    """``Clocked`` on a stream. Events wait until the watermark has passed them, so they count in the order of time."""
-
-    def __init__(self, machine: str):
-        self.machine = machine
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "state string, last long, timer long")
-        self.waiting = handle.getListState("waiting", "ts long, seq long, event string, expected_version long")
+def watch(events: DataFrame, machine: str, delay: str = "10 minutes", buckets: int = 4096) -> DataFrame:
+    """A stream of events -> the rows of ``timed_fold``, each as soon as the watermark has passed it.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for b in rows:
-            if len(b):
-                self.waiting.appendList([(int(r["ts"]), int(r["seq"]), r["event"], _plain(r)["expected_version"]) for r in b.to_dict("records")])
-        yield from self._go(key[0], timerValues)
+    Events wait until the watermark has passed them, so they count in the order of time. A
+    key's state changes by itself when it falls due, without a further event, and is
+    removed once it is forgotten, so the state store holds only keys that are alive. Events may
+    come in any order within ``delay``; later ones are dropped, as the fold could no longer
+    take them into account. What is newer than the watermark waits. Null keys are left out.
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._go(key[0], timerValues)
+    Keys share ``buckets`` of state by their hash (fixed for a checkpoint), each with one timer,
+    for the first of its keys that falls due: a call costs far more than a key's few events.
+    Uses the RocksDB state store, which this sets for the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
-    def _go(self, key: str, values) -> Iterator[pd.DataFrame]:
-        now = values.getCurrentWatermarkInMs() // 1000 - 1  # the last whole second that is surely over
-        kept = self.state.get() if self.state.exists() else None
-        clock = Clocked(self.machine, json.loads(kept[0]) if kept else None, kept[1] if kept else 0)
-        waiting = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
-        heapq.heapify(waiting)
+    def run(_, frames, held):
+        keys: dict[str, list] = json.loads(held.get[0]) if held.exists else {}  # state, time of the last event, waiting events, next time
+        came: dict[str, list] = {}
+        for b in frames:
+            for r in b[EVENT].to_dict("records"):
+                e = _plain(r)
+                came.setdefault(e["key"], []).append((e["ts"], int(e["seq"]), e["event"], e["expected_version"]))
+        now = held.getCurrentWatermarkMs() // 1000 - 1  # the last whole second that is surely over
         out = []
-        while waiting and waiting[0][0] <= now:
-            ts, seq, event, version = heapq.heappop(waiting)
-            out += [(key, *row) for row in clock.event({"ts": ts, "seq": seq, "event": event, "expected_version": version})]
-        out += [(key, *row) for row in clock.until(now)]
-        times = [t for t in (waiting[0][0] if waiting else None, clock.due()) if t is not None]
-        timer = (min(times) + 1) * 1000 if times else None
-        if kept and kept[2] is not None and kept[2] != timer:
-            self.handle.deleteTimer(kept[2])
-        if timer is not None and not (kept and kept[2] == timer and kept[2] > values.getCurrentWatermarkInMs()):
-            self.handle.registerTimer(timer)
-        if waiting:
-            self.waiting.put(waiting)
-        else:
-            self.waiting.clear()
-        if timer is None:
-            self.state.clear()
-        else:
-            self.state.update((json.dumps(clock.s), clock.last, timer))
+        for key in [k for k, v in keys.items() if k not in came and v[3] <= now] + [*came]:
+            s, last, waiting, _ = keys.pop(key, (None, 0, [], 0))
+            clock, waiting = Clocked(machine, s, last), sorted([*map(tuple, waiting), *came.get(key, [])], key=lambda w: w[:2])
+            n = sum(w[0] <= now for w in waiting)
+            for ts, seq, event, version in waiting[:n]:
+                out += [(key, *row) for row in clock.event({"ts": ts, "seq": seq, "event": event, "expected_version": version})]
+            out += [(key, *row) for row in clock.until(now)]
+            times = [t for t in (waiting[n][0] if n < len(waiting) else None, clock.due()) if t is not None]
+            if times:
+                keys[key] = [clock.s, clock.last, waiting[n:], min(times)]
+        if keys:
+            held.update((json.dumps(keys),))
+            held.setTimeoutTimestamp((min(v[3] for v in keys.values()) + 1) * 1000 - 1)  # passed once that second is over
+        elif held.exists:
+            held.remove()
         if out:
             yield _rows(out)
 
-
-def watch(events: DataFrame, machine: str, delay: str = "10 minutes") -> DataFrame:
-    """A stream of events -> the rows of ``timed_fold``, each as soon as the watermark has passed it.
-
-    A key's state changes by itself when it falls due, without a further event, and is
-    removed once it is forgotten, so the state store holds only keys that are alive. Events may
-    come in any order within ``delay``; later ones are dropped, as the fold could no longer
-    take them into account. What is newer than the watermark waits. Null keys are left out. Needs the RocksDB state
-    store, which this sets for the session.
-    """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     late = events.where("key is not null").withColumn("time", F.col("ts")).withWatermark("time", delay)
+    bucket = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(buckets)).cast("int")
     rows = late.select(
-        F.col("key").cast("string"), F.col("seq").cast("long"), F.unix_timestamp("ts").alias("ts"), "event", F.col("expected_version").cast("long"), "time"
+        bucket.alias("bucket"), F.col("key").cast("string"), F.col("seq").cast("long"), F.unix_timestamp("ts").alias("ts"), "event", F.col("expected_version").cast("long"), "time"
     )
-    return rows.groupBy("key").transformWithStateInPandas(Watch(machine), TIMED, "append", "EventTime")
+    return rows.groupBy("bucket").applyInPandasWithState(run, TIMED, "keys string", "append", "EventTimeTimeout")
 
 
 def dedupe_uploads(uploads: DataFrame, watermark: str = "1 hour", time: str = "ts", keys: tuple[str, ...] = ("user_id", "content_hash")) -> DataFrame:

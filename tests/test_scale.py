@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from corpusloom.operators import practice as P
@@ -35,3 +37,17 @@ def test_blocks_of_many_keys_stream_through_a_task(spark):
     got = L.segmented_fold(rows, "asset", 3)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, L.fold(rows, "asset").collect()))
     assert "CoGroups" not in physical(got) and "MapInPandas" in physical(got)
+
+
+def test_keys_of_a_stream_share_state(spark, tmp_path):
+    now = 1_700_000_000
+    rows = log(spark, [(f"k{i % 90}", i, now + i, ("create", "claim", "uploading")[i // 90], None) for i in range(270)])
+    rows.unionByName(log(spark, [("clock", 999, now + 90 * 86400, "tick", None)])).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    out = L.watch(stream, "asset", buckets=4)
+    q = out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out")
+    q.awaitTermination(300)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in (json.loads(p.json) for p in q.recentProgress) if p["stateOperators"]]
+    assert max(held) <= 4 and held[-1] == 1
+    got = spark.read.schema(L.TIMED).parquet(f"{tmp_path}/out").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, L.timed_fold(rows, "asset").collect()), key=repr)
