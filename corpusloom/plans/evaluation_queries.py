@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import retrieval as R
 from corpusloom.plans.registry import query
-from corpusloom.plans.retrieval_queries import _OVERLAP, QRELS, UNITS, VECTORS, _bm25_sql, _dense_sql, bench_queries, channels, dense_hits, qrels
+from corpusloom.plans.retrieval_queries import _OVERLAP, QRELS, UNITS, VECTORS, _bm25_sql, _dense_sql, bench_queries, bm25_hits, channels, dense_hits, qrels
 from corpusloom.plans.views import SOURCE_DOCS, source_docs, table
 
 _RANK = """best AS (SELECT query_id, chunk_id, min(rank) AS rank, max(gain) AS gain FROM {hits} JOIN qrels USING (query_id, chunk_id) WHERE rank <= 5 AND gain > 0 GROUP BY ALL),
@@ -24,7 +24,7 @@ def _rounded(df, *cols):
 
 @query("rank_metrics_e3", f"WITH {_BM}, {_RANK.format(hits='bm25')} SELECT query_id, {_R.format('hit')}, {_R.format('mrr')}, {_R.format('ndcg')} FROM per")
 def rank_metrics_e3(spark, sf_dir):
-    return _rounded(E.rank_metrics(channels(spark, sf_dir)[0], qrels(spark, sf_dir)), "hit", "mrr", "ndcg")
+    return _rounded(E.rank_metrics(bm25_hits(spark, sf_dir), qrels(spark, sf_dir)), "hit", "mrr", "ndcg")
 
 
 @query("dense_metrics_e3", f"""WITH {VECTORS}, {_dense_sql(6)}, qrels AS (SELECT a.chunk_id AS query_id, b.chunk_id, 1 AS gain FROM vectors a JOIN vectors b ON a.label = b.label AND a.chunk_id <> b.chunk_id WHERE a.chunk_id % 100 = 0),
@@ -36,12 +36,13 @@ def dense_metrics_e3(spark, sf_dir):
     return _rounded(E.rank_metrics(dense_hits(spark, sf_dir, 6), good), "hit", "mrr", "ndcg")
 
 
-def _run(spark, sf_dir):
+def _run(spark, sf_dir, hits=None):
+    hits = bm25_hits(spark, sf_dir) if hits is None else hits
     docs = source_docs(spark, sf_dir).select(
         F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("content_hash"), F.col("source_name").alias("parent_id"), "role_tags", "source_name", "text",
         (F.col("license_status") == "approved").alias("parent_recovered"), F.col("technology").alias("parent_type"),
     )
-    return channels(spark, sf_dir)[0].where("rank <= 5").join(docs, "chunk_id")
+    return hits.where("rank <= 5").join(docs, "chunk_id")
 
 
 _RUN = f"{_BM}, {SOURCE_DOCS}, run AS (SELECT query_id, rank, d.* FROM bm25 JOIN source_docs d ON d.doc_id = chunk_id WHERE rank <= 5)"
@@ -79,7 +80,7 @@ metrics AS (SELECT unnest(['hit_at_5', 'mrr_at_5', 'ndcg_at_5', 'knowledge_cover
 
 @query("evaluate_run_e8", f"WITH {_BM}, {_RANK.format(hits='bm25')}, {_METRICS} SELECT metric, CAST(round(value, 6) AS DOUBLE) AS value FROM metrics")
 def evaluate_run_e8(spark, sf_dir):
-    return _rounded(E.evaluate(channels(spark, sf_dir)[0], qrels(spark, sf_dir), _latencies(spark, sf_dir))[1], "value")
+    return _rounded(E.evaluate(bm25_hits(spark, sf_dir), qrels(spark, sf_dir), _latencies(spark, sf_dir))[1], "value")
 
 
 @query("gate_e9", f"""WITH {_BM}, {_RANK.format(hits='bm25')}, {_METRICS}, gates AS (SELECT * FROM (VALUES ('hit_at_5', 'min', 0.85), ('mrr_at_5', 'min', 0.7), ('ndcg_at_5', 'min', 0.75),
@@ -87,7 +88,7 @@ def evaluate_run_e8(spark, sf_dir):
 SELECT metric, value IS NULL AS unavailable, CAST(expected AS DOUBLE) AS expected, operator FROM gates LEFT JOIN metrics USING (metric)
 WHERE value IS NULL OR CASE operator WHEN 'min' THEN value < expected ELSE value > expected END""")
 def gate_e9(spark, sf_dir):
-    metrics = E.evaluate(channels(spark, sf_dir)[0], qrels(spark, sf_dir), _latencies(spark, sf_dir))[1]
+    metrics = E.evaluate(bm25_hits(spark, sf_dir), qrels(spark, sf_dir), _latencies(spark, sf_dir))[1]
     failed, _ = E.enforce_gates(metrics)
     return failed.select("metric", (F.col("actual") == "unavailable").alias("unavailable"), "expected", "operator")
 
@@ -308,8 +309,9 @@ def atomic_answers_e23(spark, sf_dir):
 @query("full_evaluation_e24")
 def full_evaluation_e24(spark, sf_dir):
     """Retrieval, quiz, report, agent and judge metrics as one table of named values."""
-    retrieval = E.evaluate(channels(spark, sf_dir)[0], qrels(spark, sf_dir), _latencies(spark, sf_dir))[1]
-    quality = E.as_metrics(E.hit_quality(_run(spark, sf_dir), bench_queries(spark, sf_dir).withColumn("role", F.lit("en"))))
+    hits = bm25_hits(spark, sf_dir)
+    retrieval = E.evaluate(hits, qrels(spark, sf_dir), _latencies(spark, sf_dir))[1]
+    quality = E.as_metrics(E.hit_quality(_run(spark, sf_dir, hits), bench_queries(spark, sf_dir).withColumn("role", F.lit("en"))))
     agent = E.as_metrics(E.aggregate_traces(E.score_traces(traces(spark, sf_dir)))).withColumn("metric", F.concat(F.lit("agent."), "metric"))
     rules = E.aggregate_rules(E.quiz_rules(*quizzes(spark, sf_dir)).unionByName(E.report_rules(reports(spark, sf_dir))))
     rules = rules.select(F.concat("kind", F.lit("."), F.lit("valid_rate")).alias("metric"), F.col("valid_rate").alias("value"))

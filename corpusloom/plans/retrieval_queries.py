@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import tokens_bm25
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import vector_index as V
-from corpusloom.operators.dedupe import exact_dedupe
+from corpusloom.operators.dedupe import ORDER, first_texts
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import CHUNKS, SOURCE_DOCS, WEB_SOURCES, chunks, source_docs, table, web_sources
-from corpusloom.sources.stages import staged
 
 
 def bench_queries(spark, sf_dir):
@@ -23,17 +21,8 @@ def units(spark, sf_dir):
 
 
 def qrels(spark, sf_dir):
-    """Documents that contain a benchmark text: relevance 2. Candidates meet on the text's rarest inner word."""
-    words = lambda c: F.array_distinct(tokens_bm25(c))
-    asked = bench_queries(spark, sf_dir)
-    inner = F.regexp_replace("query", r"^\S+\s+|\s+\S+$", "")
-    posts = units(spark, sf_dir).select("chunk_id", F.explode(words(F.col("text"))).alias("term"))
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = asked.select("query_id", F.explode(words(inner)).alias("term"))
-    rarest = terms.join(df, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    near = posts.join(rarest, "term").select("query_id", "chunk_id")
-    found = near.join(asked, "query_id").join(units(spark, sf_dir), "chunk_id").where(F.contains("text", F.col("query")))
-    return found.select("query_id", "chunk_id", F.lit(2).alias("gain"))
+    """Documents that contain a benchmark text: relevance 2."""
+    return R.quoting(bench_queries(spark, sf_dir), units(spark, sf_dir)).select("query_id", "chunk_id", F.lit(2).alias("gain"))
 
 
 QRELS = "qrels AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id, 2 AS gain FROM benchmark b, documents d WHERE contains(d.text, b.text))"
@@ -100,12 +89,13 @@ _CLEANED = f"""{CHUNKS}, firsts AS (
 ) SELECT query_id, max(gain) AS hit, coalesce(1 / min(CASE WHEN gain > 0 THEN rank END), 0) AS mrr, count(*) AS n_hits FROM good GROUP BY query_id""".replace("contains(text, b.text)", "contains(kept.text, b.text)"))
 def flagship_slice(spark, sf_dir):
     """Documents to chunks, exact dedupe, BM25 for the benchmark texts, rank of the first chunk with the whole text."""
-    kept, _ = exact_dedupe(chunks(spark, sf_dir))
-    kept = staged(kept.select("chunk_id", "text"), "kept")
+    lines = chunks(spark, sf_dir).select(*ORDER, "text", "knowledge_type")
+    kept = first_texts(lines).select("chunk_id", "text")
     asked = bench_queries(spark, sf_dir)
     hits = R.bm25_topk(asked, R.bm25_index(kept), 5).select("query_id", "chunk_id", "rank")
     gain = F.contains("text", F.col("query")).cast("int")
-    good = hits.join(kept, "chunk_id").join(asked, "query_id").select("query_id", "rank", gain.alias("gain"))
+    texts = lines.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")  # a hit's text is read again, not kept for all
+    good = hits.join(texts, "chunk_id").join(asked, "query_id").select("query_id", "rank", gain.alias("gain"))
     return good.groupBy("query_id").agg(
         F.max("gain").alias("hit"), F.coalesce(1 / F.min(F.when(F.col("gain") > 0, F.col("rank"))), F.lit(0.0)).alias("mrr"), F.count(F.lit(1)).alias("n_hits")
     )
@@ -162,9 +152,7 @@ def channels(spark, sf_dir):
     """Two lexical channels over one index: BM25, and the number of shared terms."""
     index = R.bm25_index(units(spark, sf_dir))
     asked = bench_queries(spark, sf_dir)
-    terms = asked.select("query_id", F.explode(F.array_distinct(tokens_bm25(F.col("query")))).alias("term"))
-    shared = index.tf.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return R.bm25_topk(asked, index, 50), R.top_k(shared, 50)
+    return R.bm25_topk(asked, index, 50), R.shared_topk(asked, index, 50)
 
 
 _RRF = f"""{UNITS}, {_bm25_sql('units', 50)}, {_OVERLAP},

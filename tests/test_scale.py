@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators import dedupe as D
 from corpusloom.operators import practice as P
 from corpusloom.operators import retrieval as R
 from corpusloom.streaming import lifecycle as L
@@ -62,3 +66,53 @@ def test_terms_are_found_without_postings(spark, monkeypatch):
     assert found() == want and "Join" not in physical(R.containing(terms, chunks))
     monkeypatch.setattr(R, "TERMS", 2)
     assert found() == want and "Join" in physical(R.containing(terms, chunks))
+
+
+def corpus(spark):
+    rows = [(i, " ".join(f"w{i * j % 23}" for j in range(1, 4 + i % 9)) + (" the" * (i % 4))) for i in range(400)]
+    rows += [(900, None), (901, ""), (902, "中文 the w1"), (903, "a whole long passage of more than thirty two bytes, kept"), (904, "xé the end")]
+    return rows, spark.createDataFrame(rows, "chunk_id long, text string").repartition(5)
+
+
+def test_lexical_scores_shuffle_no_postings(spark):
+    rows, chunks = corpus(spark)
+    queries = [(1, "the w3 w4 w4"), (2, "w5 w7 w11 the"), (3, "unheard"), (4, None), (5, "中文"), (6, "W9 w9")]
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    index = R.bm25_index(chunks)
+    assert "Exchange" not in physical(index.docs)
+    words = lambda t: re.findall(r"[a-z][a-z0-9]*", (t or "").lower()) or [(t or "").lower()]
+    docs = {c: Counter(words(t)) for c, t in rows if c not in (902, 904)}
+    df = Counter(w for d in docs.values() for w in d)
+    for block in (2000, 2):
+        got = R.bm25_topk(asked.where("query_id not in (4, 5)"), R.bm25_index(chunks.where("chunk_id not in (902, 904)")), 7, block=block)
+        shared = R.shared_topk(asked.where("query_id not in (4, 5)"), index, 400, block=block)
+        mean = sum(map(Counter.total, docs.values())) / len(docs)
+        for q, text in queries:
+            if q in (4, 5):
+                continue
+            idf = {w: math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) for w in set(words(text)) if w in df}
+            score = {c: sum(x * d[w] * 2.2 / (d[w] + 1.2 * (0.25 + 0.75 * d.total() / mean)) for w, x in idf.items() if w in d) for c, d in docs.items()}
+            best = sorted((-round(s, 9), c) for c, s in score.items() if s)[:7]
+            assert [(r.chunk_id, r["rank"]) for r in got.where(F.col("query_id") == q).orderBy("rank").collect()] == [(c, i + 1) for i, (_, c) in enumerate(best)]
+            n = {r.chunk_id: r.score for r in shared.where(F.col("query_id") == q).collect()}
+            assert {c: s for c, s in n.items() if c < 900} == {c: len(set(words(text)) & d.keys()) for c, d in docs.items() if c < 900 and set(words(text)) & d.keys()}
+
+
+def test_quoted_texts_are_found_by_windows(spark):
+    rows, chunks = corpus(spark)
+    queries = ["", "é", "the", " the the", "w0 w0 w0 w0 w0 w0 w0 w0 w0 w0 w0", rows[7][1], rows[7][1][1:-1], "passage of more than thirty two bytes", "thirty two bytes, kept", "中文 the w1", None, "passage of more than thirty two bytes!"]
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+    want = {(q, c) for q, t in enumerate(queries) for c, text in rows if t is not None and text is not None and t in text}
+    for block in (20_000, 3):
+        got = R.quoting(asked, chunks, block)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_first_texts_stage_no_text(spark, tmp_path, monkeypatch):
+    lines = [(f"d{i}:0", f"d{i}", 0, i % 3, ("Same text!", "same, text", f"own {i}")[i % 3], "paragraph") for i in range(60)]
+    c = spark.createDataFrame(lines, "chunk_id string, document_id string, child_index int, authority_priority int, text string, knowledge_type string")
+    columns = []
+    monkeypatch.setattr(D, "staged", lambda df, name: columns.extend(df.columns) or df)
+    got = D.first_texts(c).collect()
+    assert "text" not in columns and columns
+    assert sorted(r.chunk_id for r in got) == sorted(r.chunk_id for r in D.exact_dedupe(c)[0].collect()) and len(got) == 21
