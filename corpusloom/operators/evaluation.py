@@ -375,11 +375,18 @@ def build_golden(parents: DataFrame, per_tech: int = 5, size: int = 100) -> Data
 
 
 def bind_queries(queries: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per query the first parent of its document with a query word of over two characters, else the first; and the unbound."""
-    rows = queries.join(parents, "document_id")
-    words = F.filter(F.split(squeeze(F.lower("query")), " "), lambda w: F.length(w) > 2)
-    misses = ~F.exists(words, lambda w: F.contains(F.lower("text"), w))
-    bound = rows.groupBy("query_id").agg(F.min_by("parent_id", F.struct(misses.alias("m"), F.col("parent_id"))).alias("parent_id"))
+    """Per query the first parent of its document with a query word of over two characters, else the first; and the unbound.
+
+    A document's parents are one row, so its query meets them once and isn't copied for each.
+    """
+    whole = parents.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("parent_id", F.lower(F.coalesce("text", F.lit(""))).alias("low")))).alias("parents"))
+    words = F.array_distinct(F.filter(F.split(squeeze(F.lower("query")), " "), lambda w: F.length(w) > 2))
+    rows = queries.join(whole, "document_id").select("query_id", words.alias("words"), "parents")
+    fits = lambda p: F.exists("words", lambda w: F.contains(p["low"], w))
+    first = lambda p, miss: F.struct(F.lit(miss).alias("m"), p["parent_id"].alias("parent_id"))
+    found = F.filter("parents", fits)
+    best = F.when(fits(F.col("parents")[0]), first(F.col("parents")[0], False)).when(F.size(found) > 0, first(found[0], False)).otherwise(first(F.col("parents")[0], True))
+    bound = rows.select("query_id", best.alias("best")).groupBy("query_id").agg(F.min("best").alias("best")).select("query_id", "best.parent_id")
     return bound, queries.join(parents, "document_id", "left_anti").select("query_id")
 
 

@@ -10,6 +10,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from corpusloom.operators import dedupe as D
+from corpusloom.operators import evaluation as E
 from corpusloom.operators import practice as P
 from corpusloom.operators import retrieval as R
 from corpusloom.streaming import lifecycle as L
@@ -116,3 +117,12 @@ def test_first_texts_stage_no_text(spark, tmp_path, monkeypatch):
     got = D.first_texts(c).collect()
     assert "text" not in columns and columns
     assert sorted(r.chunk_id for r in got) == sorted(r.chunk_id for r in D.exact_dedupe(c)[0].collect()) and len(got) == 21
+
+
+def test_a_query_is_not_copied_for_each_parent(spark):
+    q = spark.createDataFrame([(1, "a", "An  Owl flies"), (2, "b", "owl"), (3, "c", "owl"), (4, "d", None), (5, "a", "of it"), (6, "e", "owl")], "query_id long, document_id string, query string")
+    p = spark.createDataFrame([("a", f"a{i}", t) for i, t in enumerate([None, "an it", "the OWL", "flies"])] + [("b", "b1", "no"), ("b", "b0", "none"), ("d", "d0", "x"), ("e", "e9", "owl"), ("e", "e8", "owls")], "document_id string, parent_id string, text string")
+    bound, unbound = E.bind_queries(q, p)
+    assert {r.query_id: r.parent_id for r in bound.collect()} == {1: "a2", 2: "b0", 4: "d0", 5: "a0", 6: "e8"}
+    assert [r.query_id for r in unbound.collect()] == [3]
+    assert "collect_list" in physical(bound)
