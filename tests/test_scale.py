@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -126,3 +127,21 @@ def test_a_query_is_not_copied_for_each_parent(spark):
     assert {r.query_id: r.parent_id for r in bound.collect()} == {1: "a2", 2: "b0", 4: "d0", 5: "a0", 6: "e8"}
     assert [r.query_id for r in unbound.collect()] == [3]
     assert "collect_list" in physical(bound)
+
+
+def test_a_shingle_is_hashed_once(spark, monkeypatch):
+    texts = ["", "abc", "abcde", "the same words again and again " * 40, "中文字符的文本内容", "x\x00yzabc", "é" * 700, None, "0123456789" * 999] + [f"text {i} of {i * i} words" * (i % 5) for i in range(60)]
+    c = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1)
+
+    def plain(t, n, digest):
+        grams = [t[k : k + n].encode() for k in range(max(1, len(t) - n + 1))]
+        h = [int.from_bytes(digest(g), "big") for g in grams]
+        x = sum(1 << j for j in range(64) if 2 * sum(v >> j & 1 for v in h) >= len(h))
+        return x - (x >> 63 << 64)
+
+    for at_once, n, algorithm in ((2_000_000, 5, "md5"), (200, 5, "md5"), (1000, 3, "blake2b")):
+        monkeypatch.setattr(D, "AT_ONCE", at_once)
+        digest = {"md5": lambda b: hashlib.md5(b).digest()[:8], "blake2b": lambda b: hashlib.blake2b(b, digest_size=8).digest()}[algorithm]
+        got = {r.i: r.fp for r in c.select("i", D.simhash64(F.col("text"), n, algorithm).alias("fp")).collect()}
+        assert got == {i: plain(t or "", n, digest) for i, t in enumerate(texts)}
+    assert "SEEN" in vars(D)
