@@ -6,14 +6,18 @@ import hashlib
 import json
 import math
 import re
+import unicodedata
 from collections import Counter
 
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
+from corpusloom.functions import text as T
 from corpusloom.operators import dedupe as D
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import practice as P
 from corpusloom.operators import retrieval as R
+from corpusloom.operators import structure as K
 from corpusloom.streaming import lifecycle as L
 
 
@@ -145,3 +149,21 @@ def test_a_shingle_is_hashed_once(spark, monkeypatch):
         got = {r.i: r.fp for r in c.select("i", D.simhash64(F.col("text"), n, algorithm).alias("fp")).collect()}
         assert got == {i: plain(t or "", n, digest) for i, t in enumerate(texts)}
     assert "SEEN" in vars(D)
+
+
+def test_nfkc_makes_no_python_strings(spark):
+    signs = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts = ["a".join(signs[i : i + 500]) for i in range(0, len(signs), 500)] + ["é ﬁ Å̧̊", "", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", T.nfkc("text").alias("t"))
+    assert "ArrowEvalPython" in physical(got) and T.nfkc.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    assert {r.i: r.t for r in got.collect()} == {i: None if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+
+
+def test_personal_ingest_makes_blocks_once(spark, monkeypatch):
+    names = []
+    keep = K.staged
+    monkeypatch.setattr(K, "staged", lambda df, name: names.append(name) or keep(df, name))
+    docs = spark.createDataFrame([("a", "# H\n\nWhat is it?\nIt is a thing of some length, said here.\n\nmore"), ("b", ""), ("c", None), ("d", "plain text")], "document_id string, text string")
+    kept, status = K.ingest_personal(docs, D.exact_dedupe)
+    assert names == ["blocks", "parents", "chunks"]
+    assert {r.document_id: r.status for r in status.collect()} == {"a": "ready", "b": "failed", "c": "failed", "d": "ready"}
