@@ -54,10 +54,10 @@ def running(values: Column, join=lambda a, b: a + b, block: int = 64) -> Column:
 def pattern_of(two: Column, one: Column, after: Column) -> tuple[Column, Column]:
     """The lexical patterns of a slot: the two words before it, and the words before and after it; null without them.
 
-    The words are in lower case.
+    The words are in lower case; an empty one is none.
     """
-    left = F.when(F.isnotnull(two) & F.isnotnull(one), F.xxhash64(F.lit("L"), two, one))
-    return left, F.when(F.isnotnull(one) & F.isnotnull(after), F.xxhash64(F.lit("LR"), one, after))
+    left = F.when((two != "") & (one != ""), F.xxhash64(F.lit("L"), two, one))
+    return left, F.when((one != "") & (after != ""), F.xxhash64(F.lit("LR"), one, after))
 
 
 def mentions(text: Column, kind: str, pattern: str, valid=None) -> Column:
@@ -144,56 +144,44 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-#: The same white space as a set of characters.
-BLANK = " \t\n\x0b\f\r"
-
-
 def slots(docs: DataFrame, block: int = 256) -> DataFrame:
-    """``docs(id, row, text)`` -> every white-space word with its patterns: ``(id, row, start, word, left, around)``.
+    """``docs(id, row, text)`` -> every white-space word with its patterns: ``(id, row, piece, left, around, pieces, base, k, at)``.
 
-    A text is cut before each word, and the pieces into blocks, in which offsets add up; a
-    word's row has its neighbours and nothing else of its block.
+    A text is cut before each word, and its lower-cased form at white space, so the words
+    around are looked up by their number. Only whole blocks of words are measured; where a
+    word starts, ``_start`` counts within its block, for those that are wanted.
     """
-    blank = F.lit(BLANK)
-
-    def words(pieces: Column, low: Column, k: Column, base: Column) -> Column:
-        """A block's words with their offsets and the words around; ``low`` has two empty words more at the beginning."""
-        own = F.slice(pieces, k, F.lit(block))
-        at = let(running(F.transform(own, F.length), block=16), lambda r: F.transform(r, lambda n: n + base))
-        beside = [F.slice(low, k + n, F.lit(block)) for n in (0, 1, 3)]
-        return F.arrays_zip(own.alias("piece"), at.alias("start"), *(b.alias(n) for b, n in zip(beside, ("two", "one", "after"), strict=True)))
-
-    def blocks(pieces: Column) -> Column:
-        low = F.concat(F.array(F.lit(""), F.lit("")), F.transform(pieces, lambda p: F.lower(F.btrim(p, blank))), F.array(F.lit("")))
-        starts = F.sequence(F.lit(1), F.size(pieces), F.lit(block))
-        length = F.transform(starts, lambda k: F.aggregate(F.slice(pieces, k, F.lit(block)), F.lit(0), lambda n, p: n + F.length(p)))
-        return let(low, lambda w: let(running(length), lambda at: F.transform(starts, lambda k, i: words(pieces, w, k, at[i]))))
-
-    each = docs.select("id", "row", F.explode(let(F.split("text", f"(?<={SPACE})(?=[^{SPACES}])"), blocks)).alias("b"))
-    each = each.select("id", "row", F.inline("b").alias("piece", "start", "two", "one", "after")).where("piece is not null")
-    left, around = pattern_of(*(F.nullif(F.col(c), F.lit("")) for c in ("two", "one", "after")))
-    return each.select("id", "row", "start", F.rtrim("piece", blank).alias("word"), left.alias("left"), around.alias("around")).where("word <> ''")
+    low = F.concat(F.array(F.lit(""), F.lit("")), F.split(F.lower("text"), f"{SPACE}+"), F.array(F.lit("")))  # two empty words more at the beginning
+    starts = F.sequence(F.lit(1), F.size("pieces"), F.lit(block))
+    length = F.transform(starts, lambda k: F.length(F.array_join(F.slice("pieces", k, F.lit(block)), "")))
+    each = docs.select("id", "row", low.alias("low"), F.split("text", f"(?<={SPACE})(?=[^{SPACES}])").alias("pieces"))
+    each = each.withColumn("cut", F.struct(running(length).alias("bases")))
+    each = each.select("id", "row", "low", "pieces", F.posexplode("cut.bases").alias("b", "base"))
+    each = each.withColumn("k", F.col("b") * block + 1)
+    each = each.select("id", "row", "low", "pieces", "base", "k", F.posexplode(F.slice("pieces", F.col("k"), F.lit(block))).alias("at", "piece"))
+    word = lambda n: F.get("low", F.col("k") + F.col("at") + (n + 1))
+    each = each.where(word(0) != "").withColumns({"two": word(-2), "one": word(-1), "after": word(1)})
+    left, around = pattern_of(*map(F.col, ("two", "one", "after")))
+    return each.select("id", "row", "piece", left.alias("left"), around.alias("around"), "pieces", "base", "k", "at")
 
 
-def _ends() -> tuple[Column, Column]:
-    """How many signs stand before and after a word's letters, digits, at and plus signs."""
-    lead = F.length(F.regexp_extract("word", r"^[^\p{L}\p{N}@+]*+", 0))
-    return lead, F.length(F.regexp_extract("word", r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]*+$", 0))
+def _start() -> Column:
+    """Where a slot's word starts in its text."""
+    return F.col("base") + F.length(F.array_join(F.slice("pieces", F.col("k"), F.col("at")), ""))
 
 
-def _core() -> Column:
-    """A word without the signs around it; empty if it is signs only."""
-    lead, tail = _ends()
-    return F.when(F.col("word").rlike(r"[\p{L}\p{N}]"), F.substring(F.col("word"), lead + 1, F.length("word") - lead - tail)).otherwise("")
+def _core(word: Column) -> Column:
+    """A word without the signs around it: from the first letter, digit, at or plus sign to the last letter or digit; empty if it is signs only."""
+    return F.regexp_extract(word, r"(?s)^[^\p{L}\p{N}@+]*+(.*[\p{L}\p{N}])", 1)
 
 
 def cored(found: DataFrame) -> DataFrame:
     """Words without the signs around them: ``start`` and ``end`` of the rest, ``instance`` and ``prior``; bare signs go."""
-    found = found.withColumn("core", _core()).where("core <> ''").withColumn("lead", _ends()[0])
+    found = found.withColumns({"core": _core(F.col("piece")), "place": _start()}).where("core <> ''")
+    start = F.col("place") + F.length(F.regexp_extract("piece", r"^[^\p{L}\p{N}@+]*+", 0))
     prior = F.when(F.col("core").rlike("[0-9@_]"), LOOKS).otherwise(PLAIN)
     return found.select(
-        "id", "row", F.col("start").alias("place"), (F.col("start") + F.col("lead")).alias("start"),
-        (F.col("start") + F.col("lead") + F.length("core")).alias("end"), F.xxhash64("core").alias("instance"), prior.alias("prior"), "left", "around",
+        "id", "row", "place", start.alias("start"), (start + F.length("core")).alias("end"), F.xxhash64("core").alias("instance"), prior.alias("prior"), "left", "around",
     )
 
 
@@ -222,21 +210,26 @@ def promising(docs: DataFrame, mentioned: DataFrame, least: float, support: int)
     no base match and start at no confidence, so a strong pattern has at most ``good / least``
     different ones. One scan marks them in 256 bits a pattern, combined before the shuffle:
     several words may share a bit, so the bits set are surely no more than the words, and only
-    patterns that surely have too many go. Common ones, in which seeds stand by chance, do.
+    patterns that surely have too many go. Common ones, in which seeds stand by chance, do; most
+    of them after a sixteenth of the texts, and the others are marked only for those that stay.
     """
     good = staged(mentioned.groupBy("pattern").agg(F.count(F.lit(1)).alias("good")).where(F.col("good") >= support), "pii-good")
-    plain = slots(docs).where(~F.col("word").rlike("[0-9@_]"))
-    marks = []
-    for block in _blocks(good.select("pattern")):
-        each = plain.select("word", _each().alias("pattern")).join(F.broadcast(block), "pattern")  # at most BLOCK numbers
-        each = each.withColumn("core", _core()).where("core <> ''").withColumn("h", F.pmod(F.xxhash64("core"), F.lit(256)))
-        bits = [F.bit_or(F.expr(f"if(h div 64 = {i}, shiftleft(1L, int(h % 64)), 0L)")).alias(f"b{i}") for i in range(4)]
-        marks.append(each.groupBy("pattern").agg(*bits))
-    if not marks:
-        return good.select("pattern")
-    words = reduce(DataFrame.unionByName, marks).select("pattern", F.expr("bit_count(b0) + bit_count(b1) + bit_count(b2) + bit_count(b3)").alias("n"))
-    kept = good.join(words, "pattern", "left").where(least * F.coalesce("n", F.lit(0)) <= F.col("good"))
-    return staged(kept.select("pattern"), "pii-patterns")
+    bits = [F.bit_or(F.expr(f"if(h div 64 = {i}, shiftleft(1L, int(h % 64)), 0L)")).alias(f"b{i}") for i in range(4)]
+    first = F.pmod("row", F.lit(16)) == 0
+    marks, kept = [], good.select("pattern")
+    for part in (docs.where(first), docs.where(~first)):
+        blocks = _blocks(kept)
+        if not blocks:
+            break
+        for block in blocks:
+            each = _standing(part, block).where(~F.col("piece").rlike("[0-9@_]")).select(_core(F.col("piece")).alias("core"), _each().alias("pattern"))
+            each = each.where("core <> ''").withColumn("h", F.pmod(F.xxhash64("core"), F.lit(256)))
+            marks.append(staged(each.groupBy("pattern").agg(*bits), "pii-marks"))
+        words = reduce(DataFrame.unionByName, marks).groupBy("pattern").agg(*(F.bit_or(f"b{i}").alias(f"b{i}") for i in range(4)))
+        words = words.select("pattern", F.expr("bit_count(b0) + bit_count(b1) + bit_count(b2) + bit_count(b3)").alias("n"))
+        kept = good.join(words, "pattern", "left").where(least * F.coalesce("n", F.lit(0)) <= F.col("good"))
+        kept = staged(kept.select("pattern"), "pii-patterns")
+    return kept
 
 
 def look_up(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -248,7 +241,7 @@ def look_up(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 def contexts(docs: DataFrame, instances: DataFrame) -> DataFrame:
     """All patterns in which one of ``instances(instance)`` stands: ``(pattern, instance)``. One scan a block, no shuffle."""
     found = [
-        cored(slots(docs)).join(F.broadcast(block), "instance").select("instance", _each().alias("pattern"))
+        slots(docs).withColumn("instance", F.xxhash64(_core(F.col("piece")))).join(F.broadcast(block), "instance").select("instance", _each().alias("pattern"))
         for block in _blocks(instances)
     ]
     return reduce(DataFrame.unionByName, found)

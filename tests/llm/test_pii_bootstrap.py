@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import pii
 
@@ -139,3 +140,17 @@ def test_any_texts(spark, seed):
         docs.append((d, "".join(b + rng.choice([" ", " ", "\t", "\n", "\r\n", "  "]) for b in bits)))
     got = found(spark, docs)
     assert got == plain(docs) and sum(map(len, got.values())) > 0
+
+
+def test_common_patterns_are_given_up_early(spark, monkeypatch):
+    seen, standing = [], pii._standing
+    monkeypatch.setattr(pii, "_standing", lambda docs, block: seen.append(standing(docs, block).count()) or standing(docs, block))
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    texts = [(i, i, f"so part of the {word(i)} is") for i in range(3000)] + [(5000, 5000, "please mail  to bob\tnow"), (5001, 5001, " \tmail to, (ÜBER) x\n")]
+    docs = spark.createDataFrame(texts, "id long, row long, text string")
+    every = {(r.id, r.place, r.start, r.end) for r in pii.cored(pii.slots(docs, block=2).where("id >= 5000")).collect()}
+    assert every == {(5000, 0, 0, 11), (5000, 13, 13, 15), (5000, 16, 16, 19), (5000, 20, 20, 23), (5001, 2, 2, 6), (5001, 7, 7, 9), (5001, 11, 12, 16), (5001, 18, 18, 19)}
+    common, rare = [docs.where(f"id = {i}").select(pii.pattern_of(*map(F.lit, w))[0].alias("p")).first().p for i, w in ((0, ("of", "the", "")), (5000, ("please mail", "to", "")))]
+    mentioned = spark.createDataFrame([(p, i) for p in (common, rare) for i in range(5)], "pattern long, instance long")
+    assert [r.pattern for r in pii.promising(docs, mentioned, 0.8, 3).collect()] == [rare]
+    assert len(seen) == 2 and 7 < seen[0] < 400 and seen[1] <= 1  # all 3,000 texts have the common pattern
