@@ -8,7 +8,7 @@ from corpusloom.operators import evaluation as E
 from corpusloom.operators import retrieval as R
 from corpusloom.plans.registry import query
 from corpusloom.plans.retrieval_queries import _OVERLAP, QRELS, UNITS, VECTORS, _bm25_sql, _dense_sql, bench_queries, bm25_hits, channels, dense_hits, qrels
-from corpusloom.plans.views import SOURCE_DOCS, source_docs, table
+from corpusloom.plans.views import SOURCE_DOCS, docs_of, source_docs, table
 
 _RANK = """best AS (SELECT query_id, chunk_id, min(rank) AS rank, max(gain) AS gain FROM {hits} JOIN qrels USING (query_id, chunk_id) WHERE rank <= 5 AND gain > 0 GROUP BY ALL),
 got AS (SELECT query_id, min(rank) AS first, sum((2 ** gain - 1) / log2(rank + 1)) AS dcg FROM best GROUP BY query_id),
@@ -37,12 +37,12 @@ def dense_metrics_e3(spark, sf_dir):
 
 
 def _run(spark, sf_dir, hits=None):
-    hits = bm25_hits(spark, sf_dir) if hits is None else hits
-    docs = source_docs(spark, sf_dir).select(
+    hits, docs = docs_of(spark, sf_dir, (bm25_hits(spark, sf_dir) if hits is None else hits).where("rank <= 5"))
+    docs = docs.select(
         F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("content_hash"), F.col("source_name").alias("parent_id"), "role_tags", "source_name", "text",
         (F.col("license_status") == "approved").alias("parent_recovered"), F.col("technology").alias("parent_type"),
     )
-    return hits.where("rank <= 5").join(docs, "chunk_id")
+    return hits.join(docs, "chunk_id")
 
 
 _RUN = f"{_BM}, {SOURCE_DOCS}, run AS (SELECT query_id, rank, d.* FROM bm25 JOIN source_docs d ON d.doc_id = chunk_id WHERE rank <= 5)"

@@ -8,7 +8,7 @@ from corpusloom.operators import retrieval as R
 from corpusloom.operators import vector_index as V
 from corpusloom.operators.dedupe import ORDER, first_texts
 from corpusloom.plans.registry import query
-from corpusloom.plans.views import CHUNKS, SOURCE_DOCS, WEB_SOURCES, chunks, source_docs, table, web_sources
+from corpusloom.plans.views import CHUNKS, SOURCE_DOCS, WEB_SOURCES, chunks, docs_of, source_docs, table, web_sources
 
 
 def bench_queries(spark, sf_dir):
@@ -231,8 +231,8 @@ def query_plans_r13(spark, sf_dir):
 
 def evidence(spark, sf_dir):
     """The BM25 hits of the benchmark texts as evidence."""
-    hits = bm25_hits(spark, sf_dir, 8)
-    docs = source_docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", "technology", F.col("corpus_version").alias("version"), F.col("source_name").alias("source_type"), F.col("document_id").alias("citation"))
+    hits, docs = docs_of(spark, sf_dir, bm25_hits(spark, sf_dir, 8))
+    docs = docs.select(F.col("doc_id").alias("chunk_id"), "text", "technology", F.col("corpus_version").alias("version"), F.col("source_name").alias("source_type"), F.col("document_id").alias("citation"))
     return hits.join(docs, "chunk_id").select(
         F.col("query_id").alias("request_id"), F.col("rank").alias("pos"), "text", "technology", "version", "source_type", "citation",
         F.least(F.lit(1.0), F.round(F.col("score") / 100, 9)).alias("score"),

@@ -18,6 +18,7 @@ from corpusloom.operators import evaluation as E
 from corpusloom.operators import practice as P
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import structure as K
+from corpusloom.plans import evaluation_queries as Q
 from corpusloom.streaming import lifecycle as L
 
 
@@ -104,6 +105,23 @@ def test_lexical_scores_shuffle_no_postings(spark):
             assert {c: s for c, s in n.items() if c < 900} == {c: len(set(words(text)) & d.keys()) for c, d in docs.items() if c < 900 and set(words(text)) & d.keys()}
 
 
+def test_texts_without_a_hit_are_not_shuffled(spark, tmp_path):
+    words = [(i, f"text {i} of w{i % 7}", "en", f"s{i % 3}") for i in range(300)]
+    spark.createDataFrame(words, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 300, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    hits = spark.createDataFrame([(1, 4, 2.0, 1), (1, 9, 1.0, 2), (2, 9, 1.0, 1), (2, 777, 0.5, 2), (2, 3, 0.1, 6)], "query_id long, chunk_id long, score double, rank int")
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 4000)  # labels are beyond it, a run's hits are not
+        got = Q._run(spark, str(tmp_path), hits)
+        assert sorted((r.query_id, r["rank"], r.chunk_id, r.text, r.parent_recovered) for r in got.collect()) == [(1, 1, 4, "text 4 of w4", False), (1, 2, 9, "text 9 of w2", True), (2, 1, 9, "text 9 of w2", True)]
+        assert "SortMergeJoin" in (plan := physical(got)) or "ShuffledHashJoin" in plan
+        below = plan[plan.index("Exchange", plan.index("LeftOuter")) :]
+        assert "LeftSemi" in below and "text#" in below
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
 def test_blocks_are_searched_where_documents_are(spark, monkeypatch):
     _, chunks = corpus(spark)
     asked = spark.createDataFrame([(1, "the w3 w4 w4"), (2, "w5 w7 w11 the"), (3, "unheard"), (6, "W9 w9")], "query_id long, query string")
