@@ -77,9 +77,10 @@ def answer_violations_u7(spark, sf_dir):
 @query("xp_u8", f"WITH {_SCORES}, {SESSIONS} SELECT s.user_id, CAST(sum(10 + 2 * score) AS BIGINT) AS xp FROM scores s JOIN sessions USING (quiz_id) WHERE has_report GROUP BY s.user_id")
 def xp_u8(spark, sf_dir):
     done = sessions(spark, sf_dir).where("has_report").select("quiz_id", "created_at")
-    first = P.score(answers(spark, sf_dir)).join(done, "quiz_id").select("quiz_id", "user_id", "score", "created_at", F.lit(1).alias("report_id"))
-    later = first.withColumn("report_id", F.lit(2)).withColumn("score", F.lit(99).cast("long"))  # a second report earns nothing
-    return P.xp(first.unionByName(later))
+    scored = P.score(answers(spark, sf_dir)).join(done, "quiz_id").select("quiz_id", "user_id", "score", "created_at")
+    both = F.array(F.struct(F.lit(1).alias("report_id"), "score"), F.struct(F.lit(2).alias("report_id"), F.lit(99).cast("long").alias("score")))
+    reports = scored.withColumn("r", F.explode(both)).select("quiz_id", "user_id", "created_at", "r.report_id", "r.score")
+    return P.xp(reports)  # a second report earns nothing
 
 
 @query("profile_u9", f"""WITH {_SCORES}, {SESSIONS} SELECT c_custkey AS user_id, count(DISTINCT s.quiz_id) AS quizzes, CAST(coalesce(sum(score), 0) AS BIGINT) AS correct, CAST(round(coalesce(avg(accuracy), 0), 6) AS DOUBLE) AS accuracy

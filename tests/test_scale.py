@@ -8,6 +8,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from datetime import datetime
 
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
@@ -19,6 +20,8 @@ from corpusloom.operators import practice as P
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import structure as K
 from corpusloom.plans import evaluation_queries as Q
+from corpusloom.plans import views as V
+from corpusloom.plans.registry import queries
 from corpusloom.streaming import lifecycle as L
 
 
@@ -105,6 +108,29 @@ def test_lexical_scores_shuffle_no_postings(spark):
             assert {c: s for c, s in n.items() if c < 900} == {c: len(set(words(text)) & d.keys()) for c, d in docs.items() if c < 900 and set(words(text)) & d.keys()}
 
 
+def test_answers_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    day = datetime(2020, 1, 1)
+    orders = [(i, i % 7, "FOP"[i % 3], 1.0, day, "x") for i in range(40)]
+    lines = [(i, 9 - j, j, j % 4, 1.0, 2.0, 0.0, 0.0, "ANR"[((i or 0) + j) % 3], "F", day) for i in [*range(39), 77, None] for j in range(6)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(lines, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    first = {}
+    for i, part, supp, no, *_, flag, _, _ in lines:
+        if i is not None and i < 40:
+            first[i, no] = min(first.get((i, no), (99,)), (part, supp, flag))
+    monkeypatch.setattr(V, "LINES", 20, raising=False)
+    got = V.answers(spark, str(tmp_path))
+    assert {(r.quiz_id, r.question_no): (r.user_id, r.selected[0]) for r in got.collect()} == {k: (k[0] % 7, v[2]) for k, v in first.items()}
+    assert got.count() == len(first) and got.rdd.getNumPartitions() == -(-len(lines) // 20)
+    xp = Counter()
+    for i in {i for i, _ in first if i % 3 == 0}:
+        xp[i % 7] += 10 + 2 * sum(v[2] == "A" for k, v in first.items() if k[0] == i)
+    xps = queries()["xp_u8"](spark, str(tmp_path))
+    assert {r.user_id: r.xp for r in xps.collect()} == xp
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", physical(xps).split("Initial Plan")[0])) == 1
+
+
 def test_texts_without_a_hit_are_not_shuffled(spark, tmp_path):
     words = [(i, f"text {i} of w{i % 7}", "en", f"s{i % 3}") for i in range(300)]
     spark.createDataFrame(words, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
